@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugeflow.functions.times import given_or_now, latency_ms, month_bucket
 
 
+def steady_round(x: Column, digits: int) -> Column:
+    """Rounding that does not depend on the order in which tasks summed the floats."""
+    return F.round(F.round(x, 10), digits)
+
+
 def window_aggregates(readings: DataFrame, length: str, tie: str | None = None) -> DataFrame:
     """Tumbling-window statistics per cluster, parameter and unit.
 
@@ -83,9 +88,9 @@ def minute_rollup(metrics: DataFrame) -> DataFrame:
         .agg(
             F.coalesce(F.sum("processed_reading_count"), F.lit(0)).alias("processed_reading_count"),
             F.coalesce(F.sum("alert_count"), F.lit(0)).alias("alert_count"),
-            F.round(F.avg("avg_anomaly_score"), 4).alias("avg_anomaly_score"),
+            steady_round(F.avg("avg_anomaly_score"), 4).alias("avg_anomaly_score"),
             F.max("max_anomaly_score").alias("max_anomaly_score"),
-            F.round(F.avg("avg_event_latency_ms"), 3).alias("avg_event_latency_ms"),
+            steady_round(F.avg("avg_event_latency_ms"), 3).alias("avg_event_latency_ms"),
             F.max("max_event_latency_ms").alias("max_event_latency_ms"),
             F.max("updated_at").alias("updated_at"),
             weighted("avg_anomaly_score").alias("weighted_anomaly_score"),
@@ -105,7 +110,7 @@ def parameter_averages(latest: DataFrame, rules: DataFrame) -> DataFrame:
     The unit is that of the parameter's newest reading, else the catalogue's.
     """
     averages = latest.groupBy("parameter").agg(
-        F.round(F.avg("value"), 3).alias("average_value"),
+        steady_round(F.avg("value"), 3).alias("average_value"),
         F.max_by("unit", F.struct("event_time", "sensor_id")).alias("newest_unit"),
     )
     named = averages.join(rules.select("parameter", "display_name", F.col("unit").alias("rule_unit")), "parameter", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.constants import RECENT_INTERVAL
 from gaugeflow.functions.times import given_or_now, interval
+from gaugeflow.operators.aggregates import steady_round
 
 
 def is_recent(moment: Column, as_of=None, quiet: str = RECENT_INTERVAL) -> Column:
@@ -75,7 +76,7 @@ def overview_counts(
     )
 
     def mean_of(parameter: str) -> Column:
-        return F.round(F.avg(F.when((F.col("kind") == "reading") & (F.col("parameter") == parameter), F.col("value"))), 3)
+        return steady_round(F.avg(F.when((F.col("kind") == "reading") & (F.col("parameter") == parameter), F.col("value"))), 3)
 
     return facts.agg(
         F.count_if(F.col("kind") == "sensor").alias("active_sensor_count"),
@@ -86,4 +87,4 @@ def overview_counts(
 
 
 def named_average(latest: DataFrame, parameter: str) -> DataFrame:
-    return latest.filter(F.col("parameter") == parameter).agg(F.round(F.avg("value"), 3).alias("average_value"))
+    return latest.filter(F.col("parameter") == parameter).agg(steady_round(F.avg("value"), 3).alias("average_value"))

@@ -46,7 +46,7 @@ def shown(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, T.DoubleType):
-            column = F.round(column, 6)
+            column = aggregates.steady_round(column, 6)
         elif isinstance(field.dataType, T.IntegerType):
             column = column.cast("long")
         columns.append(column.alias(field.name))

@@ -202,9 +202,26 @@ METRIC_VIEW = f"""cluster_id, {_t("minute_start")} AS minute_start, processed_re
   {_t("updated_at")} AS updated_at, {_d("minute_start")} AS metric_date"""
 
 
+def _half_up(sql: str) -> str:
+    """Round on decimals: six-digit ties must not depend on the last bit of a float sum."""
+    done, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + 6 : end - 1]
+        if inner.endswith(", 6)") or not inner.endswith(", 6"):
+            done, at = done + sql[at : start + 6], start + 6
+            continue
+        done += sql[at:start] + f"CAST(round(CAST({_half_up(inner[:-3])} AS DECIMAL(34, 10)), 6) AS DOUBLE)"
+        at = end
+    return done + sql[at:]
+
+
 def _add(name: str, final: str, *ctes: str, recursive: bool = False) -> None:
     head = "WITH RECURSIVE " if recursive else "WITH "
-    ORACLE[name] = head + ",".join([BASE, *ctes]) + "\n" + final
+    ORACLE[name] = _half_up(head + ",".join([BASE, *ctes]) + "\n" + final)
 
 
 # --- ingest ----------------------------------------------------------------------------------
@@ -368,7 +385,7 @@ _add(
     "parameter_averages",
     """SELECT n.parameter, coalesce(any_value(u.display_name), n.parameter) AS display_name,
   coalesce(nullif(arg_max(coalesce(n.unit, ''), (n.event_time, n.sensor_id)), ''), any_value(u.unit)) AS unit,
-  round(round(avg(n.value), 3), 6) AS average_value
+  CAST(round(CAST(avg(n.value) AS DECIMAL(24, 10)), 3) AS DOUBLE) AS average_value
 FROM newest_readings n LEFT JOIN rules u USING (parameter) GROUP BY n.parameter""",
     LATEST,
 )
@@ -389,7 +406,7 @@ _add(
 )
 _add(
     "named_averages",
-    "SELECT round(round(avg(value), 3), 6) AS average_value FROM newest_readings WHERE parameter = 'click'",
+    "SELECT CAST(round(CAST(avg(value) AS DECIMAL(24, 10)), 3) AS DOUBLE) AS average_value FROM newest_readings WHERE parameter = 'click'",
     LATEST,
 )
 
