@@ -74,19 +74,24 @@ def _fold_chunked(
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in group}, "_upto": upto, "_exit": leave})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunks, upto, leave = (pdf[c].to_numpy() for c in ("_chunk", "_upto", "_exit"))
+        order = np.lexsort((upto, chunks))
+        chunks, upto, leave = chunks[order], upto[order], leave[order]
+        numbers, starts = np.unique(chunks, return_index=True)
         free_at, entries = NEVER, []
-        for number, steps in pdf.sort_values(["_chunk", "_upto"]).groupby("_chunk", sort=True):
-            entries.append((number, free_at))
-            at = int(np.searchsorted(steps["_upto"].to_numpy(), free_at, side="left"))
-            if at < len(steps):
-                free_at = int(steps["_exit"].iloc[at])
-        rows = pd.DataFrame(entries, columns=["_chunk", "_entry"])
-        return rows.assign(**{k: pdf[k].iloc[0] for k in keys})[[*group, "_entry"]]
+        for start, end in zip(starts, [*starts[1:], len(chunks)]):
+            entries.append(free_at)
+            at = start + int(np.searchsorted(upto[start:end], free_at, side="left"))
+            if at < end:
+                free_at = int(leave[at])
+        head = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame({**head, "_chunk": numbers, "_entry": entries})
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", tie], ignore_index=True)
-        kept = emitted_positions(pdf["_at"].to_numpy(), int(pdf["_entry"].iloc[0]), cooldown)
-        return pdf.iloc[kept][[*keys, "_at", tie]]
+        times = pdf["_at"].to_numpy()
+        order = np.lexsort((pdf[tie].to_numpy(dtype=object), times))
+        kept = emitted_positions(times[order], int(pdf["_entry"].iloc[0]), cooldown)
+        return pdf[[*keys, "_at", tie]].iloc[order[kept]]
 
     long = T.LongType()
     steps_schema = T.StructType([*key_fields, T.StructField("_upto", long), T.StructField("_exit", long)])
@@ -109,7 +114,11 @@ def apply_cooldown(
     fold_limit: int = 5_000,
     chunk: str = "1 day",
 ) -> DataFrame:
-    """Alerts that a cooldown of ``seconds`` lets through, in event time, exact for any key size."""
+    """Alerts that a cooldown of ``seconds`` lets through, in event time, exact for any key size.
+
+    ``alerts`` is read once to count keys and once more to fold them (three times for crowded keys):
+    pass a stored alert table rather than a long derivation.
+    """
     unnamed = {"sensor_id": "unknown-sensor", "alert_type": "unknown-alert"}
     slots = {f"_key{i}": F.coalesce(k, F.lit(unnamed.get(k, ""))) for i, k in enumerate(keys)}
     keyed = alerts.withColumns(slots)

@@ -1,8 +1,8 @@
 """Join readings with the sensor registry and the parameter rules.
 
-No broadcast hints: the registry may grow with the installation. Spark broadcasts a side only below
-``autoBroadcastJoinThreshold`` and otherwise falls back to a shuffled join whose skewed partitions
-(a hot sensor) adaptive execution splits.
+The rule catalogue is broadcast after a check that it is small. The sensor registry may grow with the
+installation and carries no hint: Spark broadcasts it below ``autoBroadcastJoinThreshold`` and
+otherwise uses a shuffled join whose skewed partitions (a hot sensor) adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.functions.ids import global_sensor_id
 from gaugeflow.functions.rules import enabled, quality_status
+from gaugeflow.functions.sizes import broadcast_if_few
 from gaugeflow.functions.times import given_or_now, month_bucket
 
 RULE_FIELDS = (
@@ -34,13 +35,14 @@ def sensor_metadata(configs: DataFrame) -> DataFrame:
 
 
 def parameter_rules(rules: DataFrame) -> DataFrame:
-    return rules.select(
+    catalogue = rules.select(
         F.col("parameter").alias("rule_parameter"),
         "display_name",
         F.col("unit").alias("rule_unit"),
         *RULE_FIELDS,
         "enabled",
     )
+    return broadcast_if_few(catalogue)
 
 
 def enrich_readings(

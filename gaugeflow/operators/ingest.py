@@ -16,11 +16,21 @@ def stamp_messages(measurements: DataFrame, arrival=None) -> DataFrame:
     return measurements.select(F.col("sensor_id").alias("key"), F.to_json(body).alias("value"))
 
 
+def computed_once(struct: Column) -> Column:
+    """The struct's fields as columns, with the struct evaluated once per row.
+
+    A filter on columns of a plain projection is pushed below it together with the expressions, so
+    each tested field would parse the JSON again. It cannot be pushed through a generator.
+    """
+    return F.inline(F.array(struct))
+
+
 def parse_messages(raw: DataFrame, payload: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Broken JSON becomes a row of nulls; a field of the wrong type becomes null on its own."""
     message = F.from_json(F.col(payload).cast("string"), READING_MESSAGE)
-    parsed = raw.select(*keep, message.alias("message")).select(*keep, "message.*")
-    return parsed.withColumn("event_time", parse_event_time(F.col("timestamp")))
+    parsed = raw.select(*keep, computed_once(message))
+    moment = F.struct(parse_event_time(F.col("timestamp")).alias("event_time"))
+    return parsed.select("*", computed_once(moment))
 
 
 def is_valid() -> Column:
@@ -42,5 +52,5 @@ def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def decode_alerts(raw: DataFrame, payload: str = "value") -> DataFrame:
     """Alert consumer side: undecodable messages are skipped."""
     text = F.try_validate_utf8(F.col(payload).cast("string"))
-    decoded = raw.select(F.from_json(text, ALERT_MESSAGE).alias("alert")).select("alert.*")
+    decoded = raw.select(computed_once(F.from_json(text, ALERT_MESSAGE)))
     return decoded.filter(F.coalesce(*[F.col(f.name).cast("string") for f in ALERT_MESSAGE]).isNotNull())

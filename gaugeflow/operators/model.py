@@ -19,7 +19,10 @@ from gaugeflow.operators.training import first_per_class
 def train_risk_model(
     rows: DataFrame, features: Sequence[str], label: str = "target_class", **forest
 ) -> PipelineModel:
-    """Random forest over the feature columns; classes in alphabetical order."""
+    """Random forest over the feature columns; classes in alphabetical order.
+
+    The fit makes several passes, so the rows are kept (spilling to disk) while it runs.
+    """
     stages = [
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
@@ -27,7 +30,11 @@ def train_risk_model(
             featuresCol="features", labelCol="label_index", featureSubsetStrategy="sqrt", **{**FOREST, **forest}
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    kept = rows.select(label, *features).persist()
+    try:
+        return Pipeline(stages=stages).fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def model_labels(model: PipelineModel) -> list[str]:

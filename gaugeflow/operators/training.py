@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from gaugeflow.constants import HORIZON_MINUTES, NORMAL_CLASS, PARAMETERS
+from gaugeflow.functions.sizes import broadcast_if_few
 from gaugeflow.operators.features import RULE_BOUNDS, per_minute, widen
 from gaugeflow.operators.series import over_recent_rows, over_span
 from gaugeflow.session import scratch_root
@@ -60,7 +61,7 @@ def training_windows(
 
     chunk = F.floor(F.col("minute") / minutes_per_chunk).cast("long")
     rolled = over_recent_rows(samples, ["run_id", "parameter"], ["minute"], window_rows - 1, chunk, add)
-    bounds = rules.select("parameter", *RULE_BOUNDS)
+    bounds = broadcast_if_few(rules.select("parameter", *RULE_BOUNDS))
     measured = rolled.filter(F.col("minute") >= warmup).join(bounds, "parameter", "left")
     return widen(measured, ["run_id", "scenario", "minute"], parameters, 1, suffix)
 

@@ -20,7 +20,7 @@ from gaugeflow.plans.stations import CHUNK, ORDER, OUTCOMES, PARAMETERS, Station
 from gaugeflow.session import prepare, scratch_dir
 from gaugeflow.sources import tables
 from gaugeflow.sources.training_files import read_training_csv, write_training_csv
-from gaugeflow.streaming import aggregates as stream_aggregates, runtime, stateful
+from gaugeflow.streaming import aggregates as stream_aggregates, rolling, runtime, stateful
 
 Query = Callable[[Stations], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,9 +176,9 @@ def alert_cooldown(s):
 
 @query
 def alert_cooldown_split(s):
-    """The same with every key cut into chunks, as happens to hot keys."""
+    """The same with every key of more than two alerts cut into chunks, as happens to hot keys."""
     narrow = s.alerts().select("sensor_id", "alert_type", "event_time", "alert_id", "value")
-    return apply_cooldown(narrow, LONG_COOLDOWN, fold_limit=1, chunk=CHUNK)
+    return apply_cooldown(narrow, LONG_COOLDOWN, fold_limit=2, chunk=CHUNK)
 
 
 @query
@@ -195,6 +195,9 @@ SCORE_VIEW = (
 )
 
 
+STORED_SCORE_VIEW = tuple(c for c in SCORE_VIEW if c != "reading_id")
+
+
 @query
 def anomaly_scores(s):
     return s.scored().select(*SCORE_VIEW)
@@ -698,6 +701,19 @@ def stream_scores(s):
     return _to_files(s, scored, "stream-scores").select(*SCORE_VIEW)
 
 
+@query
+def stream_scores_in_batches(s):
+    """The same from the micro-batch writer that keeps its state in tables."""
+    root = scratch_dir(s.spark, "score-batches")
+    sink = runtime.score_writer(root, ("reading_id",))
+    writer = rolling.rolling_score_writer(
+        f"{root}/state", sink, order=ORDER, delay="0 seconds", chunk=CHUNK, computed_at=F.col("ingestion_time")
+    )
+    kept = runtime.fan_out(writer, skip_empty=False)
+    runtime.start(_stream(s), kept, "scores", f"{root}/checkpoints", drain=True).awaitTermination()
+    return tables.read_table(s.spark, root, "ai_scores_by_sensor_day").select(*STORED_SCORE_VIEW)
+
+
 @query
 def stream_cooldown(s):
     rows = derive_alerts(_stream(s), F.col("ingestion_time"))

@@ -328,6 +328,7 @@ _SCORE_VIEW = f"""reading_id, sensor_id, {_t("event_time")} AS event_time, {_r("
   {_r("anomaly_score")}, anomaly_level, explanation"""
 _add("anomaly_scores", f"SELECT {_SCORE_VIEW} FROM scored", SCORES)
 _add("stream_scores", f"SELECT {_SCORE_VIEW} FROM scored", SCORES)
+_add("stream_scores_in_batches", f"SELECT {_SCORE_VIEW.removeprefix('reading_id, ')} FROM scored", SCORES)
 _add("anomaly_scores_past_rows", f"SELECT {_SCORE_VIEW} FROM past", _scores("past", "11 PRECEDING AND 1 PRECEDING"))
 _add(
     "anomaly_levels",

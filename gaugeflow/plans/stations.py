@@ -32,6 +32,10 @@ ORDER = ("event_time", "reading_id")
 CHUNK = "30 days"
 
 
+def _literal(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+
 def _cluster(number: Column) -> Column:
     return F.concat(F.lit("C"), (number % 3 + 1).cast("string"))
 
@@ -90,7 +94,11 @@ class Stations:
         )
 
     def rules(self) -> DataFrame:
-        return self.spark.createDataFrame(RULES, RULE_COLUMNS)
+        names = ", ".join(field.split()[0] for field in RULE_COLUMNS.split(","))
+        kinds = {field.split()[0]: field.split()[1] for field in RULE_COLUMNS.split(",")}
+        rows = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in RULES)
+        typed = [F.col(name).cast(kind) for name, kind in kinds.items()]
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})").select(*typed)
 
     def enrich(self, readings: DataFrame) -> DataFrame:
         return enrich_readings(

@@ -1,0 +1,65 @@
+"""Rolling scores over micro-batches without Python state.
+
+The state is two small tables per batch: the last rows of every sensor, and the rows still held back
+for order. Batch ``n`` reads the state of batch ``n - 1`` and overwrites its own, so a replay gives
+the same result, and every step is a distributed batch plan - a hot sensor is split like in the
+batch operator.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from gaugeflow.constants import WATERMARK
+from gaugeflow.functions.times import interval_micros
+from gaugeflow.operators.scoring import rolling_statistics, score_components
+from gaugeflow.sources.tables import BatchWriter
+
+
+def rolling_score_writer(
+    state_root: str,
+    writer: BatchWriter,
+    window_rows: int = 5,
+    order: Sequence[str] = ("event_time",),
+    delay: str = WATERMARK,
+    chunk: str = "1 day",
+    computed_at=None,
+) -> BatchWriter:
+    """Scores each micro-batch's released rows and passes them to ``writer``.
+
+    Rows are released in event order once the newest event time seen is ``delay`` ahead; a row older
+    than what was already released is late and dropped. On-time rows score as in the batch operator.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, batch.columns
+
+        def earlier(part: str) -> DataFrame:
+            if batch_id == 0:
+                return spark.createDataFrame([], batch.schema)
+            return spark.read.schema(batch.schema).parquet(f"{state_root}/{batch_id - 1}/{part}")
+
+        def newest(rows: DataFrame) -> int:
+            return rows.agg(F.unix_micros(F.max("event_time")).alias("at")).first()["at"] or 0
+
+        hold = interval_micros(delay)
+        tails, waiting = earlier("tails"), earlier("waiting")
+        seen_before = max(newest(tails), newest(waiting))
+        released, release = seen_before - hold, max(seen_before, newest(batch)) - hold
+        moment = F.unix_micros("event_time")
+        on_time = batch.filter(moment > released) if seen_before else batch
+        rows = waiting.unionByName(on_time)
+        ready = rows.filter(moment <= release)
+
+        history = tails.withColumn("_old", F.lit(True)).unionByName(ready.withColumn("_old", F.lit(False)))
+        rolled = rolling_statistics(history, window_rows, True, order, chunk).filter("NOT _old").drop("_old")
+        writer(score_components(rolled, computed_at), batch_id)
+
+        last_first = Window.partitionBy("sensor_id").orderBy(*[F.col(c).desc() for c in order])
+        kept = history.withColumn("_place", F.row_number().over(last_first)).filter(F.col("_place") < window_rows)
+        kept.select(*columns).write.mode("overwrite").parquet(f"{state_root}/{batch_id}/tails")
+        rows.filter(moment > release).select(*columns).write.mode("overwrite").parquet(f"{state_root}/{batch_id}/waiting")
+
+    return write

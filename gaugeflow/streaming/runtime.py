@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +12,9 @@ from gaugeflow.operators.alerts import derive_alerts
 from gaugeflow.operators.latest import latest_readings, latest_scores
 from gaugeflow.operators.model import predict_risk
 from gaugeflow.session import ROCKSDB_PROVIDER
-from gaugeflow.sources.tables import append_batch
+from gaugeflow.sources.tables import BatchWriter, append_batch
 from gaugeflow.streaming.aggregates import stream_daily, stream_features, stream_hourly
-from gaugeflow.streaming.stateful import stream_scores
-
-BatchWriter = Callable[[DataFrame, int], None]
+from gaugeflow.streaming.rolling import rolling_score_writer
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -24,13 +22,13 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def fan_out(*writers: BatchWriter) -> BatchWriter:
-    """Several writes from one micro-batch: computed once, skipped when empty."""
+def fan_out(*writers: BatchWriter, skip_empty: bool = True) -> BatchWriter:
+    """Several writes from one micro-batch: computed once, by default skipped when empty."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            if not batch.isEmpty():
+            if not (skip_empty and batch.isEmpty()):
                 for writer in writers:
                     writer(batch, batch_id)
         finally:
@@ -104,9 +102,13 @@ def start_pipeline(
     """Every table from one enriched reading stream.
 
     Readings and alerts share one query, so parsing and enrichment run once for them; only the
-    stateful outputs need queries of their own.
+    stateful outputs need queries of their own. The score state is numbered by batch, so its query
+    also handles empty batches.
     """
     use_rocksdb(enriched.sparkSession)
+    scores = rolling_score_writer(
+        f"{checkpoint_root}/scores-state", score_writer(root, tie), order=("event_time", *tie), delay=watermark
+    )
     where = {"checkpoint_root": checkpoint_root, "drain": drain}
     queries = [
         start(enriched, fan_out(reading_writer(root, tie), alert_writer(root)), "readings_and_alerts", **where),
@@ -118,10 +120,7 @@ def start_pipeline(
             stream_daily(enriched, watermark),
             fan_out(table_writer(root, "readings_daily_by_cluster_parameter")), "daily", mode="update", **where,
         ),
-        start(
-            stream_scores(enriched, order=("event_time", *tie), watermark=watermark),
-            fan_out(score_writer(root, tie)), "scores", **where,
-        ),
+        start(enriched, fan_out(scores, skip_empty=False), "scores", **where),
     ]
     if model is not None:
         rows = stream_features(enriched, watermark=watermark, **(features or {}))
