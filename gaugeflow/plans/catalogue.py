@@ -332,7 +332,7 @@ def readings_page(s):
 @query
 def first_sensor_readings(s):
     """Without a sensor, the first registered one of the cluster is shown."""
-    chosen = reads._of_sensor(s.enriched(), s.configs(), None, "C2")
+    chosen = reads.of_sensor(s.enriched(), s.configs(), None, "C2")
     return reads.newest_page(chosen, 5, "event_time").select("sensor_id", "event_time", "value")
 
 

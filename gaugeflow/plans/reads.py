@@ -45,7 +45,7 @@ def newest_page(df: DataFrame, limit: int, *order: str) -> DataFrame:
     return newest.orderBy(*order)
 
 
-def _of_sensor(df: DataFrame, configs: DataFrame, sensor_id: str | None, cluster_id: str | None) -> DataFrame:
+def of_sensor(df: DataFrame, configs: DataFrame, sensor_id: str | None, cluster_id: str | None) -> DataFrame:
     if tidy(sensor_id):
         return matching(df, sensor_id=sensor_id)
     return df.join(first_sensor(matching(configs, cluster_id=cluster_id)), "sensor_id", "left_semi")
@@ -66,7 +66,7 @@ def readings_page(
     readings: DataFrame, configs: DataFrame, sensor_id=None, cluster_id=None, day=None, limit=200, as_of=None
 ) -> DataFrame:
     """Newest readings of a sensor-day, oldest first; without a sensor, of the first registered one."""
-    chosen = _of_sensor(on_day(readings, "bucket_date", day, as_of), configs, sensor_id, cluster_id)
+    chosen = of_sensor(on_day(readings, "bucket_date", day, as_of), configs, sensor_id, cluster_id)
     return newest_page(chosen, limit, "event_time")
 
 
@@ -105,7 +105,7 @@ def insights_page(
     limit=120, limit_first: bool = True, as_of=None,
 ) -> DataFrame:
     """Scores of a sensor-day. The level filter comes after the limit unless ``limit_first=False``."""
-    chosen = _of_sensor(on_day(scores, "bucket_date", day, as_of), configs, sensor_id, cluster_id)
+    chosen = of_sensor(on_day(scores, "bucket_date", day, as_of), configs, sensor_id, cluster_id)
     level = (tidy(anomaly_level) or "").upper()
     if limit_first:
         return matching(newest_page(chosen, limit, "event_time"), anomaly_level=level).orderBy("event_time")
