@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gaugeflow.constants import FEATURE_WINDOW, PARAMETERS
 from gaugeflow.functions.rules import capped_distance, value_state
@@ -119,29 +120,48 @@ def active_locations(readings: DataFrame, as_of, window: str = FEATURE_WINDOW, l
     return recent.select(F.col(location).alias("location_id")).distinct().orderBy("location_id")
 
 
+def span_statistics(at: np.ndarray, value: np.ndarray, reach: int) -> dict[str, np.ndarray]:
+    """Statistics of ``[t - reach, t]`` for every sorted position: prefix sums, linear in the rows."""
+    low = np.searchsorted(at, at - reach, side="left")
+    high = np.searchsorted(at, at, side="right")
+    n = high - low
+    centre = value.mean()
+    offset = (value - centre).astype(np.longdouble)
+    sums = np.concatenate([[0], np.cumsum(offset)])
+    squares = np.concatenate([[0], np.cumsum(offset * offset)])
+    total = sums[high] - sums[low]
+    spread = np.maximum(squares[high] - squares[low] - total * total / n, 0) / np.maximum(n - 1, 1)
+    # A span without a change has no spread, whatever the sums' last bits say.
+    changes = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
+    steady = changes[high - 1] == changes[low]
+    minutes = (at[high - 1] - at[low]) / 60e6
+    rise = value[high - 1] - value[low]
+    return {
+        "n": n,
+        "mean": (total / n + centre).astype(float),
+        "std": np.where(steady, 0.0, np.sqrt(spread).astype(float)),
+        "slope": np.divide(rise, minutes, out=np.zeros(len(at)), where=minutes > 0),
+    }
+
+
 def trailing_measures(
     readings: DataFrame, window: str = FEATURE_WINDOW, location: str = "cluster_id", chunk_factor: int = 12
 ) -> DataFrame:
     """Per reading: count, mean, deviation and slope over the window ending at it, both ends included.
 
+    All columns of ``readings`` travel to Python workers; select what is needed before.
     ``chunk_factor`` sets the chunk length in windows: larger copies fewer rows over the seams,
     smaller spreads a hot series over more tasks.
     """
     reach = interval_micros(window)
 
-    def add(df: DataFrame, series: WindowSpec) -> DataFrame:
-        span = series.rangeBetween(-reach, 0)
-        first = F.min_by("value", "event_time").over(span)
-        last = F.max_by("value", "event_time").over(span)
-        elapsed = F.col("_position") - F.min("_position").over(span)
-        return df.withColumns(
-            {
-                "n": F.count("*").over(span),
-                "mean": F.avg("value").over(span),
-                "std": F.coalesce(F.stddev_samp("value").over(span), F.lit(0.0)),
-                "slope": per_minute(last - first, elapsed),
-            }
-        )
+    def add(df: DataFrame, groups: list[str]) -> DataFrame:
+        def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_position", kind="stable", ignore_index=True)
+            return pdf.assign(**span_statistics(pdf["_position"].to_numpy(), pdf["value"].to_numpy(), reach))
+
+        added = [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("mean", "std", "slope")]
+        return df.groupBy(*groups).applyInPandas(measure, T.StructType([*df.schema.fields, *added]))
 
     keys = [location, "parameter"]
     return over_span(readings, keys, F.unix_micros("event_time"), reach, 0, reach * chunk_factor, add)

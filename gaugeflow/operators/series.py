@@ -6,8 +6,9 @@ task. Both helpers cut every series into chunks and stay exact at the seams:
 * row frames: only the first rows of a chunk can look across the seam, and all they look at are the
   last rows of earlier chunks. Those edge rows - at most ``2 * lookback`` per series and chunk - get
   a second, small window over the whole series.
-* range frames: a row is copied into each chunk whose frames can reach it and the copies are dropped
-  after the window ran.
+* spans of time: a row is copied into each chunk whose rows can reach it and the copies are dropped
+  afterwards. Spark recomputes a sliding RANGE frame for every row, which is quadratic in a dense
+  series, so the operators on spans use running frames or prefix sums instead.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql.window import WindowSpec
 from gaugeflow.functions.times import interval_micros
 
 AddColumns = Callable[[DataFrame, WindowSpec], DataFrame]
+AddInGroups = Callable[[DataFrame, list[str]], DataFrame]
 
 # Candidate chunk lengths, coarse to fine.
 CHUNK_LADDER = ("365 days", "30 days", "1 day", "1 hour", "10 minutes", "1 minute", "1 second")
@@ -50,19 +52,19 @@ def over_recent_rows(
 
 
 def over_span(
-    df: DataFrame, keys: Sequence[str], position: Column, before: int, after: int, length: int, add: AddColumns
+    df: DataFrame, keys: Sequence[str], position: Column, before: int, after: int, length: int, add: AddInGroups
 ) -> DataFrame:
-    """Run ``add(df, window)`` for RANGE frames within ``position - before .. position + after``.
+    """Run ``add(df, groups)`` where a row depends on rows at ``position - before .. position + after``.
 
-    ``position`` is an integer such as microseconds; the window is ordered by ``_position``.
+    ``position`` is an integer such as microseconds, seen by ``add`` as ``_position``; ``groups`` are
+    the columns to partition by. Every row a group's own rows depend on is in the group.
     """
     size = F.lit(length)
     placed = df.withColumn("_position", position).withColumn("_home", F.floor(F.col("_position") / size).cast("long"))
     first = F.floor((F.col("_position") - after) / size).cast("long")
     final = F.floor((F.col("_position") + before) / size).cast("long")
     spread = placed.withColumn("_chunk", F.explode(F.sequence(first, final)))
-    near = Window.partitionBy(*keys, "_chunk").orderBy("_position")
-    return add(spread, near).filter("_chunk = _home").drop("_position", "_home", "_chunk")
+    return add(spread, [*keys, "_chunk"]).filter("_chunk = _home").drop("_position", "_home", "_chunk")
 
 
 def suggest_chunk(df: DataFrame, keys: Sequence[str], moment: str, target_rows: int = 5_000_000) -> str:

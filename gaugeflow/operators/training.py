@@ -22,12 +22,28 @@ def horizon_class(scenario: Column, minute: Column, event_start: Column, horizon
 
 
 def horizon_labels(
-    df: DataFrame, keys: Sequence[str], position: str, state: str, horizon: int, length: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    state: str,
+    horizon: int,
+    length: int | None = None,
+    levels: Sequence[int] = (0, 1),
 ) -> DataFrame:
-    """``label``: the greatest ``state`` in the ``horizon`` after each row, the row itself excluded."""
+    """``label``: the greatest ``state`` in the ``horizon`` after each row, the row itself excluded.
 
-    def add(rows: DataFrame, series: WindowSpec) -> DataFrame:
-        return rows.withColumn("label", F.max(state).over(series.rangeBetween(1, horizon)))
+    ``levels`` lists the values the state takes. For each level the next position that has it comes
+    from a running minimum over the reversed series, so a dense series costs no more than a sparse.
+    """
+
+    def add(rows: DataFrame, groups: list[str]) -> DataFrame:
+        ahead = Window.partitionBy(*groups).orderBy(F.col("_position").desc())
+        ahead = ahead.rangeBetween(Window.unboundedPreceding, -1)
+        coming = {f"_next{level}": F.min(F.when(F.col(state) == level, F.col("_position"))).over(ahead) for level in levels}
+        due = F.col("_position") + horizon
+        reached = [F.when(F.col(f"_next{level}") <= due, F.lit(level)) for level in levels]
+        label = F.greatest(*reached) if len(reached) > 1 else reached[0]
+        return rows.withColumns(coming).withColumn("label", label).drop(*coming)
 
     return over_span(df, keys, F.col(position).cast("long"), 0, horizon, length or horizon * 12, add)
 

@@ -484,7 +484,8 @@ def active_locations(s):
 
 @query
 def trailing_measures(s):
-    trailing = features.trailing_measures(s.enriched(), FEATURE_SPAN)
+    narrow = s.enriched().select("reading_id", "cluster_id", "parameter", "event_time", "value")
+    trailing = features.trailing_measures(narrow, FEATURE_SPAN)
     return trailing.select("reading_id", "n", "mean", "std", "slope")
 
 
