@@ -29,7 +29,7 @@ RULES = [
 ]
 OUTCOMES = ("high_critical", "high_warning", "low_critical", "low_warning", "normal")
 ORDER = ("event_time", "reading_id")
-CHUNK = "30 days"
+CHUNK = "1 day"
 
 
 def _literal(v) -> str:

@@ -41,3 +41,30 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_overview_page_parts(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeflow.operators import latest, model
+    from gaugeflow.operators.aggregates import pipeline_metrics
+    from gaugeflow.plans import reads
+    from gaugeflow.plans.stations import OUTCOMES, Stations
+
+    s = Stations(spark, SF_DIR)
+    scored = s.scored()
+    predictions = model.prediction_rows(s.outcome_shares(), OUTCOMES, computed_at=F.col("prediction_time"))
+    parts = reads.overview(
+        s.configs(),
+        latest.latest_readings(s.enriched(), ("reading_id",)),
+        latest.latest_scores(scored, ("reading_id",)),
+        s.alerts(),
+        pipeline_metrics(scored),
+        s.rules(),
+        latest.latest_per_key(predictions, ["location_id"], ["prediction_time"]),
+        "2024-01-10 12:00:00",
+    )
+    sizes = {name: part.count() for name, part in parts.items()}
+    assert sizes["status"] == sizes["counts"] == sizes["latest_metric"] == sizes["latest_ml_prediction"] == 1
+    assert sizes["latest_readings"] == sizes["latest_ai"] > 0 and sizes["parameter_averages"] == 5
+    assert sizes["recent_alerts"] <= 20

@@ -15,7 +15,7 @@ from gaugeflow.operators.training import horizon_labels
 def hot(spark):
     rng = random.Random(7)
     rows, at = [], 1_700_000_000_000_000
-    for i in range(3_000):
+    for i in range(1_200):
         at += rng.choice([1, 50_000, 900_000, 40_000_000, 4_000_000_000])
         rows.append((i, "hot" if rng.random() < 0.7 else f"s{rng.randint(0, 40)}", rng.uniform(0, 10), at))
     frame = spark.createDataFrame(rows, "id long, sensor_id string, value double, at long")
