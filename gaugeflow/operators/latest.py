@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.functions.times import given_or_now
+from gaugeflow.schemas import TABLES
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -31,11 +32,18 @@ def retain(df: DataFrame, time_column: str, ttl_seconds: int, as_of=None) -> Dat
     return df.filter(F.col(time_column) > cutoff)
 
 
+def _latest_for_table(rows: DataFrame, table: str, tie: Sequence[str]) -> DataFrame:
+    """Only the table's columns are carried through the sort and shuffle of the aggregate."""
+    spec = TABLES[table]
+    narrow = rows.select(*spec.columns, *[c for c in tie if c not in spec.columns])
+    return latest_per_key(narrow, spec.keys, ["event_time", *tie]).select(*spec.columns)
+
+
 def latest_readings(enriched: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     rows = enriched.withColumn("updated_at", F.col("ingestion_time"))
-    return latest_per_key(rows, ["cluster_id", "parameter", "sensor_id"], ["event_time", *tie])
+    return _latest_for_table(rows, "latest_readings_by_cluster", tie)
 
 
 def latest_scores(scored: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     rows = scored.withColumn("updated_at", F.col("computed_at"))
-    return latest_per_key(rows, ["cluster_id", "parameter", "sensor_id"], ["event_time", *tie])
+    return _latest_for_table(rows, "latest_ai_scores_by_cluster", tie)

@@ -706,7 +706,25 @@ _add(
     JUDGED,
 )
 
-# --- tables ----------------------------------------------------------------------------------
+# --- tables and streams ----------------------------------------------------------------------
+
+_add(
+    "stream_alarms",
+    f"""SELECT sensor_id, alert_type, 'ACTIVE' AS state, arg_min(severity, event_time) AS severity, {_t("min(event_time)")} AS first_seen,
+  {_t("min(event_time)")} AS last_seen, CAST(1 AS BIGINT) AS alert_count FROM episodes GROUP BY sensor_id, alert_type, episode
+UNION ALL
+SELECT sensor_id, alert_type, 'RESOLVED' AS state, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+  {_t("min(event_time)")} AS first_seen, {_t("max(event_time)")} AS last_seen, count(*) AS alert_count
+FROM episodes GROUP BY sensor_id, alert_type, episode
+HAVING any_value(episode) < max(episodes) OR (epoch_us(max(event_time)) + 172800000000) // 1000 + 1 <= (SELECT epoch_us(max(event_time)) // 1000 FROM alerts)""",
+    """
+gaps AS (
+  SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY sensor_id, alert_type ORDER BY event_time, alert_id) > INTERVAL 2 DAY
+    THEN 1 ELSE 0 END AS opens FROM alerts),
+numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY sensor_id, alert_type ORDER BY event_time, alert_id) AS episode FROM gaps),
+episodes AS (SELECT *, max(episode) OVER (PARTITION BY sensor_id, alert_type) AS episodes FROM numbered)""",
+)
 
 _add(
     "stored_readings",
