@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,5 +54,4 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the scratch root (not created; Spark writers create it)."""
-    unique = spark.sql("SELECT uuid() AS u").first()["u"]
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{unique}"
+    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4()}"
