@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, secrets
+from gaugeflow.llm import decontam, mixing, secrets, simhash
 from gaugeflow.llm.common import table
 
 
@@ -16,6 +16,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, secrets.span_text(F.col("secrets")).alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     marked = decontam.mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -25,5 +37,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
+    "op5_mixing": op5_mixing,
+    "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
