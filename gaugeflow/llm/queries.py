@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, mixing, secrets, simhash
+from gaugeflow.llm import decontam, mixing, quality, secrets, simhash
 from gaugeflow.llm.common import table
 
 
@@ -22,6 +22,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", predicted)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
@@ -38,6 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
