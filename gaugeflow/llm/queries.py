@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, mixing, quality, secrets, simhash
+from gaugeflow.llm import decontam, mixing, pii, quality, secrets, simhash
 from gaugeflow.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counts = [pii.count_kind(F.col("pii"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    base = F.sha2(pii.span_text(pii.base_spans(F.col("pii"))), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.span_text(F.col("pii")).alias("spans"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -43,6 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
