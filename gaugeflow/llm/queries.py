@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, mixing, pii, quality, secrets, simhash
+from gaugeflow.llm import decontam, katz, mixing, pii, quality, secrets, simhash
 from gaugeflow.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", predicted)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = katz.score_text(docs, keep=["doc_id"])
+    held_out = (katz.fold("doc_id") == katz.HELD_OUT).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
@@ -55,6 +63,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op8_language_model": op8_language_model,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
