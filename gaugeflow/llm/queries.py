@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, katz, mixing, pii, quality, secrets, simhash
+from gaugeflow.llm import decontam, katz, mixing, phrases, pii, quality, secrets, simhash
 from gaugeflow.llm.common import table
 
 
@@ -37,6 +37,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", predicted)
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after recurring passages are removed."""
+    kept = phrases.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +69,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_language_model": op8_language_model,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
