@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, katz, mixing, phrases, pii, quality, secrets, simhash
+from gaugeflow.llm import decontam, html, katz, mixing, phrases, pii, quality, secrets, simhash
 from gaugeflow.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, secrets.span_text(F.col("secrets")).alias("spans"))
 
 
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -67,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_secret_scan": op3_secret_scan,
+    "op4_page_text": op4_page_text,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op7_repeated_passages": op7_repeated_passages,
