@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, html, katz, mixing, phrases, pii, quality, secrets, simhash
+from gaugeflow.llm import decontam, hnsw, html, katz, mixing, phrases, pii, quality, secrets, simhash
 from gaugeflow.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base, pii.span_text(F.col("pii")).alias("spans"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every vector."""
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -71,6 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_near_vectors": op2_near_vectors,
     "op3_secret_scan": op3_secret_scan,
     "op4_page_text": op4_page_text,
     "op5_mixing": op5_mixing,
