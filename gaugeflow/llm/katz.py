@@ -82,15 +82,13 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def discounts(counts_of_counts: dict[int, int], top: int = DISCOUNTED) -> np.ndarray:
-    """Factors for the counts 0 to ``top``: Katz's discounts; 1 where the counts of counts give no proper estimate."""
+    """Factors for the counts 0 to ``top``: Katz's discounts, or half a count off where they are no proper estimate."""
     out = np.ones(top + 1)
     n = [counts_of_counts.get(r, 0) for r in range(top + 2)]
-    if n[1]:
-        tail = (top + 1) * n[top + 1] / n[1]
-        for r in range(1, top + 1):
-            if n[r] and n[r + 1] and tail < 1:
-                factor = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)
-                out[r] = factor if 0 < factor <= 1 else 1.0
+    tail = (top + 1) * n[top + 1] / n[1] if n[1] else 1.0
+    for r in range(1, top + 1):
+        factor = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail < 1 else 0.0
+        out[r] = factor if 0 < factor < 1 else (r - 0.5) / r
     return out
 
 
