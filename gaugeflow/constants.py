@@ -63,7 +63,6 @@ MAX_PAGE = 500
 RECENT_INTERVAL = "5 minutes"
 COOLDOWN_SECONDS = 300
 WATERMARK = "10 minutes"
-MAX_OFFSETS_PER_TRIGGER = 600
 
 # --- fixed values: notification texts --------------------------------------------------------
 MAIL_TITLE = "Water quality alert"

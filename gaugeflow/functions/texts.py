@@ -12,17 +12,25 @@ def text_of(name: str, default: str = UNKNOWN) -> Column:
     return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(default))
 
 
+def number_text(name: str) -> Column:
+    """A double as digits with at least one decimal, up to 1e16 without an exponent; null gives the default."""
+    number = F.col(name)
+    whole = F.concat(F.format_string("%.0f", number), F.lit(".0"))
+    plain = F.abs(number).between(1e7, 9.99e15) & (number == F.round(number, 0))
+    return F.when(plain, whole).otherwise(text_of(name))
+
+
 def _with_unit(text: Column) -> Column:
     unit = text_of("unit", "")
     return F.when(unit == "", text).otherwise(F.concat_ws(" ", text, unit))
 
 
 def mail_reading() -> Column:
-    return _with_unit(text_of("value"))
+    return _with_unit(number_text("value"))
 
 
 def chat_reading() -> Column:
-    return F.concat(text_of("parameter"), F.lit(": "), _with_unit(text_of("value")))
+    return F.concat(text_of("parameter"), F.lit(": "), _with_unit(number_text("value")))
 
 
 def place() -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugeflow.constants import RECENT_INTERVAL
@@ -64,9 +66,14 @@ def system_status(
 
 
 def overview_counts(
-    sensors: DataFrame, alerts: DataFrame, latest: DataFrame, as_of=None, quiet: str = RECENT_INTERVAL
+    sensors: DataFrame,
+    alerts: DataFrame,
+    latest: DataFrame,
+    as_of=None,
+    quiet: str = RECENT_INTERVAL,
+    averaged: Sequence[str] = ("pH", "temperature"),
 ) -> DataFrame:
-    """One row: registered sensors, recent alerts, and the mean of two named parameters."""
+    """One row: registered sensors, recent alerts, and the mean of the ``averaged`` parameters."""
     absent = F.lit(None)
     recent = alerts.filter(is_recent(F.col("event_time"), as_of, quiet))
     facts = (
@@ -81,8 +88,7 @@ def overview_counts(
     return facts.agg(
         F.count_if(F.col("kind") == "sensor").alias("active_sensor_count"),
         F.count_if(F.col("kind") == "alert").alias("active_alert_count"),
-        mean_of("pH").alias("average_ph"),
-        mean_of("temperature").alias("average_temperature"),
+        *[mean_of(p).alias(f"average_{p.lower()}") for p in averaged],
     )
 
 

@@ -56,26 +56,14 @@ def sensor_references(refs: DataFrame, column: str = "ref") -> DataFrame:
     )
 
 
-def dump_configs(clusters: DataFrame, configs: DataFrame, page_size: int = 1_000) -> DataFrame:
-    """Registry nested per cluster: map of local sensor id to its settings.
+def dump_configs(clusters: DataFrame, configs: DataFrame) -> DataFrame:
+    """One row per cluster and sensor with the sensor's settings under their patch names.
 
-    Clusters without sensors appear with an empty map, sensors of an unlisted cluster bring their
-    cluster along. A large cluster is spread over hash pages of about ``page_size`` sensors, so no
-    task gathers a whole cluster.
+    Clusters without sensors appear once without a sensor, sensors of an unlisted cluster bring their cluster along.
     """
-    sizes = configs.groupBy("cluster_id").agg(F.count("*").alias("sensors"))
-    pages = F.ceil(F.col("sensors") / page_size)
-    paged = configs.join(sizes, "cluster_id").withColumn("page", F.pmod(F.xxhash64("sensor_id"), pages))
-    body = F.struct(*[F.col(stored).alias(field) for field, (stored, _) in PATCH_FIELDS.items()])
-    nested = paged.groupBy("cluster_id", "page").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("sensor_id", body)))).alias("sensors")
-    )
-    kind = nested.schema["sensors"].dataType.simpleString()
-    empty = F.from_json(F.lit("{}"), kind)
-    listed = clusters.select("cluster_id").distinct().join(nested, "cluster_id", "full_outer")
-    return listed.select(
-        "cluster_id", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("sensors", empty).alias("sensors")
-    )
+    fields = [F.col(stored).alias(field) for field, (stored, _) in PATCH_FIELDS.items()]
+    sensors = configs.select("cluster_id", "sensor_id", *fields)
+    return clusters.select("cluster_id").distinct().join(sensors, "cluster_id", "full_outer")
 
 
 def reduce_patches(patches: DataFrame, order: str = "patch_time") -> DataFrame:

@@ -117,8 +117,10 @@ def apply_cooldown(
     """Alerts that a cooldown of ``seconds`` lets through, in event time, exact for any key size.
 
     ``alerts`` is read once to count keys and once more to fold them (three times for crowded keys):
-    pass a stored alert table rather than a long derivation.
+    pass a stored alert table rather than a long derivation. Without a cooldown (0 or less) every alert passes.
     """
+    if seconds <= 0:
+        return alerts
     unnamed = {"sensor_id": "unknown-sensor", "alert_type": "unknown-alert"}
     slots = {f"_key{i}": F.coalesce(k, F.lit(unnamed.get(k, ""))) for i, k in enumerate(keys)}
     keyed = alerts.withColumns(slots)

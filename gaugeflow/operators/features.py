@@ -37,13 +37,17 @@ def per_minute(rise: Column, elapsed_micros: Column) -> Column:
     return F.when(elapsed_micros > 0, rise / (elapsed_micros / 60e6)).otherwise(0.0)
 
 
-def parameter_measures(readings: DataFrame, by: Sequence[str | Column]) -> DataFrame:
-    """One row per group and parameter. Fixed-width buffers only: a hash aggregate, combined map-side."""
-    newest = [F.max_by(name, "event_time").alias(name) for name in RULE_BOUNDS]
+def parameter_measures(readings: DataFrame, by: Sequence[str | Column], tie: str | None = None) -> DataFrame:
+    """One row per group and parameter, combined map-side.
+
+    A unique ``tie`` column settles readings of the same moment; without it the buffers are fixed-width.
+    """
+    order = F.struct("event_time", tie) if tie else F.col("event_time")
+    newest = [F.max_by(name, order).alias(name) for name in RULE_BOUNDS]
     summary = readings.groupBy(*by, "parameter").agg(
         F.count("*").alias("n"),
-        F.max_by("value", "event_time").alias("latest"),
-        F.min_by("value", "event_time").alias("earliest"),
+        F.max_by("value", order).alias("latest"),
+        F.min_by("value", order).alias("earliest"),
         F.avg("value").alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
         (F.unix_micros(F.max("event_time")) - F.unix_micros(F.min("event_time"))).alias("elapsed"),
@@ -85,6 +89,7 @@ def window_features(
     min_readings: int = 2,
     location: str = "cluster_id",
     suffix: str = "5m",
+    tie: str | None = None,
 ) -> DataFrame:
     """Feature row per location and window; ``slide`` shorter than ``window`` gives overlapping ones.
 
@@ -92,7 +97,7 @@ def window_features(
     """
     usable = readings.filter("rule_enabled").filter(F.col("parameter").isin(*parameters))
     span = F.window("event_time", window, slide or window).alias("span")
-    measures = parameter_measures(usable, [F.col(location).alias("location_id"), span])
+    measures = parameter_measures(usable, [F.col(location).alias("location_id"), span], tie)
     wide = widen(measures, ["location_id", "span"], parameters, min_readings, suffix)
     return wide.withColumn("prediction_time", F.col("span.end")).drop("span")
 
@@ -105,12 +110,13 @@ def features_at(
     min_readings: int = 2,
     location: str = "cluster_id",
     suffix: str = "5m",
+    tie: str | None = None,
 ) -> DataFrame:
     """Feature rows for one moment; the window holds both its ends."""
     moment = given_or_now(prediction_time)
     usable = readings.filter("rule_enabled").filter(F.col("parameter").isin(*parameters))
     usable = usable.filter(F.col("event_time").between(moment - interval(window), moment))
-    measures = parameter_measures(usable, [F.col(location).alias("location_id")])
+    measures = parameter_measures(usable, [F.col(location).alias("location_id")], tie)
     return widen(measures, ["location_id"], parameters, min_readings, suffix).withColumn("prediction_time", moment)
 
 

@@ -26,9 +26,10 @@ Query = Callable[[Stations], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 AS_OF = "2024-01-20 00:00:00"
+EXPIRY_AS_OF = "2024-04-15 00:00:00"
 LONG_COOLDOWN = 3 * 86_400
 FEATURE_SPAN = "12 hours"
-FEATURES = features.feature_columns(PARAMETERS, "12h")
+RISK_FEATURES = features.feature_columns(PARAMETERS, "6h")
 
 
 def query(fn: Query) -> Query:
@@ -174,6 +175,12 @@ def alert_cooldown(s):
     return apply_cooldown(s.alerts().select("sensor_id", "alert_type", "event_time", "alert_id", "value"), LONG_COOLDOWN)
 
 
+@query
+def alert_cooldown_zero(s):
+    """Without a cooldown nothing is held back."""
+    return apply_cooldown(s.alerts().select("sensor_id", "alert_type", "event_time", "alert_id", "value"), 0)
+
+
 @query
 def alert_cooldown_split(s):
     """The same with every key of more than two alerts cut into chunks, as happens to hot keys."""
@@ -249,12 +256,12 @@ def retained_readings(s):
 
 @query
 def hourly_aggregates(s):
-    return aggregates.hourly_aggregates(s.enriched()).drop("updated_at")
+    return aggregates.hourly_aggregates(s.enriched(), tie="reading_id").drop("updated_at")
 
 
 @query
 def daily_aggregates(s):
-    return aggregates.daily_aggregates(s.enriched()).drop("updated_at")
+    return aggregates.daily_aggregates(s.enriched(), tie="reading_id").drop("updated_at")
 
 
 def metrics(s: Stations) -> DataFrame:
@@ -290,9 +297,7 @@ def system_status(s):
 @query
 def overview_counts(s):
     newest = latest.latest_readings(s.enriched(), ("reading_id",))
-    return alarms.overview_counts(s.configs(), s.alerts(), newest, AS_OF, "1 day").select(
-        "active_sensor_count", "active_alert_count"
-    )
+    return alarms.overview_counts(s.configs(), s.alerts(), newest, AS_OF, "1 day", ("click", "error"))
 
 
 @query
@@ -392,9 +397,7 @@ def known_clusters(s):
 
 @query
 def config_dump(s):
-    pages = configs.dump_configs(s.clusters(), s.configs(), page_size=100)
-    opened = pages.select("cluster_id", F.explode_outer("sensors").alias("sensor_id", "config"))
-    return opened.select("cluster_id", "sensor_id", "config.*")
+    return configs.dump_configs(s.clusters(), s.configs())
 
 
 @query
@@ -464,17 +467,17 @@ def value_states(s):
 
 @query
 def window_features(s):
-    return features.window_features(s.enriched(), PARAMETERS, FEATURE_SPAN, suffix="12h")
+    return features.window_features(s.enriched(), PARAMETERS, FEATURE_SPAN, suffix="12h", tie="reading_id")
 
 
 @query
 def sliding_features(s):
-    return features.window_features(s.enriched(), PARAMETERS, FEATURE_SPAN, slide="4 hours", suffix="12h")
+    return features.window_features(s.enriched(), PARAMETERS, FEATURE_SPAN, slide="4 hours", suffix="12h", tie="reading_id")
 
 
 @query
 def features_at(s):
-    return features.features_at(s.enriched(), AS_OF, PARAMETERS, "24 hours", suffix="24h")
+    return features.features_at(s.enriched(), AS_OF, PARAMETERS, "24 hours", suffix="24h", tie="reading_id")
 
 
 @query
@@ -610,7 +613,7 @@ def confusion_matrix(s):
 
 def _risk_rows(s: Stations) -> DataFrame:
     """Window features labelled with the next window's outcome: critical readings or not."""
-    rows = features.window_features(s.enriched(), PARAMETERS, "6 hours", suffix="12h", min_readings=1)
+    rows = features.window_features(s.enriched(), PARAMETERS, "6 hours", suffix="6h", min_readings=1, tie="reading_id")
     coming = rows.select(
         "location_id",
         (F.col("prediction_time") - F.expr("INTERVAL 6 HOURS")).alias("prediction_time"),
@@ -624,7 +627,7 @@ def _risk_rows(s: Stations) -> DataFrame:
 def _fitted(s: Stations):
     rows = _risk_rows(s)
     train, test = training.split_by_run(rows)
-    return model.train_risk_model(train, FEATURES, numTrees=50, maxDepth=6), test
+    return model.train_risk_model(train, RISK_FEATURES), test
 
 
 @query
@@ -636,7 +639,7 @@ def train_and_predict(s):
 @query
 def feature_importance(s):
     fitted, _ = _fitted(s)
-    return model.feature_importances(fitted, FEATURES)
+    return model.feature_importances(fitted, RISK_FEATURES)
 
 
 # --- tables and streams ----------------------------------------------------------------------
@@ -655,6 +658,25 @@ def stored_readings(s):
     return tables.read_table(s.spark, root, "readings_by_sensor_day")
 
 
+@query
+def expired_readings(s):
+    """The stored table compacted at a later moment: what has outlived its retention is gone."""
+    root, target = scratch_dir(s.spark, "tables"), scratch_dir(s.spark, "compacted")
+    tables.append_batch(s.enriched(), root, "readings_by_cluster_parameter_day", 0)
+    tables.compact_table(s.spark, root, "readings_by_cluster_parameter_day", target, EXPIRY_AS_OF)
+    return tables.read_table(s.spark, target, "readings_by_cluster_parameter_day")
+
+
+@query
+def alert_tables(s):
+    """Alerts through both of their tables."""
+    root = scratch_dir(s.spark, "tables")
+    runtime.alert_writer(root, F.col("ingestion_time"))(s.enriched(), 0)
+    names = ("alerts_by_sensor_day", "alerts_by_cluster_day")
+    both = [tables.read_table(s.spark, root, n).select(F.lit(n).alias("stored_in"), *ALERT_VIEW) for n in names]
+    return both[0].unionByName(both[1])
+
+
 def _stream(s: Stations) -> DataFrame:
     return s.enrich(readings_from(s.event_stream()))
 
@@ -715,6 +737,17 @@ def stream_scores_in_batches(s):
     return tables.read_table(s.spark, root, "ai_scores_by_sensor_day").select(*STORED_SCORE_VIEW)
 
 
+@query
+def stream_metrics(s):
+    """Pipeline metrics written from the scored stream."""
+    runtime.use_rocksdb(s.spark)
+    root = scratch_dir(s.spark, "stream-metrics")
+    scored = stateful.stream_scores(_stream(s), order=ORDER, watermark="0 seconds", computed_at=F.col("ingestion_time"))
+    writer = runtime.fan_out(runtime.metrics_writer(root), skip_empty=False)
+    runtime.start(scored, writer, "metrics", f"{root}/checkpoints", drain=True).awaitTermination()
+    return tables.read_table(s.spark, root, "pipeline_metrics_by_cluster_minute")
+
+
 @query
 def stream_cooldown(s):
     rows = derive_alerts(_stream(s), F.col("ingestion_time"))
@@ -730,7 +763,7 @@ def stream_alarms(s):
 
 @query
 def stream_features(s):
-    rows = stream_aggregates.stream_features(_stream(s), PARAMETERS, FEATURE_SPAN, watermark="0 seconds", suffix="12h")
+    rows = stream_aggregates.stream_features(_stream(s), PARAMETERS, FEATURE_SPAN, watermark="0 seconds", suffix="12h", tie="reading_id")
     return _to_files(s, rows, "stream-features")
 
 

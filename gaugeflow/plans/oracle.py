@@ -285,6 +285,14 @@ _WIRE = f"""SELECT alert_id, sensor_id, cluster_id, local_sensor_id, parameter,
   threshold_high, message, {_iso("event_time")} AS event_time, {_iso("processed_at")} AS processed_at FROM alerts"""
 for _name in ("alert_topic", "stream_alert_topic"):
     _add(_name, _WIRE)
+_add("alert_cooldown_zero", f"SELECT sensor_id, alert_type, {_t('event_time')} AS event_time, alert_id, {_r('value')} FROM alerts")
+_ALERT_VIEW = f"""alert_id, sensor_id, cluster_id, local_sensor_id, parameter, {_r("value")}, unit, alert_type, severity, threshold_low,
+  threshold_high, alarm_state, message, explanation, {_t("event_time")} AS event_time, {_t("processed_at")} AS processed_at"""
+_add(
+    "alert_tables",
+    f"""SELECT 'alerts_by_sensor_day' AS stored_in, {_ALERT_VIEW} FROM alerts
+UNION ALL SELECT 'alerts_by_cluster_day' AS stored_in, {_ALERT_VIEW} FROM alerts""",
+)
 _COOLDOWN = """
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY sensor_id, alert_type ORDER BY event_time, alert_id) AS rn FROM alerts),
@@ -374,7 +382,8 @@ for _name in ("daily_aggregates", "stream_daily"):
         f"""SELECT cluster_id, parameter, unit, {_d("bucket_date")} AS day, bucket_year, {_STATS}
 FROM enriched GROUP BY cluster_id, parameter, unit, bucket_date, bucket_year""",
     )
-_add("pipeline_metrics", f"SELECT {METRIC_VIEW} FROM metrics", SCORES, METRICS)
+for _name in ("pipeline_metrics", "stream_metrics"):
+    _add(_name, f"SELECT {METRIC_VIEW} FROM metrics", SCORES, METRICS)
 _add("performance_rollup", f"SELECT {ROLLUP_VIEW} FROM rollup_rows", SCORES, METRICS)
 _add(
     "latest_minute_rollup",
@@ -403,7 +412,10 @@ _add(
 _add(
     "overview_counts",
     f"""SELECT (SELECT count(*) FROM configs) AS active_sensor_count,
-  (SELECT count(*) FROM alerts WHERE {_RECENT}) AS active_alert_count""",
+  (SELECT count(*) FROM alerts WHERE {_RECENT}) AS active_alert_count,
+  (SELECT CAST(round(CAST(avg(value) AS DECIMAL(24, 10)), 3) AS DOUBLE) FROM newest_readings WHERE parameter = 'click') AS average_click,
+  (SELECT CAST(round(CAST(avg(value) AS DECIMAL(24, 10)), 3) AS DOUBLE) FROM newest_readings WHERE parameter = 'error') AS average_error""",
+    LATEST,
 )
 _add(
     "named_averages",
@@ -732,3 +744,9 @@ _add(
   {_r("value")}, unit, CASE quality_status WHEN 'alert' THEN 'reviewed' ELSE quality_status END AS quality_status,
   {_t("CASE quality_status WHEN 'alert' THEN ingestion_time + INTERVAL 1 HOUR ELSE ingestion_time END")} AS ingestion_time FROM enriched""",
 )
+_add(
+    "expired_readings",
+    f"""SELECT cluster_id, parameter, {_d("bucket_date")} AS bucket_date, {_t("event_time")} AS event_time, sensor_id, local_sensor_id,
+  {_r("value")}, unit, quality_status, {_t("ingestion_time")} AS ingestion_time FROM enriched
+  WHERE event_time > TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY""",
+)

@@ -18,8 +18,11 @@ from gaugeflow.operators.configs import first_sensor, sensor_listing
 RECENT_ALERTS_SHOWN = 20
 
 
-def page_size(wanted: int, maximum: int = MAX_PAGE) -> int:
-    return max(1, min(wanted, maximum))
+def page_size(wanted: int, maximum: int | None = MAX_PAGE) -> int:
+    """``wanted``, at least 1; asking for more than ``maximum`` (None: no bound) is an error, never a silent cut."""
+    if maximum is not None and wanted > maximum:
+        raise ValueError(f"a page holds at most {maximum} rows, not {wanted}; pass a larger maximum")
+    return max(1, wanted)
 
 
 def tidy(text: str | None) -> str | None:
@@ -39,9 +42,9 @@ def matching(df: DataFrame, **wanted: str | None) -> DataFrame:
     return df
 
 
-def newest_page(df: DataFrame, limit: int, *order: str) -> DataFrame:
+def newest_page(df: DataFrame, limit: int, *order: str, maximum: int | None = MAX_PAGE) -> DataFrame:
     """The newest rows, shown oldest first."""
-    newest = df.orderBy(*[F.col(c).desc() for c in order]).limit(page_size(limit))
+    newest = df.orderBy(*[F.col(c).desc() for c in order]).limit(page_size(limit, maximum))
     return newest.orderBy(*order)
 
 
@@ -63,22 +66,23 @@ def list_latest(latest: DataFrame, cluster_id: str | None = None) -> DataFrame:
 
 
 def readings_page(
-    readings: DataFrame, configs: DataFrame, sensor_id=None, cluster_id=None, day=None, limit=200, as_of=None
+    readings: DataFrame, configs: DataFrame, sensor_id=None, cluster_id=None, day=None, limit=200, as_of=None, maximum=MAX_PAGE
 ) -> DataFrame:
     """Newest readings of a sensor-day, oldest first; without a sensor, of the first registered one."""
     chosen = of_sensor(on_day(readings, "bucket_date", day, as_of), configs, sensor_id, cluster_id)
-    return newest_page(chosen, limit, "event_time")
+    return newest_page(chosen, limit, "event_time", maximum=maximum)
 
 
 def alerts_page(
-    alerts: DataFrame, cluster_id=None, day=None, severity=None, sensor_id=None, limit: int | None = 200, as_of=None
+    alerts: DataFrame, cluster_id=None, day=None, severity=None, sensor_id=None, limit: int | None = 200, as_of=None,
+    maximum: int | None = MAX_PAGE,
 ) -> DataFrame:
     """Filter, then take the newest; ``limit=None`` keeps all."""
     chosen = matching(
         on_day(alerts, "bucket_date", day, as_of), cluster_id=cluster_id, sensor_id=sensor_id, severity=severity
     )
     ordered = chosen.orderBy(F.col("event_time").desc(), "sensor_id", "alert_id")
-    return ordered if limit is None else ordered.limit(page_size(limit))
+    return ordered if limit is None else ordered.limit(page_size(limit, maximum))
 
 
 def recent_alerts(
@@ -89,27 +93,28 @@ def recent_alerts(
 
 
 def alarms(
-    alerts: DataFrame, cluster_id=None, day=None, sensor_id=None, severity=None, limit: int | None = None, as_of=None
+    alerts: DataFrame, cluster_id=None, day=None, sensor_id=None, severity=None, limit: int | None = None, as_of=None,
+    maximum: int | None = MAX_PAGE,
 ) -> DataFrame:
     """Alarms of a day. All its alerts count unless ``limit`` asks for the newest only."""
     chosen = matching(
         on_day(alerts, "bucket_date", day, as_of), cluster_id=cluster_id, sensor_id=sensor_id, severity=severity
     )
     if limit is not None:
-        chosen = chosen.orderBy(F.col("event_time").desc(), "sensor_id", "alert_id").limit(page_size(limit))
+        chosen = chosen.orderBy(F.col("event_time").desc(), "sensor_id", "alert_id").limit(page_size(limit, maximum))
     return alarm_ops.group_alarms(chosen, as_of)
 
 
 def insights_page(
     scores: DataFrame, configs: DataFrame, sensor_id=None, cluster_id=None, day=None, anomaly_level=None,
-    limit=120, limit_first: bool = True, as_of=None,
+    limit=120, limit_first: bool = True, as_of=None, maximum: int | None = MAX_PAGE,
 ) -> DataFrame:
     """Scores of a sensor-day. The level filter comes after the limit unless ``limit_first=False``."""
     chosen = of_sensor(on_day(scores, "bucket_date", day, as_of), configs, sensor_id, cluster_id)
     level = (tidy(anomaly_level) or "").upper()
     if limit_first:
-        return matching(newest_page(chosen, limit, "event_time"), anomaly_level=level).orderBy("event_time")
-    return newest_page(matching(chosen, anomaly_level=level), limit, "event_time")
+        return matching(newest_page(chosen, limit, "event_time", maximum=maximum), anomaly_level=level).orderBy("event_time")
+    return newest_page(matching(chosen, anomaly_level=level), limit, "event_time", maximum=maximum)
 
 
 def latest_prediction(latest: DataFrame, location_id=None) -> DataFrame:
@@ -119,17 +124,17 @@ def latest_prediction(latest: DataFrame, location_id=None) -> DataFrame:
     return newest.withColumn("class_probabilities", parse_probabilities(F.col("class_probabilities")))
 
 
-def predictions_page(predictions: DataFrame, location_id=None, day=None, limit=160, as_of=None) -> DataFrame:
+def predictions_page(predictions: DataFrame, location_id=None, day=None, limit=160, as_of=None, maximum=MAX_PAGE) -> DataFrame:
     """Newest predictions, oldest first. Across locations, the overall top-n needs no per-location step."""
     chosen = matching(on_day(predictions, "prediction_date", day, as_of), location_id=location_id)
-    page = newest_page(chosen, limit, "prediction_time", "location_id")
+    page = newest_page(chosen, limit, "prediction_time", "location_id", maximum=maximum)
     return page.withColumn("class_probabilities", parse_probabilities(F.col("class_probabilities")))
 
 
-def performance_page(metrics: DataFrame, cluster_id=None, day=None, limit=120, as_of=None) -> DataFrame:
+def performance_page(metrics: DataFrame, cluster_id=None, day=None, limit=120, as_of=None, maximum=MAX_PAGE) -> DataFrame:
     """Pipeline metrics of a day: one cluster as stored, or all clusters rolled up per minute."""
     chosen = matching(on_day(metrics, "metric_date", day, as_of), cluster_id=cluster_id)
-    return newest_page(chosen if tidy(cluster_id) else minute_rollup(chosen), limit, "minute_start")
+    return newest_page(chosen if tidy(cluster_id) else minute_rollup(chosen), limit, "minute_start", maximum=maximum)
 
 
 def overview(

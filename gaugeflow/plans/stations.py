@@ -68,7 +68,7 @@ class Stations:
 
     def event_stream(self) -> DataFrame:
         schema = self.table("events").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(self.root)
+        return self.spark.readStream.schema(schema).parquet(f"{self.root}/events*.parquet")
 
     def readings(self) -> DataFrame:
         return readings_from(self.table("events"))

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from gaugeflow.constants import MAX_OFFSETS_PER_TRIGGER
 
-
-def kafka_source_options(servers: str, topic: str, max_offsets: int = MAX_OFFSETS_PER_TRIGGER) -> dict[str, str]:
-    return {
+def kafka_source_options(
+    servers: str, topic: str, starting: str = "earliest", max_offsets: int | None = None, fail_on_data_loss: bool = True
+) -> dict[str, str]:
+    """Lost offsets stop the query and nothing is skipped or held back, unless asked for."""
+    options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
-        "startingOffsets": "latest",
-        "failOnDataLoss": "false",
-        "maxOffsetsPerTrigger": str(max_offsets),
+        "startingOffsets": starting,
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
+    return options | ({"maxOffsetsPerTrigger": str(max_offsets)} if max_offsets else {})
 
 
 def read_readings_stream(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gaugeflow.operators.latest import latest_per_key, retain
 from gaugeflow.schemas import TABLES
@@ -19,7 +19,8 @@ BatchWriter = Callable[[DataFrame, int], None]
 
 
 def project(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*TABLES[table].columns)
+    """The table's columns under its declared types."""
+    return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in TABLES[table].schema])
 
 
 def append_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
@@ -32,10 +33,16 @@ def append_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
     writer.parquet(f"{root}/{table}/batch_id={batch_id}")
 
 
+def stored_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """All rows of all batches, under the declared types: ids in partition folders stay text."""
+    schema = T.StructType([*TABLES[table].schema.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+
+
 def read_table(spark: SparkSession, root: str, table: str, as_of=None) -> DataFrame:
     """Current rows; with ``as_of``, only those still inside the table's retention."""
     spec = TABLES[table]
-    stored = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+    stored = stored_rows(spark, root, table)
     if as_of is not None and spec.ttl_seconds is not None:
         stored = retain(stored, spec.time_column, spec.ttl_seconds, as_of)
     rows = stored.select(*spec.columns, "batch_id")
@@ -43,6 +50,7 @@ def read_table(spark: SparkSession, root: str, table: str, as_of=None) -> DataFr
 
 
 def compact_table(spark: SparkSession, root: str, table: str, target_root: str, as_of=None) -> None:
+    """Write the current rows, with ``as_of`` without the expired ones, as one batch of a new table."""
     append_batch(read_table(spark, root, table, as_of), target_root, table, 0)
 
 

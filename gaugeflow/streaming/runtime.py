@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeflow.operators.alerts import derive_alerts
-from gaugeflow.operators.latest import latest_readings, latest_scores
+from gaugeflow.operators.aggregates import pipeline_metrics
+from gaugeflow.operators.alerts import alert_messages, derive_alerts
+from gaugeflow.operators.latest import latest_per_key, latest_readings, latest_scores
 from gaugeflow.operators.model import predict_risk
 from gaugeflow.session import ROCKSDB_PROVIDER
-from gaugeflow.sources.tables import BatchWriter, append_batch
+from gaugeflow.sources.readings import alert_file_writer, alert_topic_writer
+from gaugeflow.sources.tables import BatchWriter, append_batch, project, stored_rows
 from gaugeflow.streaming.aggregates import stream_daily, stream_features, stream_hourly
 from gaugeflow.streaming.rolling import rolling_score_writer
+from gaugeflow.streaming.stateful import stream_alarms, stream_cooldown
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -63,6 +66,30 @@ def score_writer(root: str, tie: Sequence[str] = ()) -> BatchWriter:
     return write
 
 
+def metrics_writer(root: str) -> BatchWriter:
+    """Pipeline metrics of the scored rows, added to what earlier batches stored for the same cluster and minute.
+
+    Wants every batch, empty ones too (``skip_empty=False``), as each but the first reads the table.
+    """
+    table, keys = "pipeline_metrics_by_cluster_minute", ["cluster_id", "metric_date", "minute_start"]
+    sums, means, maxima = ("processed_reading_count", "alert_count"), ("avg_anomaly_score", "avg_event_latency_ms"), ("max_anomaly_score", "max_event_latency_ms", "updated_at")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = project(pipeline_metrics(batch), table)
+        if batch_id:
+            earlier = stored_rows(batch.sparkSession, root, table).filter(F.col("batch_id") < batch_id)  # a replay leaves its own rows out
+            known = latest_per_key(earlier, keys, ["batch_id"]).drop("batch_id").join(own.select(*keys), keys, "left_semi")
+            weight = F.col("processed_reading_count")
+            own = own.unionByName(known).groupBy(*keys).agg(
+                *[(F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in means],
+                *[F.sum(c).alias(c) for c in sums],
+                *[F.max(c).alias(c) for c in maxima],
+            )
+        append_batch(own, root, table, batch_id)
+
+    return write
+
+
 def table_writer(root: str, table: str) -> BatchWriter:
     return lambda batch, batch_id: append_batch(batch, root, table, batch_id)
 
@@ -98,17 +125,24 @@ def start_pipeline(
     tie: Sequence[str] = (),
     watermark: str = "10 minutes",
     features: dict | None = None,
+    broker: tuple[str, str] | None = None,
+    cooldown_seconds: int | None = None,
+    quiet: str | None = None,
 ) -> list[StreamingQuery]:
     """Every table from one enriched reading stream.
 
     Readings and alerts share one query, so parsing and enrichment run once for them; only the
     stateful outputs need queries of their own. The score state is numbered by batch, so its query
     also handles empty batches.
+
+    Alerts leave through ``broker`` (servers, topic), or as JSON files under ``alert_messages`` without one. With
+    ``cooldown_seconds`` the alerts that may be notified go to ``notified_alerts``, with ``quiet`` the state changes of
+    alarms to ``alarm_changes``, both as parquet files.
     """
     use_rocksdb(enriched.sparkSession)
-    scores = rolling_score_writer(
-        f"{checkpoint_root}/scores-state", score_writer(root, tie), order=("event_time", *tie), delay=watermark
-    )
+    outputs = (score_writer(root, tie), metrics_writer(root))
+    scores = rolling_score_writer(f"{checkpoint_root}/scores-state", fan_out(*outputs, skip_empty=False), order=("event_time", *tie), delay=watermark)
+    alerts = derive_alerts(enriched)
     where = {"checkpoint_root": checkpoint_root, "drain": drain}
     queries = [
         start(enriched, fan_out(reading_writer(root, tie), alert_writer(root)), "readings_and_alerts", **where),
@@ -122,6 +156,20 @@ def start_pipeline(
         ),
         start(enriched, fan_out(scores, skip_empty=False), "scores", **where),
     ]
+    messages = alert_messages(alerts)
+    if broker:
+        sink = alert_topic_writer(messages, *broker, f"{checkpoint_root}/alert_messages")
+    else:
+        sink = alert_file_writer(messages.select(F.col("value").cast("string").alias("value")), f"{root}/alert_messages", f"{checkpoint_root}/alert_messages")
+    queries.append((sink.trigger(availableNow=True) if drain else sink).start())
+    changes = {}
+    if cooldown_seconds is not None:
+        changes["notified_alerts"] = stream_cooldown(alerts, cooldown_seconds)
+    if quiet is not None:
+        changes["alarm_changes"] = stream_alarms(alerts, quiet, watermark)
+    for name, rows in changes.items():
+        sink = rows.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{checkpoint_root}/{name}").queryName(name)
+        queries.append((sink.trigger(availableNow=True) if drain else sink).start())
     if model is not None:
         rows = stream_features(enriched, watermark=watermark, **(features or {}))
         queries.append(start(rows, fan_out(prediction_writer(root, model)), "predictions", **where))

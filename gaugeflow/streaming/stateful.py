@@ -143,7 +143,12 @@ def stream_cooldown(
     keys: tuple[str, ...] = ("sensor_id", "alert_type"),
     tie: str = "alert_id",
 ) -> DataFrame:
-    """Alerts the cooldown lets through; equal to the batch form when alerts arrive in event order."""
+    """Alerts the cooldown lets through; equal to the batch form when alerts arrive in event order.
+
+    Without a cooldown (0 or less) every alert passes.
+    """
+    if seconds <= 0:
+        return alerts
     return alerts.groupBy(*keys).transformWithStateInPandas(
         Cooldown(seconds, ["event_time", tie]), alerts.schema, "Append", "None"
     )

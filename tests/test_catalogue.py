@@ -11,11 +11,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 from check_queries import TABLES, normal  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from gaugeflow.plans.catalogue import registered  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 # Streams have their own tests; these two train a forest.
 SLOW = {"train_and_predict", "feature_importance", "alert_cooldown_split"}
-NAMES = [n for n in queries() if not n.startswith("stream_") and n not in SLOW]
+NAMES = [n for n in registered() if not n.startswith("stream_") and n not in SLOW]
 
 
 @pytest.fixture(scope="module")

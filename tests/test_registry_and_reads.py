@@ -24,14 +24,11 @@ def test_cluster_union_and_listing(small_registry, clusters):
     assert configs.first_sensor(small_registry).first().sensor_id == "C1S001"
 
 
-@pytest.mark.parametrize("page_size", [1, 1000])
-def test_dump_keeps_empty_and_unlisted_clusters(small_registry, clusters, page_size):
-    pages = configs.dump_configs(clusters, small_registry, page_size).collect()
-    merged = {}
-    for page in pages:
-        merged.setdefault(page.cluster_id, {}).update(page.sensors)
-    assert {c: sorted(s) for c, s in merged.items()} == {"C1": ["S001", "S002"], "C2": [], "C9": ["S001"]}
-    assert merged["C1"]["S002"]["unit"] == "u"
+def test_dump_keeps_empty_and_unlisted_clusters(small_registry, clusters):
+    rows = configs.dump_configs(clusters, small_registry).collect()
+    found = {(r.cluster_id, r.sensor_id): r.unit for r in rows}
+    assert len(rows) == len(found) and set(found) == {("C1", "S001"), ("C1", "S002"), ("C2", None), ("C9", "S001")}
+    assert found["C1", "S002"] == "u"
 
 
 def test_patch_semantics(spark, small_registry):
@@ -73,9 +70,14 @@ def minutes(df):
     return [r.event_time.minute for r in df.collect()]
 
 
-def test_newest_page_reads_ascending_and_clamps(day):
+def test_newest_page_reads_ascending_and_never_cuts_unseen(day):
     assert minutes(reads.newest_page(day, 3, "event_time")) == [37, 38, 39]
-    assert reads.page_size(0) == 1 and reads.page_size(9_999) == 500
+    assert reads.page_size(0) == 1 and reads.page_size(9_999, maximum=None) == 9_999 and reads.page_size(900, 1_000) == 900
+    with pytest.raises(ValueError, match="at most 500"):
+        reads.page_size(501)
+    with pytest.raises(ValueError, match="at most 500"):
+        reads.alerts_page(day, day="2026-06-07", limit=600)
+    assert reads.alerts_page(day, day="2026-06-07", limit=600, maximum=1_000).count() == 40
 
 
 def test_default_sensor_is_the_first_registered(day, small_registry):

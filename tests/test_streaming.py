@@ -209,5 +209,7 @@ def test_whole_pipeline_and_restart(spark, rows, tmp_path):
 
 def test_kafka_options():
     options = sources.kafka_source_options("broker:9092", "readings")
-    assert options["startingOffsets"] == "latest" and options["maxOffsetsPerTrigger"] == "600"
-    assert options["failOnDataLoss"] == "false" and options["subscribe"] == "readings"
+    assert options["startingOffsets"] == "earliest" and "maxOffsetsPerTrigger" not in options
+    assert options["failOnDataLoss"] == "true" and options["subscribe"] == "readings"
+    bounded = sources.kafka_source_options("b", "t", "latest", max_offsets=600, fail_on_data_loss=False)
+    assert (bounded["startingOffsets"], bounded["maxOffsetsPerTrigger"], bounded["failOnDataLoss"]) == ("latest", "600", "false")
