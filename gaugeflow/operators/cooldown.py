@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gaugeflow.constants import COOLDOWN_SECONDS
-from gaugeflow.operators.series import time_chunk
+from gaugeflow.operators.series import suggest_chunk, time_chunk
 
 NEVER = np.iinfo(np.int64).min
 
@@ -112,15 +112,18 @@ def apply_cooldown(
     time_col: str = "event_time",
     tie: str = "alert_id",
     fold_limit: int = 5_000,
-    chunk: str = "1 day",
+    chunk: str | None = None,
 ) -> DataFrame:
     """Alerts that a cooldown of ``seconds`` lets through, in event time, exact for any key size.
 
     ``alerts`` is read once to count keys and once more to fold them (three times for crowded keys):
-    pass a stored alert table rather than a long derivation. Without a cooldown (0 or less) every alert passes.
+    pass a stored alert table rather than a long derivation. Without a ``chunk`` its length comes from the rows of the
+    most crowded key, four cooldowns at least. Without a cooldown (0 or less) every alert passes.
     """
     if seconds <= 0:
         return alerts
+    # a chunk of several cooldowns is summarised by far fewer steps than it has alerts
+    chunk = chunk or suggest_chunk(alerts, keys, time_col, at_least=4 * seconds * 1_000_000)
     unnamed = {"sensor_id": "unknown-sensor", "alert_type": "unknown-alert"}
     slots = {f"_key{i}": F.coalesce(k, F.lit(unnamed.get(k, ""))) for i, k in enumerate(keys)}
     keyed = alerts.withColumns(slots)

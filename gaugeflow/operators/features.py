@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.constants import FEATURE_WINDOW, PARAMETERS
 from gaugeflow.functions.rules import capped_distance, value_state
@@ -126,48 +124,63 @@ def active_locations(readings: DataFrame, as_of, window: str = FEATURE_WINDOW, l
     return recent.select(F.col(location).alias("location_id")).distinct().orderBy("location_id")
 
 
-def span_statistics(at: np.ndarray, value: np.ndarray, reach: int) -> dict[str, np.ndarray]:
-    """Statistics of ``[t - reach, t]`` for every sorted position: prefix sums, linear in the rows."""
-    low = np.searchsorted(at, at - reach, side="left")
-    high = np.searchsorted(at, at, side="right")
-    n = high - low
-    centre = value.mean()
-    offset = (value - centre).astype(np.longdouble)
-    sums = np.concatenate([[0], np.cumsum(offset)])
-    squares = np.concatenate([[0], np.cumsum(offset * offset)])
-    total = sums[high] - sums[low]
-    spread = np.maximum(squares[high] - squares[low] - total * total / n, 0) / np.maximum(n - 1, 1)
-    # A span without a change has no spread, whatever the sums' last bits say.
-    changes = np.concatenate([[0], np.cumsum(value[1:] != value[:-1])])
-    steady = changes[high - 1] == changes[low]
-    minutes = (at[high - 1] - at[low]) / 60e6
-    rise = value[high - 1] - value[low]
-    return {
-        "n": n,
-        "mean": (total / n + centre).astype(float),
-        "std": np.where(steady, 0.0, np.sqrt(spread).astype(float)),
-        "slope": np.divide(rise, minutes, out=np.zeros(len(at)), where=minutes > 0),
-    }
-
-
 def trailing_measures(
-    readings: DataFrame, window: str = FEATURE_WINDOW, location: str = "cluster_id", chunk_factor: int = 12
+    readings: DataFrame, window: str = FEATURE_WINDOW, location: str = "cluster_id", chunk_factor: int = 12, tie: str | None = None
 ) -> DataFrame:
     """Per reading: count, mean, deviation and slope over the window ending at it, both ends included.
 
-    All columns of ``readings`` travel to Python workers; select what is needed before.
-    ``chunk_factor`` sets the chunk length in windows: larger copies fewer rows over the seams,
-    smaller spreads a hot series over more tasks.
+    Running sums inside each chunk of a series: a reading's window is the sum at its moment less the sum just before
+    the window opens, so every reading adds a mark there, sorted among the readings. All steps of a chunk share
+    one shuffle and stream through sorted rows. ``tie`` orders readings of one moment. ``chunk_factor`` sets the chunk
+    length in windows: larger copies fewer rows over the seams, smaller spreads a hot series over more tasks.
     """
     reach = interval_micros(window)
+    value, last_key = F.col("value"), [F.col(tie)] if tie else []
 
     def add(df: DataFrame, groups: list[str]) -> DataFrame:
-        def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_position", kind="stable", ignore_index=True)
-            return pdf.assign(**span_statistics(pdf["_position"].to_numpy(), pdf["value"].to_numpy(), reach))
-
-        added = [T.StructField("n", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("mean", "std", "slope")]
-        return df.groupBy(*groups).applyInPandas(measure, T.StructType([*df.schema.fields, *added]))
+        series = Window.partitionBy(*groups).orderBy("_position", *last_key)
+        changed = F.coalesce((value != F.lag("value").over(series)).cast("int"), F.lit(0))
+        rows = df.withColumns({"_offset": value - F.avg("value").over(Window.partitionBy(*groups)), "_changed": changed})
+        rows = rows.withColumn("_changes", F.sum("_changed").over(series.rowsBetween(Window.unboundedPreceding, 0)))
+        here = F.struct(F.col("_position").alias("at"), F.lit(0).alias("mark"))
+        opening = F.struct((F.col("_position") - reach - 1).alias("at"), F.lit(1).alias("mark"))
+        spots = F.when(F.col("_chunk") == F.col("_home"), F.array(here, opening)).otherwise(F.array(here))
+        spread = rows.withColumn("_spot", F.explode(spots))
+        real, mark = F.col("_spot.mark") == 0, F.col("_spot.mark") == 1
+
+        upward = Window.partitionBy(*groups).orderBy("_spot.at").rangeBetween(Window.unboundedPreceding, 0)
+        downward = Window.partitionBy(*groups).orderBy(F.col("_spot.at").desc(), F.col("_spot.mark").desc(), *[k.desc() for k in last_key])
+        downward = downward.rowsBetween(Window.unboundedPreceding, -1)
+        offset = F.when(real, F.col("_offset"))
+        reading = F.when(real, F.struct(value.alias("value"), F.col("_position").alias("at"), F.col("_changes").alias("changes")))
+        summed = spread.withColumns(
+            {
+                "_n": F.count(offset).over(upward),
+                "_sum": F.coalesce(F.sum(offset).over(upward), F.lit(0.0)),
+                "_squares": F.coalesce(F.sum(offset * offset).over(upward), F.lit(0.0)),
+                "_first": F.last(reading, ignorenulls=True).over(downward),
+            }
+        )
+        moment = Window.partitionBy(*groups, "_position")  # the readings of a moment and their marks
+        marked = {f"_{c}_before": F.max(F.when(mark, F.col(f"_{c}"))).over(moment) for c in ("n", "sum", "squares")}
+        newest = F.max_by("value", F.when(real, F.struct(*(last_key or [F.lit(0)])))).over(moment)
+        both = summed.withColumns(
+            {**marked, "_oldest": F.max(F.when(mark, F.col("_first"))).over(moment), "_newest": newest, "_final": F.max(F.when(real, F.col("_changes"))).over(moment)}
+        )
+        n, total = F.col("_n") - F.col("_n_before"), F.col("_sum") - F.col("_sum_before")
+        spread_out = (F.col("_squares") - F.col("_squares_before") - total * total / n) / F.greatest(n - 1, F.lit(1))
+        # a span without a change has no spread, whatever the sums' last bits say
+        steady = F.col("_final") == F.col("_oldest.changes")
+        centre = value - F.col("_offset")
+        measured = both.filter(real).withColumns(
+            {
+                "n": n,
+                "mean": total / n + centre,
+                "std": F.when(steady, 0.0).otherwise(F.sqrt(F.greatest(spread_out, F.lit(0.0)))),
+                "slope": per_minute(F.col("_newest") - F.col("_oldest.value"), F.col("_position") - F.col("_oldest.at")),
+            }
+        )
+        return measured.select(*df.columns, "n", "mean", "std", "slope")
 
     keys = [location, "parameter"]
     return over_span(readings, keys, F.unix_micros("event_time"), reach, 0, reach * chunk_factor, add)

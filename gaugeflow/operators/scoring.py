@@ -20,7 +20,7 @@ from gaugeflow.constants import (
 )
 from gaugeflow.functions.rules import capped_share, critical_breach, excess_distance
 from gaugeflow.functions.times import given_or_now
-from gaugeflow.operators.series import over_recent_rows, time_chunk
+from gaugeflow.operators.series import over_recent_rows, suggest_chunk, time_chunk
 
 
 def rolling_statistics(
@@ -28,9 +28,13 @@ def rolling_statistics(
     window_rows: int = 5,
     include_current: bool = True,
     order: Sequence[str] = ("event_time",),
-    chunk: str = "1 day",
+    chunk: str | None = None,
 ) -> DataFrame:
-    """Rolling mean and deviation over the last rows of each sensor, and the previous value."""
+    """Rolling mean and deviation over the last rows of each sensor, and the previous value.
+
+    Without a ``chunk`` its length comes from the rows of the most crowded sensor.
+    """
+    chunk = chunk or suggest_chunk(readings, ["sensor_id"], "event_time")
     first, last = (1 - window_rows, 0) if include_current else (-window_rows, -1)
 
     def add(df: DataFrame, series: WindowSpec) -> DataFrame:

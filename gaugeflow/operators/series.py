@@ -67,18 +67,16 @@ def over_span(
     return add(spread, [*keys, "_chunk"]).filter("_chunk = _home").drop("_position", "_home", "_chunk")
 
 
-def suggest_chunk(df: DataFrame, keys: Sequence[str], moment: str, target_rows: int = 5_000_000) -> str:
+def suggest_chunk(df: DataFrame, keys: Sequence[str], moment: str, target_rows: int = 5_000_000, at_least: int = 0) -> str:
     """Longest chunk of the ladder that keeps every (series, chunk) group within ``target_rows``.
 
-    One aggregation with map-side combining; a single number per ladder step reaches the driver.
+    Tried from coarse to fine, mostly one small aggregation; a single number per step reaches the driver. No chunk is
+    shorter than ``at_least`` microseconds, the reach of the operator, unless the ladder has none that long.
     """
-    finest = CHUNK_LADDER[-1]
-    counts = df.groupBy(*keys, time_chunk(moment, finest).alias("_tick")).agg(F.count("*").alias("_rows"))
-    ticks = interval_micros(finest)
-    for length in CHUNK_LADDER[:-1]:
-        ratio = interval_micros(length) // ticks
-        grouped = counts.groupBy(*keys, F.floor(F.col("_tick") / ratio)).agg(F.sum("_rows").alias("_rows"))
-        largest = grouped.agg(F.max("_rows").alias("n")).first()["n"]
+    usable = [length for length in CHUNK_LADDER if interval_micros(length) >= at_least] or [CHUNK_LADDER[0]]
+    for length in usable[:-1]:
+        groups = df.groupBy(*keys, time_chunk(moment, length).alias("_chunk")).agg(F.count("*").alias("_rows"))
+        largest = groups.agg(F.max("_rows").alias("n")).first()["n"]
         if largest is None or largest <= target_rows:
             return length
-    return finest
+    return usable[-1]

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window, WindowSpec
 
 from gaugeflow.constants import HORIZON_MINUTES, NORMAL_CLASS, PARAMETERS
 from gaugeflow.functions.sizes import broadcast_if_few
+from gaugeflow.functions.times import interval_micros
 from gaugeflow.operators.features import RULE_BOUNDS, per_minute, widen
-from gaugeflow.operators.series import over_recent_rows, over_span
+from gaugeflow.operators.series import over_recent_rows, over_span, suggest_chunk
 from gaugeflow.session import scratch_root
 
 MINUTE = 60_000_000
@@ -33,8 +34,13 @@ def horizon_labels(
     """``label``: the greatest ``state`` in the ``horizon`` after each row, the row itself excluded.
 
     ``levels`` lists the values the state takes. For each level the next position that has it comes
-    from a running minimum over the reversed series, so a dense series costs no more than a sparse.
+    from a running minimum over the reversed series, so a dense series costs no more than a sparse. Without a
+    ``length`` the chunks are as long as the rows of the most crowded series allow, but no shorter than the horizon.
     """
+    if length is None:
+        moment = F.timestamp_micros(F.col(position).cast("long"))
+        placed = df.select(*keys, moment.alias("_moment"))
+        length = interval_micros(suggest_chunk(placed, keys, "_moment", at_least=horizon))
 
     def add(rows: DataFrame, groups: list[str]) -> DataFrame:
         ahead = Window.partitionBy(*groups).orderBy(F.col("_position").desc())
@@ -45,7 +51,7 @@ def horizon_labels(
         label = F.greatest(*reached) if len(reached) > 1 else reached[0]
         return rows.withColumns(coming).withColumn("label", label).drop(*coming)
 
-    return over_span(df, keys, F.col(position).cast("long"), 0, horizon, length or horizon * 12, add)
+    return over_span(df, keys, F.col(position).cast("long"), 0, horizon, length, add)
 
 
 def training_windows(

@@ -214,7 +214,7 @@ def anomaly_scores(s):
 def anomaly_scores_past_rows(s):
     """Eleven rows before the current one, which lets the statistical branches fire."""
     scored = score_anomalies(
-        s.enriched(), computed_at=F.col("ingestion_time"), window_rows=11, include_current=False, order=ORDER, chunk=CHUNK
+        s.enriched(), computed_at=F.col("ingestion_time"), window_rows=11, include_current=False, order=ORDER
     )
     return scored.select(*SCORE_VIEW)
 
@@ -488,7 +488,7 @@ def active_locations(s):
 @query
 def trailing_measures(s):
     narrow = s.enriched().select("reading_id", "cluster_id", "parameter", "event_time", "value")
-    trailing = features.trailing_measures(narrow, FEATURE_SPAN)
+    trailing = features.trailing_measures(narrow, FEATURE_SPAN, tie="reading_id")
     return trailing.select("reading_id", "n", "mean", "std", "slope")
 
 
@@ -511,7 +511,7 @@ def horizon_labels(s):
         "reading_id", "sensor_id", F.unix_micros("event_time").alias("at"), rule_fns.critical_breach().cast("int").alias("state")
     )
     day = 86_400 * 1_000_000
-    return training.horizon_labels(rows, ["sensor_id"], "at", "state", 5 * day, 30 * day).select("reading_id", "label")
+    return training.horizon_labels(rows, ["sensor_id"], "at", "state", 5 * day).select("reading_id", "label")
 
 
 @query

@@ -116,7 +116,7 @@ class Stations:
         return derive_alerts(self.enriched(), processed_at=F.col("ingestion_time"))
 
     def scored(self) -> DataFrame:
-        return score_anomalies(self.enriched(), computed_at=F.col("ingestion_time"), order=ORDER, chunk=CHUNK)
+        return score_anomalies(self.enriched(), computed_at=F.col("ingestion_time"), order=ORDER)
 
     def outcome_shares(self, window: str = "1 hour") -> DataFrame:
         """Share of each outcome per cluster and window, as the class probabilities of a prediction."""
