@@ -36,19 +36,21 @@ def over_recent_rows(
 ) -> DataFrame:
     """Run ``add(df, window)`` where the window's frames reach at most ``lookback`` rows back.
 
-    ``order`` must be unique inside a series and ``chunk`` must not decrease along it.
+    ``chunk`` must not decrease along ``order``. Rows that tie in it are ordered by the hash of their columns, so that
+    both windows see one order; what still ties is the same row twice.
     """
-    near = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    marked = df.withColumn("_chunk", chunk).withColumns(
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    near = Window.partitionBy(*keys, "_chunk").orderBy(*order, "_tie")
+    marked = df.withColumns({"_chunk": chunk, "_tie": F.xxhash64(*hashed)}).withColumns(
         {
             "_head": F.lag(F.lit(True), lookback).over(near).isNull(),
             "_tail": F.lead(F.lit(True), lookback).over(near).isNull(),
         }
     )
     body = add(marked, near).filter("NOT _head")
-    across = Window.partitionBy(*keys).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(*order, "_tie")
     heads = add(marked.filter("_head OR _tail"), across).filter("_head")
-    return body.unionByName(heads).drop("_chunk", "_head", "_tail")
+    return body.unionByName(heads).drop("_chunk", "_tie", "_head", "_tail")
 
 
 def over_span(

@@ -73,3 +73,12 @@ def test_suggested_chunk_bounds_the_largest_group(hot):
     assert chosen in CHUNK_LADDER
     largest = hot.groupBy("sensor_id", time_chunk("event_time", chosen)).count().agg(F.max("count")).first()[0]
     assert largest <= 20 or chosen == CHUNK_LADDER[-1]
+
+
+def test_repeated_moments_lose_no_row(spark):
+    """Rows that tie in time, across chunk seams, come out once each."""
+    rows = [("s", i // 7, float(i % 5), i) for i in range(3_000)]
+    hot = spark.createDataFrame(rows, "sensor_id string, at int, value double, id int").repartition(6)
+    hot = hot.withColumn("event_time", F.timestamp_seconds("at")).drop("at")
+    got = rolling_statistics(hot, 5, True, ("event_time",), "2 seconds")
+    assert sorted(r["id"] for r in got.select("id").collect()) == list(range(3_000))
