@@ -19,7 +19,7 @@ from gaugeflow.plans import reads
 from gaugeflow.plans.stations import CHUNK, ORDER, OUTCOMES, PARAMETERS, Stations, readings_from
 from gaugeflow.session import prepare, scratch_dir
 from gaugeflow.sources import tables
-from gaugeflow.sources.training_files import read_training_csv, write_training_csv
+from gaugeflow.sources.training_files import load_model, read_training_csv, save_model, write_training_csv
 from gaugeflow.streaming import aggregates as stream_aggregates, rolling, runtime, stateful
 
 Query = Callable[[Stations], DataFrame]
@@ -677,6 +677,31 @@ def alert_tables(s):
     return both[0].unionByName(both[1])
 
 
+@query
+def prediction_tables(s):
+    """Predictions through the history table and the latest one."""
+    root = scratch_dir(s.spark, "tables")
+    rows = predictions(s)
+    names = ("ml_predictions_by_location_minute", "latest_ml_predictions_by_location")
+    for name in names:
+        tables.append_batch(rows, root, name, 0)
+    view = [c for c in PREDICTION_VIEW if c != "prediction_date"]
+    both = [tables.read_table(s.spark, root, n).select(F.lit(n).alias("stored_in"), *view) for n in names]
+    return both[0].unionByName(both[1])
+
+
+@query
+def saved_model(s):
+    """Predictions of the fitted forest before and after saving and loading it: how many differ."""
+    fitted, test = _fitted(s)
+    path = scratch_dir(s.spark, "model")
+    save_model(fitted, RISK_FEATURES, PARAMETERS, model.model_labels(fitted), path, window_minutes=360)
+    view = ("location_id", "prediction_time", "risk_score", "risk_level", "predicted_event_type", "class_probabilities")
+    before, after = (model.predict_risk(m, test, computed_at=F.col("prediction_time")).select(*view) for m in (fitted, load_model(path)))
+    counted = before.withColumn("n", F.lit(1)).unionByName(after.withColumn("n", F.lit(-1)))
+    return counted.groupBy(*view).agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") != 0).alias("differing"))
+
+
 def _stream(s: Stations) -> DataFrame:
     return s.enrich(readings_from(s.event_stream()))
 

@@ -750,3 +750,14 @@ _add(
   {_r("value")}, unit, quality_status, {_t("ingestion_time")} AS ingestion_time FROM enriched
   WHERE event_time > TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY""",
 )
+_STORED_PREDICTION = _PREDICTION_VIEW.split(" AS explanation,")[0] + " AS explanation"
+_add(
+    "prediction_tables",
+    f"""SELECT stored_in, * EXCLUDE (stored_in, prediction_date) FROM (
+  SELECT 'ml_predictions_by_location_minute' AS stored_in, {_STORED_PREDICTION} FROM predictions
+  UNION ALL
+  SELECT 'latest_ml_predictions_by_location' AS stored_in, {_STORED_PREDICTION}
+  FROM (SELECT * FROM predictions QUALIFY row_number() OVER (PARTITION BY location_id ORDER BY prediction_time DESC) = 1))""",
+    RISK,
+)
+ORACLE["saved_model"] = "SELECT 0 AS differing"

@@ -14,8 +14,8 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from gaugeflow.plans.catalogue import registered  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-# Streams have their own tests; these two train a forest.
-SLOW = {"train_and_predict", "feature_importance", "alert_cooldown_split"}
+# Streams have their own tests; these train a forest.
+SLOW = {"train_and_predict", "feature_importance", "saved_model"}
 NAMES = [n for n in registered() if not n.startswith("stream_") and n not in SLOW]
 
 
