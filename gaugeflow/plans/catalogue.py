@@ -26,6 +26,7 @@ Query = Callable[[Stations], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 AS_OF = "2024-01-20 00:00:00"
+OVERVIEW_AS_OF = "2024-01-10 12:00:00"
 EXPIRY_AS_OF = "2024-04-15 00:00:00"
 LONG_COOLDOWN = 3 * 86_400
 FEATURE_SPAN = "12 hours"
@@ -642,6 +643,32 @@ def feature_importance(s):
     return model.feature_importances(fitted, RISK_FEATURES)
 
 
+@query
+def overview(s):
+    """All parts of the overview page as lines: part, name, text, number."""
+    scored, newest = s.scored(), latest.latest_readings(s.enriched(), ("reading_id",))
+    parts = reads.overview(
+        s.configs(), newest, latest.latest_scores(scored, ("reading_id",)), s.alerts(), aggregates.pipeline_metrics(scored), s.rules(),
+        latest.latest_per_key(predictions(s), ["location_id"], ["prediction_time"]), OVERVIEW_AS_OF, "6 hours", ("click", "error"),
+    )
+    nothing = F.lit(None).cast("string")
+    counts = ("active_sensor_count", "active_alert_count", "average_click", "average_error")
+    numbers = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("number")) for c in counts]))
+    shown_as = {
+        "status": (F.lit("system_status"), F.col("system_status"), F.col("active_alert_count")),
+        "parameter_averages": (F.col("display_name"), F.col("unit"), F.col("average_value")),
+        "latest_metric": (F.lit("processed_reading_count"), F.date_format("minute_start", "yyyy-MM-dd HH:mm"), F.col("processed_reading_count")),
+        "latest_readings": (F.col("sensor_id"), F.col("quality_status"), F.col("value")),
+        "latest_ai": (F.col("sensor_id"), F.col("anomaly_level"), F.col("anomaly_score")),
+        "latest_ml_prediction": (F.col("location_id"), F.col("risk_level"), F.col("risk_score")),
+        "recent_alerts": (F.col("alert_id"), F.col("severity"), F.col("value")),
+    }
+    lines = parts["counts"].select(numbers.alias("n")).select(F.lit("counts").alias("part"), "n.name", nothing.alias("text"), "n.number")
+    for part, (name, text, number) in shown_as.items():
+        lines = lines.unionByName(parts[part].select(F.lit(part).alias("part"), name.alias("name"), text.alias("text"), number.cast("double").alias("number")))
+    return lines
+
+
 # --- tables and streams ----------------------------------------------------------------------
 
 

@@ -119,9 +119,9 @@ def _feature_view(suffix: str) -> str:
     return ", ".join(_r(n) for n in names)
 
 
-_MEASURES = """parameter, count(*) AS n, arg_max(value, event_time) AS latest, avg(value) AS mean,
+_MEASURES = """parameter, count(*) AS n, arg_max(value, (event_time, reading_id)) AS latest, avg(value) AS mean,
     coalesce(stddev_samp(value), 0.0) AS std,
-    CASE WHEN max(event_time) > min(event_time) THEN (arg_max(value, event_time) - arg_min(value, event_time))
+    CASE WHEN max(event_time) > min(event_time) THEN (arg_max(value, (event_time, reading_id)) - arg_min(value, (event_time, reading_id)))
       / ((epoch_us(max(event_time)) - epoch_us(min(event_time))) / 60e6) ELSE 0.0 END AS slope,
     any_value(normal_low) AS normal_low, any_value(normal_high) AS normal_high, any_value(critical_low) AS critical_low,
     any_value(critical_high) AS critical_high, any_value(threshold_scale) AS threshold_scale"""
@@ -369,7 +369,7 @@ WHERE event_time > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 10 DAY""",
 # --- aggregates ------------------------------------------------------------------------------
 
 _STATS = f"""count(*) AS reading_count, round(avg(value), 6) AS avg_value, round(min(value), 6) AS min_value,
-  round(max(value), 6) AS max_value, round(arg_max(value, event_time), 6) AS last_value"""
+  round(max(value), 6) AS max_value, round(arg_max(value, (event_time, reading_id)), 6) AS last_value"""
 for _name in ("hourly_aggregates", "stream_hourly"):
     _add(
         _name,
@@ -761,3 +761,31 @@ _add(
     RISK,
 )
 ORACLE["saved_model"] = "SELECT 0 AS differing"
+_NOW = "alerts.bucket_date = DATE '2024-01-10' AND alerts.event_time >= TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 6 HOUR"
+_MEAN = "CAST(round(CAST(avg(value) AS DECIMAL(24, 10)), 3) AS DOUBLE)"
+_add(
+    "overview",
+    f"""SELECT 'counts' AS part, 'active_sensor_count' AS name, NULL AS text, CAST(count(*) AS DOUBLE) AS number FROM configs
+UNION ALL SELECT 'counts', 'active_alert_count', NULL, count(*) FROM alerts WHERE {_NOW}
+UNION ALL SELECT 'counts', 'average_click', NULL, {_MEAN} FROM newest_readings WHERE parameter = 'click'
+UNION ALL SELECT 'counts', 'average_error', NULL, {_MEAN} FROM newest_readings WHERE parameter = 'error'
+UNION ALL SELECT 'status', 'system_status', CASE
+    WHEN (SELECT coalesce(bool_or(severity = 'CRITICAL'), FALSE) FROM alerts WHERE {_NOW}) OR (SELECT bool_or(anomaly_level = 'CRITICAL') FROM newest_scores) THEN 'CRITICAL'
+    WHEN EXISTS (FROM alerts WHERE {_NOW}) OR (SELECT bool_or(anomaly_level IN ('WATCH', 'WARNING')) FROM newest_scores) THEN 'WARNING'
+    ELSE 'NORMAL' END, (SELECT count(*) FROM alerts WHERE {_NOW})
+UNION ALL SELECT 'parameter_averages', coalesce(any_value(u.display_name), n.parameter),
+    coalesce(nullif(arg_max(coalesce(n.unit, ''), (n.event_time, n.sensor_id)), ''), any_value(u.unit)), CAST(round(CAST(avg(n.value) AS DECIMAL(24, 10)), 3) AS DOUBLE)
+  FROM newest_readings n LEFT JOIN rules u USING (parameter) GROUP BY n.parameter
+UNION ALL SELECT 'latest_metric', 'processed_reading_count', strftime(minute_start, '%Y-%m-%d %H:%M'), processed_reading_count
+  FROM rollup_rows WHERE minute_start = (SELECT max(minute_start) FROM metrics WHERE CAST(minute_start AS DATE) = DATE '2024-01-10')
+UNION ALL SELECT 'latest_readings', sensor_id, quality_status, round(value, 6) FROM newest_readings
+UNION ALL SELECT 'latest_ai', sensor_id, anomaly_level, round(anomaly_score, 6) FROM newest_scores
+UNION ALL SELECT 'latest_ml_prediction', location_id, risk_level, risk_score FROM (FROM predictions ORDER BY prediction_time DESC, location_id LIMIT 1)
+UNION ALL SELECT 'recent_alerts', alert_id, severity, round(value, 6)
+  FROM (FROM alerts WHERE {_NOW} ORDER BY event_time DESC, sensor_id, alert_id LIMIT 20)""",
+    SCORES,
+    METRICS,
+    LATEST,
+    LATEST_SCORES,
+    RISK,
+)

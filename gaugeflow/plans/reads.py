@@ -6,6 +6,8 @@ partitions and row groups; every page is an ``ORDER BY .. LIMIT``, planned as a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.constants import MAX_PAGE, RECENT_INTERVAL
@@ -139,17 +141,18 @@ def performance_page(metrics: DataFrame, cluster_id=None, day=None, limit=120, a
 
 def overview(
     configs: DataFrame, latest: DataFrame, latest_scores: DataFrame, alerts: DataFrame, metrics: DataFrame,
-    rules: DataFrame, latest_predictions: DataFrame, as_of=None,
+    rules: DataFrame, latest_predictions: DataFrame, as_of=None, quiet: str = RECENT_INTERVAL,
+    averaged: Sequence[str] = ("pH", "temperature"),
 ) -> dict[str, DataFrame]:
     """The parts of the overview page, each its own lazy plan."""
     today = on_day(alerts, "bucket_date", None, as_of)
     return {
-        "status": alarm_ops.system_status(today, latest_scores, as_of),
-        "counts": alarm_ops.overview_counts(configs, today, latest, as_of),
+        "status": alarm_ops.system_status(today, latest_scores, as_of, quiet),
+        "counts": alarm_ops.overview_counts(configs, today, latest, as_of, quiet, averaged),
         "parameter_averages": parameter_averages(latest, rules),
         "latest_metric": latest_minute_rollup(on_day(metrics, "metric_date", None, as_of)),
         "latest_readings": list_latest(latest),
         "latest_ai": list_latest(latest_scores),
         "latest_ml_prediction": latest_prediction(latest_predictions),
-        "recent_alerts": recent_alerts(today, as_of),
+        "recent_alerts": recent_alerts(today, as_of, quiet=quiet),
     }
