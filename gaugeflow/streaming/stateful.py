@@ -38,7 +38,7 @@ class RollingRows(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for batch in rows:
-            self.waiting.appendList([tuple(r) for r in _plain(batch, self.schema)])
+            self.waiting.appendList(_plain(batch, self.schema))
             first = int(_micros(batch["event_time"]).min() // 1000)
             earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
@@ -55,7 +55,7 @@ class RollingRows(StatefulProcessor):
         if later.empty:
             self.waiting.clear()
         else:
-            self.waiting.put([tuple(r) for r in _plain(later, self.schema)])
+            self.waiting.put(_plain(later, self.schema))
             self.handle.registerTimer(int(stamp[~ready].min()))
         due = held[ready].sort_values(self.order, ignore_index=True)
         if due.empty:
@@ -75,17 +75,16 @@ class RollingRows(StatefulProcessor):
         pass
 
 
-def _plain(frame: pd.DataFrame, schema: T.StructType) -> Iterator[list]:
-    """Rows as Python values the state encoder accepts: no numpy scalars, nulls as None."""
+def _plain(frame: pd.DataFrame, schema: T.StructType) -> list[tuple]:
+    """Rows as Python values the state encoder accepts, column by column: no numpy scalars, nulls as None."""
     columns = []
     for field in schema:
         series = frame[field.name]
-        if isinstance(field.dataType, T.TimestampType):
-            values = [None if pd.isna(v) else pd.Timestamp(v).to_pydatetime() for v in series]
-        else:
-            values = [None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in series]
-        columns.append(values)
-    return (list(row) for row in zip(*columns))
+        timed = isinstance(field.dataType, T.TimestampType)
+        values = pd.DatetimeIndex(series).to_pydatetime().tolist() if timed else series.tolist()
+        missing = series.isna().to_numpy()
+        columns.append([None if gone else v for gone, v in zip(missing, values)] if missing.any() else values)
+    return list(zip(*columns))
 
 
 def stream_scores(
@@ -164,35 +163,43 @@ class AlarmEpisodes(StatefulProcessor):
         self.handle = handle
         self.episode = handle.getValueState("episode", "first long, last long, alerts long, critical boolean")
 
-    def _row(self, key, state: str, episode) -> pd.DataFrame:
-        first, last, alerts, critical = episode
+    def _changes(self, key, changes: list[tuple]) -> pd.DataFrame:
+        """One frame of all ``(state, first, last, alerts, critical)`` changes."""
+        states, first, last, alerts, critical = zip(*changes)
         return pd.DataFrame(
             {
-                "sensor_id": [key[0]],
-                "alert_type": [key[1]],
-                "state": [state],
-                "severity": ["CRITICAL" if critical else "WARNING"],
-                "first_seen": pd.to_datetime([first], unit="us"),
-                "last_seen": pd.to_datetime([last], unit="us"),
-                "alert_count": [alerts],
+                "sensor_id": key[0],
+                "alert_type": key[1],
+                "state": states,
+                "severity": ["CRITICAL" if c else "WARNING" for c in critical],
+                "first_seen": pd.to_datetime(list(first), unit="us"),
+                "last_seen": pd.to_datetime(list(last), unit="us"),
+                "alert_count": alerts,
             }
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Gaps longer than the quiet span cut the batch, the open episode before it, into episodes."""
         batch = pd.concat(list(rows), ignore_index=True).sort_values("event_time", ignore_index=True)
-        open_episode = tuple(self.episode.get()) if self.episode.exists() else None
-        for at, severity in zip(_micros(batch["event_time"]).tolist(), batch["severity"] == "CRITICAL"):
-            if open_episode and at - open_episode[1] > self.quiet:
-                yield self._row(key, "RESOLVED", open_episode)
-                open_episode = None
-            if open_episode is None:
-                open_episode = (at, at, 1, bool(severity))
-                yield self._row(key, "ACTIVE", open_episode)
-            else:
-                first, last, alerts, critical = open_episode
-                open_episode = (min(first, at), max(last, at), alerts + 1, critical or bool(severity))
-        self.episode.update(open_episode)
-        self.handle.registerTimer((open_episode[1] + self.quiet) // 1000 + 1)
+        times, critical = _micros(batch["event_time"]), (batch["severity"] == "CRITICAL").to_numpy()
+        held = tuple(self.episode.get()) if self.episode.exists() else None
+        latest = np.maximum.accumulate(np.r_[held[1], times] if held else times)
+        steps = times - latest[: len(times)] if held else np.r_[np.iinfo(np.int64).max, times[1:] - latest[:-1]]
+        starts = np.flatnonzero(steps > self.quiet)
+        changes, bounds = [], [*starts.tolist(), len(times)]
+        if held:  # what comes before the first gap belongs to the open episode
+            upto = bounds[0]
+            if upto:
+                held = (min(held[0], int(times[0])), max(held[1], int(times[upto - 1])), held[2] + upto, held[3] or bool(critical[:upto].any()))
+        for at, end in zip(bounds, bounds[1:]):
+            if held:
+                changes.append(("RESOLVED", *held))
+            changes.append(("ACTIVE", int(times[at]), int(times[at]), 1, bool(critical[at])))
+            held = (int(times[at]), int(times[end - 1]), end - at, bool(critical[at:end].any()))
+        self.episode.update(held)
+        self.handle.registerTimer((held[1] + self.quiet) // 1000 + 1)
+        if changes:
+            yield self._changes(key, changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.episode.exists():
@@ -200,7 +207,7 @@ class AlarmEpisodes(StatefulProcessor):
         episode = tuple(self.episode.get())
         if (episode[1] + self.quiet) // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
             self.episode.clear()
-            yield self._row(key, "RESOLVED", episode)
+            yield self._changes(key, [("RESOLVED", *episode)])
 
     def close(self) -> None:
         pass
