@@ -280,7 +280,8 @@ def remove_repeats(
     copies = stored(copies, "phrases-copies")
     own = outlines.select("place", "digest", "anchors").join(copies, "digest").filter(F.col("place") == F.col("first"))
     spread = own.select("place", F.posexplode("anchors").alias("number", "anchor"))
-    common = spread.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    # stored, so that the join below reads two plain shuffles, whose crowded parts Spark splits
+    common = stored(spread.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "phrases-common")
     code = (F.col("number") * 2 + (F.col("n") > crowded).cast("int")).alias("code")
     wanted = stored(spread.join(common, "anchor").select("place", code).groupBy("place").agg(F.collect_list("code").alias("wanted")), "phrases-anchors")
     total = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
