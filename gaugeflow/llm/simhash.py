@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
+from gaugeflow.functions.sizes import broadcast_if_few
 from gaugeflow.llm.common import append_columns, stored, utf8
 from gaugeflow.llm.components import connected_components, contracted
 
@@ -35,6 +36,8 @@ MOST_BITS = 4
 PART_COUNTS = (3, 4, 5)
 #: Relative costs of a filed or probed row and of a candidate pair.
 ROW_COST, PAIR_COST = 1.0, 0.01
+#: Filed rows of a bucket, from which on it is split; splits are at most ``MOST_SLOTS`` ways.
+CROWDED, MOST_SLOTS = 20_000, 4_096
 #: Pairs compared at once.
 PAIRS_AT_ONCE = 1_000_000
 
@@ -238,11 +241,22 @@ def _linked(k: int):
     return link
 
 
-def near_links(fps: DataFrame, k: int = MOST_BITS) -> DataFrame:
-    """Links ``(a, b)`` that span every group of distinct fingerprints (``fp``) within ``k`` bits of one another."""
+def near_links(fps: DataFrame, k: int = MOST_BITS, crowded: int = CROWDED) -> DataFrame:
+    """Links ``(a, b)`` that span every group of distinct fingerprints (``fp``) within ``k`` bits of one another.
+
+    The rows of a bucket with more than ``crowded`` filed ones are dealt to slots by hash, and every pair of slots is
+    a bucket of its own.
+    """
     plan = plan_parts(fps, k)
     filed = fps.select("fp").mapInArrow(_probes(plan), "key long, probe boolean, fp long")
-    dealt = filed.repartition("key").sortWithinPartitions("key", "probe")
+    sizes = fps.select("fp").mapInArrow(_probes([(group, 0) for group, _ in plan]), "key long, probe boolean, fp long").groupBy("key").count()
+    slots = F.least(F.ceil(F.col("count") / F.lit(crowded)), F.lit(MOST_SLOTS))
+    full = broadcast_if_few(sizes.filter(F.col("count") > crowded).select("key", slots.cast("long").alias("slots")))
+    placed = filed.join(full, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("slots", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slots", F.lit(1).cast("long")) - 1))
+    paired = placed.withColumn("other", other)
+    bucket = (F.col("key") * MOST_SLOTS + F.least("own", "other")) * MOST_SLOTS + F.greatest("own", "other")
+    dealt = paired.select(bucket.alias("key"), "probe", "fp").repartition("key").sortWithinPartitions("key", "probe")
     return dealt.mapInArrow(_linked(k), "a long, b long")
 
 

@@ -65,7 +65,8 @@ def test_groups_match_brute_force(spark):
     assert simhash.near_duplicate_components(docs.limit(0)).count() == 0
 
 
-def test_every_close_pair_shares_a_bucket(spark):
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 7])
+def test_every_close_pair_shares_a_bucket(spark, crowded):
     """Fingerprints at every distance up to four from a few centres come out as one component each."""
     draw = np.random.default_rng(8)
     values = set()
@@ -76,7 +77,7 @@ def test_every_close_pair_shares_a_bucket(spark):
                 values.add(int(np.int64(np.uint64((centre ^ flips) & ((1 << 64) - 1)))))
     values |= set(draw.integers(-(1 << 62), 1 << 62, 2000).tolist())
     fps = spark.createDataFrame([(v,) for v in sorted(values)], "fp long")
-    found = {r["id"]: r["component"] for r in connected_components(simhash.near_links(fps)).collect()}
+    found = {r["id"]: r["component"] for r in connected_components(simhash.near_links(fps, crowded=crowded)).collect()}
     array = np.array(sorted(values))
     near = np.argwhere(np.bitwise_count(array[:, None].view(np.uint64) ^ array[None, :].view(np.uint64)) <= 4)
     label = components_of([(int(array[a]), int(array[b])) for a, b in near if a < b], map(int, array))
