@@ -50,15 +50,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _lowest(links: DataFrame) -> DataFrame:
+    """Smallest partner of each node. Checkpointed, so that a join with it reads two plain shuffles and a hub is split."""
+    return links.groupBy("a").agg(F.min("b").alias("low")).checkpoint()
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    low = _lowest(both).select("a", F.least("a", "low").alias("low"))
     return both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
+    low = _lowest(down)
     lowered = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
     return lowered.filter(F.col("a") != F.col("b")).distinct()
 
