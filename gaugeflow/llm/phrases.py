@@ -290,7 +290,7 @@ def remove_repeats(
     cut = stored(_passages(plain.select("place", "text").join(wanted, "place"), shards, window, anchor), "phrases-passages")
     passages = cut.filter(F.col("shard").isNotNull()).select("shard", "passage", "words", "n")
     dealt = passages.repartition("shard").sortWithinPartitions("shard")
-    found = dealt.mapInArrow(_located(window), "passage long, ranges array<int>").dropDuplicates(["passage"])
+    found = dealt.mapInArrow(_located(window), "passage long, ranges array<int>")  # one row a passage: equal words share anchor and shard
     held = cut.filter(F.col("shard").isNull())
     places = held.select("place", F.explode("passages").alias("p")).select("place", "p.passage", "p.start").join(found, "passage")
     covers = places.groupBy("place").agg(F.flatten(F.collect_list(F.transform("ranges", lambda x: x + F.col("start")))).alias("covers"))
