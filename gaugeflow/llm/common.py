@@ -10,8 +10,10 @@ from pyspark.sql.types import StructField, StructType
 
 from gaugeflow.session import scratch_dir
 
-#: Rows handled at once inside a task; texts may be long, so Arrow's own batches are cut further.
+#: Rows handled at once inside a task.
 ROWS_AT_ONCE = 2_000
+#: Rows that go to a Python worker in one batch; texts may be long, and a worker holds a batch several times.
+ROWS_PER_BATCH = 1_000
 
 Columns = Callable[[pa.RecordBatch], list]
 
@@ -29,6 +31,7 @@ def append_columns(df: DataFrame, make: Callable[[], Columns], fields: list[Stru
     ``make`` runs once per task and returns the function from a batch to the new columns. A kept
     column that has the name of a new one gives way to it.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = StructType([df.schema[c] for c in kept] + fields)
