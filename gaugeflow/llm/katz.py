@@ -1,15 +1,15 @@
 """Language-model scoring with a Katz backoff model of words.
 
-Unigram counts cover every training token, bigram counts every pair of frequent words (``VOCABULARY``); both
-are added up inside a task, summed by a shuffle and stored as partitioned tables. Counts up to ``DISCOUNTED`` are
-discounted by Good-Turing estimates from the counts of counts of all n-grams. The model keeps the bigrams seen most
-often, at most ``KEPT_BIGRAMS``; every history's backoff weight is what its kept bigrams leave of the mass, divided
-by what their words leave of the lower order, so each history's distribution sums to one. The mass of unseen words
-is one event of the unigram distribution.
+Unigram counts cover every training token, bigram counts every pair of neighbouring words; both are added up inside a
+task, summed by a shuffle and stored as partitioned tables. Counts up to ``DISCOUNTED`` are discounted by Good-Turing
+estimates from the counts of counts of all n-grams. Every history's backoff weight is what its bigrams leave of the
+mass, divided by what their words leave of the lower order, so each history's distribution sums to one. The mass of
+unseen words is one event of the unigram distribution. Words are known by a hash of 64 bits, pairs by a mix of two.
 
-A token's probability is looked up from the highest order down: the bigram if it is kept, else the history's weight
-times the unigram. Frequent words and kept bigrams have a bounded size and go to every task; a rare word's count comes
-from the stored unigram table by a join, once per document and word.
+A document's score is the sum of its tokens' unigrams and their histories' weights, plus for each pair that was seen its
+gain: the logarithm of its probability less that of its backed-off one. The most frequent words and pairs have a bounded
+size and go to every task; the rest are joined with the stored tables, once per document and word or pair. The limits
+on what is sent (``VOCABULARY``, ``SHARED_WORDS``, ``KEPT_BIGRAMS``) do not change the model.
 
 Edge cases: a null or empty text is its end token alone; without training rows only the unknown event remains;
 rows without id take part in the training; repeated rows count repeatedly; a column named like a result column is
@@ -32,9 +32,9 @@ from pyspark.sql.types import ArrayType, StructType
 from gaugeflow.llm.common import sliced, stored, utf8
 
 FOLDS, HELD_OUT = 7, 2
-#: Words that may stand in bigrams: the most frequent ones, at most 2**16.
+#: Words that are broadcast where the table of bigrams is joined with its words; others are joined by shuffle.
 VOCABULARY = 65_536
-#: Words whose counts are sent to every task; others are joined.
+#: Words and bigrams sent to every task that scores, the most frequent ones; others are joined.
 SHARED_WORDS = 262_144
 KEPT_BIGRAMS = 2_000_000
 DISCOUNTED = 5
@@ -123,79 +123,80 @@ def fit_unigrams(of_counts: dict[int, tuple[int, int]]) -> Unigrams:
     return Unigrams(total, types, factors, left, 1.0)
 
 
-class Ranks(dict):
-    """Position of a word in the shared list, or -1."""
-
-    def __init__(self, ranks: dict[int, int]):
-        super().__init__()
-        self.ranks = ranks
+class Keys(dict):
+    """Keys of words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        value = self[word] = self.ranks.get(word_key(word), -1)
+        value = self[word] = word_key(word)
         return value
 
 
-_rank_tables: dict[int, dict[int, int]] = {}
+def token_keys(text: bytes, keys: Keys) -> tuple[list[bytes], np.ndarray]:
+    words = words_of(text)
+    own = np.empty(len(words) + 1, dtype=np.int64)
+    own[:-1] = np.fromiter(map(keys.__getitem__, words), dtype=np.int64, count=len(words))
+    own[-1] = END
+    return words, own
 
 
-def ranks_of(shared) -> Ranks:
-    """One table of ranks per worker process."""
-    words = shared.value["words"]
-    key = xxhash.xxh64_intdigest(words.tobytes())
-    if key not in _rank_tables:
-        _rank_tables.clear()
-        _rank_tables[key] = {w: i for i, w in enumerate(words.tolist())}
-    return Ranks(_rank_tables[key])
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The first key turned by one bit, xor the second; ``pair_key`` is the same for columns."""
+    bits = first.view(np.uint64)
+    return ((bits << np.uint64(1)) | (bits >> np.uint64(63))).view(np.int64) ^ second
 
 
-def token_ranks(text: bytes, ranks: Ranks, end: int) -> tuple[list[bytes], np.ndarray]:
-    words = words_of(text)
-    own = np.empty(len(words) + 1, dtype=np.int64)
-    own[:-1] = np.fromiter(map(ranks.__getitem__, words), dtype=np.int64, count=len(words))
-    own[-1] = end
-    return words, own
+def pair_key(first: Column, second: Column) -> Column:
+    return F.shiftleft(first, 1).bitwiseOR(F.shiftrightunsigned(first, 63)).bitwiseXOR(second)
+
+
+def places(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of each wanted key, and whether it is there."""
+    if not len(sorted_keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == wanted
 
 
-def bigram_counts(docs: DataFrame, shared, vocabulary: int = VOCABULARY) -> DataFrame:
-    """``(pair, c)`` with ``pair = first * 2**16 + second``, over pairs of frequent words."""
+def bigram_counts(docs: DataFrame) -> DataFrame:
+    """``(first, second, c)`` of all pairs of neighbouring tokens, by their words' keys."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, end = ranks_of(shared), shared.value["end"]
+        keys = Keys()
 
         def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-            pairs, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(c)], names=["pair", "c"])
+            first, second = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
+            _, at, c = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(first[at]), pa.array(second[at]), pa.array(c)], names=["first", "second", "c"])
 
         held, size = [], 0
         for batch in sliced(batches):
             for text in utf8(batch, "text"):
-                _, own = token_ranks(text, ranks, end)
-                first, second = own[:-1], own[1:]
-                frequent = (first >= 0) & (first < vocabulary) & (second >= 0) & (second < vocabulary)
-                held.append((first[frequent] << 16) | second[frequent])
-                size += len(held[-1])
+                held.append(token_keys(text, keys)[1])
+                size += len(held[-1]) - 1
                 if size >= HELD_PAIRS:
                     yield rows(held)
                     held, size = [], 0
         if held:
             yield rows(held)
 
-    return docs.select("text").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(count, "first long, second long, c long").groupBy("first", "second").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Bigrams:
-    pairs: np.ndarray  # kept, ascending
+    pairs: np.ndarray  # ascending
     log10: np.ndarray
-    weights: np.ndarray  # log10 of the backoff weight of each frequent word as history
+    weights: np.ndarray  # log10 of the backoff weight of each word as history
 
 
 def fit_bigrams(pairs: np.ndarray, c: np.ndarray, history: np.ndarray, factors: np.ndarray, lower: np.ndarray) -> Bigrams:
-    """``history``: tokens after each frequent word; ``lower``: unigram probabilities of the frequent words.
+    """The model of few words in memory, pairs as ``first * 2**16 + second``; ``word_table`` and ``gain_table`` are the same for any number.
 
-    A history whose kept bigrams would use up the mass gives one part in its tokens + 1 back; one whose kept words
+    ``history``: tokens after each word; ``lower``: unigram probabilities of the words.
+
+    A history whose bigrams would use up the mass gives one part in its tokens + 1 back; one whose words
     cover the whole lower order cannot occur, as the unknown event has mass.
     """
     first, second = pairs >> 16, pairs & 0xFFFF
@@ -227,6 +228,47 @@ def _table(df: DataFrame, key: str, label: str) -> DataFrame:
     return stored(df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(TABLE_PARTS))), label)
 
 
+def _discounted(c: Column, factors: np.ndarray) -> Column:
+    factor = F.element_at(F.array(*[F.lit(float(x)) for x in factors]), (F.least(c, F.lit(len(factors) - 1)) + 1).cast("int"))
+    return F.when(c < len(factors), factor).otherwise(1.0) * c
+
+
+def _chance(c: Column, lower: Unigrams) -> Column:
+    known = F.lit(float(lower.scale)) * _discounted(c, lower.factors) / F.lit(float(max(lower.total, 1)))
+    return F.when(c > 0, known).otherwise(F.lit(float(lower.unknown)))
+
+
+def _looked_up(rows: DataFrame, key: str, words: DataFrame, low: int) -> DataFrame:
+    """``rows`` with the columns of their word: the words of at least ``low`` tokens by broadcast, so that the rest has no hot key."""
+    words = words.withColumnRenamed("word", key)
+    top = F.broadcast(words.filter(F.col("c") >= low).drop("c"))
+    far = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(words.filter(F.col("c") < low).drop("c"), key)
+    return rows.join(top, key).unionByName(far)
+
+
+def word_table(unigrams: DataFrame, bigrams: DataFrame, lower: Unigrams, factors: np.ndarray, low: int) -> DataFrame:
+    """``(word, c, single, weight, scale)``: log10 of a word's unigram, of its backoff weight, and of its part in the share of its bigrams."""
+    chances = unigrams.select("word", "c", _chance(F.col("c"), lower).alias("chance"))
+    each = _looked_up(bigrams.withColumnRenamed("c", "n"), "second", chances, low)
+    sums = each.groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("h"), F.sum(_discounted(F.col("n"), factors)).alias("used"), F.sum("chance").alias("covered"))
+    used = F.col("used") / F.col("h")
+    shrink = F.when(used >= 1 - 1e-12, F.col("h") / (F.col("h") + 1) / used).otherwise(1.0)
+    weight = F.log10((1 - used * shrink) / F.greatest(1 - F.col("covered"), F.lit(1e-12)))
+    histories = sums.select("word", weight.alias("weight"), F.log10(shrink / F.col("h")).alias("scale"))
+    none = F.lit(0.0)
+    return chances.join(histories, "word", "left").select(
+        "word", "c", F.log10("chance").alias("single"), F.coalesce("weight", none).alias("weight"), F.coalesce("scale", none).alias("scale")
+    )
+
+
+def gain_table(bigrams: DataFrame, words: DataFrame, factors: np.ndarray, low: int) -> DataFrame:
+    """``(pair, c, gain)``: log10 of each bigram's probability less that of its backed-off one."""
+    each = _looked_up(bigrams.withColumnRenamed("c", "n"), "second", words.select("word", "c", "single"), low)
+    each = _looked_up(each, "first", words.select("word", "c", (F.col("scale") - F.col("weight")).alias("own")), low)
+    gain = F.log10(_discounted(F.col("n"), factors)) + F.col("own") - F.col("single")
+    return each.select(pair_key(F.col("first"), F.col("second")).alias("pair"), F.col("n").alias("c"), gain.alias("gain"))
+
+
 def score_text(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -251,78 +293,78 @@ def score_text(
     unigrams = _table(unigram_counts(learned), "word", "katz-unigrams")
     of_counts = {r["c"]: (r["n"], r["c"] * r["n"]) for r in unigrams.groupBy("c").agg(F.count("*").alias("n")).collect()}
     lower = fit_unigrams(of_counts)
-    low = cut_off({c: n for c, (n, _) in of_counts.items()}, shared_words - 1)
-    top = unigrams.filter((F.col("c") >= low) | (F.col("word") == END)).select("word", "c").toArrow()  # shared_words rows at most
-    words, counts = top["word"].to_numpy(), top["c"].to_numpy()
-    order = np.lexsort((words, -counts, words != END))
-    words, counts = words[order], counts[order]
-    if not len(words):
-        words, counts = np.array([END]), np.array([0])
-    shared = context.broadcast({"words": words, "end": 0})
-
-    frequent = min(vocabulary, len(words))
-    bigrams = _table(bigram_counts(learned, shared, vocabulary), "pair", "katz-bigrams")
+    types = {c: n for c, (n, _) in of_counts.items()}
+    bigrams = stored(bigram_counts(learned), "katz-bigrams")
     pair_counts = {r["c"]: r["n"] for r in bigrams.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    factors = discounts(pair_counts)
+    joined_below = cut_off(types, vocabulary)
+    words = _table(word_table(unigrams, bigrams, lower, factors, joined_below), "word", "katz-words")
+    gains = stored(gain_table(bigrams, words, factors, joined_below), "katz-gains")
+
+    top = words.filter((F.col("c") >= cut_off(types, shared_words - 1)) | (F.col("word") == END)).select("word", "c", "weight").toArrow()  # shared_words rows at most
+    order = np.argsort(top["word"].to_numpy())
+    shared = {name: top[name].to_numpy()[order] for name in ("word", "c", "weight")}
+    if not len(order):  # no training rows
+        shared = {"word": np.array([END]), "c": np.array([0]), "weight": np.array([0.0])}
     low = cut_off(pair_counts, kept_bigrams)
-    strong = bigrams.filter(F.col("c") >= low).select("pair", "c").toArrow()  # kept_bigrams rows at most
+    strong = gains.filter(F.col("c") >= low).select("pair", "gain").toArrow()  # kept_bigrams rows at most
     order = np.argsort(strong["pair"].to_numpy())
-    pairs, c = strong["pair"].to_numpy()[order], strong["c"].to_numpy()[order]
-    history = counts[:frequent].copy()
-    history[0] = 0  # nothing follows the end
-    model = fit_bigrams(pairs, c, history, discounts(pair_counts), lower.probability(counts[:frequent]))
-    tables = context.broadcast({"counts": counts, "pairs": model.pairs, "log10": model.log10, "weights": model.weights})
+    tables = context.broadcast({**shared, "pair": strong["pair"].to_numpy()[order], "gain": strong["gain"].to_numpy()[order]})
+    others = len(order) < sum(pair_counts.values())
 
     rare_type = ArrayType(StructType().add("word", "long").add("n", "long"))
+    pairs_type = ArrayType(StructType().add("pair", "long").add("n", "long"))
     schema = plain.select("row").schema
-    schema = schema.add("place", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("log10", "double").add("rare", rare_type)
+    schema = schema.add("place", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("log10", "double")
+    schema = schema.add("rare", rare_type).add("pairs", pairs_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, held = ranks_of(shared), tables.value
-        counts, pairs, weights = held["counts"], held["pairs"], held["weights"]
-        base, single = lower.base(counts), np.log10(lower.probability(counts))
+        keys, held = Keys(), tables.value
+        base, single = lower.base(held["c"]), np.log10(lower.probability(held["c"]))
+
+        def lists(found: list[tuple[np.ndarray, np.ndarray]], key: str) -> pa.Array:
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k, _ in found])])
+            parts = [pa.array(np.concatenate([x[i] for x in found]).astype(np.int64)) for i in (0, 1)]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=[key, "n"]))
+
         for batch in sliced(batches):
-            sizes, known, bases, logs, rare = [], [], [], [], []
+            if not batch.num_rows:
+                continue
+            sizes, known, bases, logs, rare, asked = [], [], [], [], [], []
             for text in utf8(batch, "text"):
-                words, own = token_ranks(text, ranks, 0)
-                sure = own >= 0
-                tokens = own[sure]
+                own = token_keys(text, keys)[1]
+                at, sure = places(held["word"], own)
+                tokens = at[sure]
                 sizes.append(len(own))
-                known.append(int((counts[tokens] > 0).sum()))
+                known.append(int((held["c"][tokens] > 0).sum()))
                 bases.append(math.fsum(base[tokens]))
-                alone = np.where(sure, single[own], 0.0)
-                if len(own) > 1 and len(weights):
-                    first, second = own[:-1], own[1:]
-                    after = (first >= 0) & (first < len(weights))
-                    backed = np.where(after, weights[np.where(after, first, 0)], 0.0)
-                    wanted = (first << 16) | second
-                    at = np.minimum(np.searchsorted(pairs, wanted), max(len(pairs) - 1, 0))
-                    seen = after & (second >= 0) & (second < len(weights)) & (pairs[at] == wanted) if len(pairs) else np.zeros(len(first), bool)
-                    alone[1:] = np.where(seen, held["log10"][at] if len(pairs) else 0.0, backed + alone[1:])
-                logs.append(math.fsum(alone))
-                missing = Counter(map(words.__getitem__, np.flatnonzero(~sure).tolist()))
-                rare.append([{"word": word_key(w), "n": n} for w, n in missing.items()])
+                wanted = pair_keys(own[:-1], own[1:])
+                near, seen = places(held["pair"], wanted)
+                logs.append(math.fsum(np.concatenate([single[tokens], held["weight"][at[:-1][sure[:-1]]], held["gain"][near[seen]]])))
+                rare.append(np.unique(own[~sure], return_counts=True))
+                asked.append(np.unique(wanted[~seen] if others else wanted[:0], return_counts=True))
             arrays = [batch.column("row"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(logs, pa.float64())]
-            arrays.append(pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*arrays, lists(rare, "word"), lists(asked, "pair")], names=schema.names)
 
     placed = plain.withColumn("place", F.monotonically_increasing_id())
     parts = stored(placed.select("row", "place", "text").mapInArrow(score, schema), "katz-parts")
-    asked = parts.select("place", F.explode("rare").alias("r")).select("place", "r.word", "r.n")
-    factors = F.array(*[F.lit(float(x)) for x in lower.factors])
     count = F.coalesce(F.col("c"), F.lit(0))
-    factor = F.when(count < len(lower.factors), F.element_at(factors, (count + 1).cast("int"))).otherwise(1.0)
-    chance = F.when(count > 0, F.lit(float(lower.scale)) * factor * count / F.lit(float(max(lower.total, 1)))).otherwise(F.lit(float(lower.unknown)))
-    rest = (
-        asked.join(unigrams.select("word", "c"), "word", "left")
-        .groupBy("place")
-        .agg(
-            F.sum(F.when(count > 0, F.col("n")).otherwise(F.lit(0))).alias("rare_known"),
-            F.sum(F.col("n") * F.log10((count + 1) / F.lit(float(lower.total + lower.types + 1)))).alias("rare_base"),
-            F.sum(F.col("n") * F.log10(chance)).alias("rare_log10"),
+    single = F.coalesce(F.col("single"), F.log10(F.lit(float(lower.unknown))))
+    of_words = (
+        parts.select("place", F.explode("rare").alias("r")).select("place", "r.word", "r.n").join(words, "word", "left")
+        .select(
+            "place",
+            F.when(count > 0, F.col("n")).otherwise(F.lit(0)).alias("known"),
+            (F.col("n") * F.log10((count + 1) / F.lit(float(lower.total + lower.types + 1)))).alias("base"),
+            (F.col("n") * (single + F.coalesce(F.col("weight"), F.lit(0.0)))).alias("log10"),
         )
     )
+    asked = parts.select("place", F.explode("pairs").alias("r")).select("place", "r.pair", "r.n")
+    of_pairs = asked.join(gains.filter(F.col("c") < low).select("pair", "gain"), "pair").select("place", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("n") * F.col("gain")).alias("log10"))
+    more = of_words.unionByName(of_pairs) if others else of_words
+    rest = more.groupBy("place").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("log10").alias("rare_log10"))
     none = F.lit(0.0)
-    return parts.drop("rare").join(rest, "place", "left").select(
+    return parts.drop("rare", "pairs").join(rest, "place", "left").select(
         *[F.col("row")[c].alias(c) for c in kept],
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),

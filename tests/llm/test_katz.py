@@ -80,3 +80,32 @@ def test_no_training_rows_and_empty_table(spark):
 
 def test_cut_off():
     assert katz.cut_off({1: 100, 2: 10, 5: 3}, 13) == 2 and katz.cut_off({1: 100, 2: 10}, 9) == 3 and katz.cut_off({}, 5) == 1
+
+
+@pytest.mark.parametrize("limits", [{}, {"vocabulary": 5, "shared_words": 10, "kept_bigrams": 12}, {"vocabulary": 1, "shared_words": 1, "kept_bigrams": 0}])
+def test_scores_take_all_bigrams_whatever_is_sent(spark, limits):
+    rows = [(i, text) for i, text in corpus() if i is not None]
+    learned = [[*words_of(text), "end"] for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, pairs = Counter(t for ts in learned for t in ts), Counter(p for ts in learned for p in zip(ts, ts[1:]))
+    order = [w for w, _ in counts.most_common()]
+    rank, c = {w: i for i, w in enumerate(order)}, np.array([counts[w] for w in order])
+    history = c.copy()
+    history[rank["end"]] = 0
+    lower = katz.fit_unigrams({n: (k, n * k) for n, k in Counter(counts.values()).items()})
+    table = sorted((rank[a] << 16 | rank[b], n) for (a, b), n in pairs.items())
+    keys, n = (np.array(x) for x in zip(*table))
+    model = katz.fit_bigrams(keys, n, history, katz.discounts(dict(Counter(pairs.values()))), lower.probability(c))
+    seen = dict(zip(keys.tolist(), model.log10))
+
+    def expected(tokens):
+        out = 0.0
+        for a, b in zip([None, *tokens], tokens):
+            single = math.log10(lower.probability(np.array([counts[b]]))[0])
+            backed = model.weights[rank[a]] + single if a in rank else single
+            out += seen[rank[a] << 16 | rank[b]] if (a, b) in pairs else backed
+        return out
+
+    found = katz.score_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep=["text"], **limits).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert math.isclose(r["score"], expected([*words_of(r["text"]), "end"]), rel_tol=1e-9)
