@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -31,7 +32,7 @@ from gaugeflow.llm.common import append_columns, sliced, texts
 
 LEAST_IMPORTANCE = 0.2
 LEAST_PAGES = 4
-LONGEST_PATH = 12  # elements of a path that tell nodes apart
+LONGEST_PATH = 200  # characters; a longer path goes by its hash
 
 # Element names by their meaning.
 UNSEEN = frozenset("head script style noscript template iframe svg math object canvas audio video select textarea button".split())
@@ -40,12 +41,16 @@ NOISE = frozenset("nav footer aside form menu dialog".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CONTENT = frozenset(("article", "main"))
-# Parts of class names and ids that mark noise; the last ones only outside an article.
+# Class names and ids that mark noise; the outer ones only outside an article.
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs "
     "footer sidebar related recommended share sharing social newsletter subscribe subscription signup login comment comments reply replies disqus respond pagination pager widget toolbar".split()
 )
 OUTER_NOISE_NAMES = frozenset("header masthead topbar".split())
+#: What may stand beside these names without another meaning: `ad-slot-2`, `share-buttons`.
+NEUTRAL_NAMES = frozenset(
+    "area articles bar block box button buttons card cards container content group inner items left links list outer panel posts right row section slot stories top bottom unit wrap wrapper".split()
+)
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li td th tr dt dd".split()
 )
@@ -65,19 +70,19 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its path, whether it is noise, and the article it belongs to."""
+    """An open element: its path, whether it is noise (by its element, or by name only), and what blocks in it are."""
 
-    __slots__ = ("name", "path", "depth", "noise", "content", "children", "pieces")
+    __slots__ = ("name", "path", "noise", "named", "content", "doubtful", "children", "pieces")
 
-    def __init__(self, name: str, path: str, depth: int, noise: bool, content: bool):
-        self.name, self.path, self.depth, self.noise, self.content = name, path, depth, noise, content
+    def __init__(self, name: str, path: str, noise: bool = False, named: bool = False, content: bool = False, doubtful: bool = False):
+        self.name, self.path, self.noise, self.named, self.content, self.doubtful = name, path, noise, named, content, doubtful
         self.children: list[str] = []
         self.pieces: list[str] = []
 
 
-def _named(attributes: str) -> tuple[str, set[str], bool]:
-    """First class, parts of classes and ids, and whether the element is hidden."""
-    first, parts, hidden = "", set(), False
+def _named(attributes: str) -> tuple[str, list[str], bool]:
+    """First class, all classes, ids and roles, and whether the element is hidden."""
+    first, names, hidden = "", [], False
     for key, *values in _NAMES.findall(attributes):
         value = next((v for v in values if v), "").lower()
         if key.lower() == "hidden":
@@ -85,17 +90,28 @@ def _named(attributes: str) -> tuple[str, set[str], bool]:
         elif key.lower() == "class":
             first = first or (value.split() or [""])[0]
         if key.lower() in ("class", "id", "role"):
-            parts.update(re.split(r"[^a-z0-9]+", value))
-    return first, parts, hidden
+            names.extend(value.split())
+    return first, names, hidden
+
+
+@lru_cache(maxsize=65_536)
+def _means_noise(name: str, outside: bool) -> bool:
+    """Whether a whole name says noise: nothing in it has another meaning."""
+    noise = NOISE_NAMES | OUTER_NOISE_NAMES if outside else NOISE_NAMES
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+    return any(x in noise for x in parts) and all(x in noise or x in NEUTRAL_NAMES for x in parts)
 
 
 class Page:
-    """Blocks of a page: ``(text, paths of the open elements, inside an article)``, noise left out; and its nodes."""
+    """Blocks of a page: ``(text, paths of the open elements, inside an article, doubtful)``, noise left out; and its nodes.
+
+    A name alone doesn't remove an article: one inside an element with a noisy name is doubtful.
+    """
 
     def __init__(self, text: str):
-        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], bool, bool]] = []
         self.nodes: dict[str, list] = {}
-        self.stack: list[Node] = [Node("", "", 0, False, False)]
+        self.stack: list[Node] = [Node("", "")]
         self.buffer: list[str] = []
         at = 0
         while at < len(text):
@@ -121,7 +137,7 @@ class Page:
         self.flush()
 
     def add(self, text: str) -> None:
-        if text and not self.stack[-1].noise:
+        if text and not (self.stack[-1].noise or self.stack[-1].named):
             self.buffer.append(text)
 
     def flush(self) -> None:
@@ -130,14 +146,14 @@ class Page:
         text = " ".join(entities.unescape("".join(self.buffer)).split())
         self.buffer = []
         if text:
-            self.blocks.append((text, tuple(n.path for n in self.stack[1:]), self.stack[-1].content))
+            self.blocks.append((text, tuple(n.path for n in self.stack[1:]), self.stack[-1].content, self.stack[-1].doubtful))
             for node in self.stack[1:]:
                 node.pieces.append(text)
 
     def pop(self) -> None:
         self.flush()
         node = self.stack.pop()
-        if node.name not in INLINE and not node.noise:
+        if node.name not in INLINE and not (node.noise or node.named):
             own = self.nodes.setdefault(node.path, [[], []])
             own[0].append(",".join(node.children))
             own[1].append("\n".join(node.pieces))
@@ -151,10 +167,10 @@ class Page:
         if name in EMPTY:
             return
         if name in INLINE:  # inline elements stay in their block; only hidden or noisy ones matter
-            _, parts, hidden = _named(attributes) if attributes.strip() else ("", set(), False)
+            _, names, hidden = _named(attributes) if attributes.strip() else ("", [], False)
             top = self.stack[-1]
-            node = Node(name, top.path, top.depth, top.noise or hidden or bool(parts & NOISE_NAMES), top.content)
-            self.stack.append(node)
+            named = top.named or any(_means_noise(x, False) for x in names)
+            self.stack.append(Node(name, top.path, top.noise or hidden, named, top.content, top.doubtful))
             return
         self.flush()
         if name in ENDS_PARAGRAPH:
@@ -165,15 +181,20 @@ class Page:
         while top.name in INLINE:  # a block is no part of an element that was left open
             self.pop()
             top = self.stack[-1]
-        first, parts, hidden = _named(attributes) if attributes.strip() else ("", set(), False)
+        first, names, hidden = _named(attributes) if attributes.strip() else ("", [], False)
         content = top.content or name in CONTENT
-        noise = top.noise or hidden or name in UNSEEN or name in NOISE or bool(parts & NOISE_NAMES)
-        if not top.content and not content:
-            noise = noise or name == "header" or bool(parts & OUTER_NOISE_NAMES)
+        noise = top.noise or hidden or name in UNSEEN or name in NOISE or (not content and name == "header")
+        named, doubtful = top.named, top.doubtful
+        if name in CONTENT:
+            named, doubtful = False, doubtful or named
+        elif name not in ("html", "body"):
+            named = named or any(_means_noise(x, not content) for x in names)
         label = f"{name}.{first}" if first else name
-        path = f"{top.path}>{label}" if top.depth < LONGEST_PATH else top.path
+        path = f"{top.path}>{label}"
+        if len(path) > LONGEST_PATH:
+            path = f"#{xxhash.xxh64_hexdigest(path)}"
         top.children.append(label)
-        self.stack.append(Node(name, path, top.depth + 1, noise, content))
+        self.stack.append(Node(name, path, noise, named, content, doubtful))
 
     def end_open(self, names: set[str], holders) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -200,9 +221,12 @@ class Page:
                 return
 
     def main_text(self, unimportant: frozenset[str] = frozenset()) -> str:
-        """Blocks of the articles; of the whole page, without the unimportant branches, if there are none."""
-        article = any(content for _, _, content in self.blocks)
-        kept = [text for text, paths, content in self.blocks if content or (not article and unimportant.isdisjoint(paths))]
+        """Blocks of the articles, doubtful ones if there are no others; of the whole page, without the unimportant branches, if there are none."""
+        article = any(content for _, _, content, _ in self.blocks)
+        sure = any(content and not doubtful for _, _, content, doubtful in self.blocks)
+        kept = [
+            text for text, paths, content, doubtful in self.blocks if (content and not (doubtful and sure)) or (not article and unimportant.isdisjoint(paths))
+        ]
         return "\n".join(kept)
 
 

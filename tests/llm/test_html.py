@@ -52,3 +52,19 @@ def test_boilerplate_of_a_host_goes_by_entropy(spark):
 
 def test_hosts():
     assert host_of("HTTPS://User@M.Example.org:80/x?u=//y") == "m.example.org" and host_of(None) == "" and host_of("no url") == ""
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("<body class='has-sidebar'><article><p>in</article>", "in"),
+        ("<div class='layout with-sidebar'><article><p>in</article></div>", "in"),
+        ("<div class='sidebar'><article><p>in</article></div>", "in"),
+        ("<article class='post has-comments'><p>in</article>", "in"),
+        ("<main id='share-page'><p>in</main>", "in"),
+        ("<article><section class='related-work'><p>in</section><div class='promo-history'>too</div></article>", "in\ntoo"),
+        ("<article><p>in<div class='share-buttons'>x</div><div id='ad-slot-2'>y</div><div class='comments'><article>z</article></div></article>", "in"),
+    ],
+)
+def test_a_name_alone_removes_no_article(markup, text):
+    assert Page(markup).main_text() == text
