@@ -3,9 +3,11 @@
 The pages of a host are merged into one tree: a node is a path of elements with their first class, and holds
 how often each presentation (row of child elements) and each content (text below) occurs. Its importance is the
 larger of the two entropies, to the base of its pages: 0 for what is the same everywhere, 1 for what is always new.
-What elements and class names say outright (menus, footers, forms, comments and the like are noise, an
-article is content) weighs more than entropy; nodes that say nothing are removed if their importance is low.
-The tree's counts are aggregates over all pages, only the paths to remove are joined back to the pages by host.
+Elements and whole class names that say outright that they are noise (menus, footers, forms, comments and the like) go
+without it. What else they say is a prior on importance: a node is removed below ``LEAST_IMPORTANCE``, inside an article
+only below half of it, and with a name that hints at noise already below ``LEAST_DOUBTED``. An element that holds the page's
+articles is never removed. The tree counts different pages only, so copies of a page don't make its text unimportant;
+its counts are aggregates over all pages, only the less important paths are joined back to the pages by host.
 
 Markup is read by one expression per token, with the usual implied ends of paragraphs and list items; a page
 without an end of an element is read as if it ended there.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,6 +33,7 @@ from gaugeflow.functions.sizes import broadcast_if_few
 from gaugeflow.llm.common import append_columns, sliced, texts
 
 LEAST_IMPORTANCE = 0.2
+LEAST_DOUBTED = 0.5
 LEAST_PAGES = 4
 LONGEST_PATH = 200  # characters; a longer path goes by its hash
 
@@ -70,12 +73,12 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its path, whether it is noise (by its element, or by name only), and what blocks in it are."""
+    """An open element: its path, whether it is noise (by its element, or by name only), and what it and blocks in it are."""
 
-    __slots__ = ("name", "path", "noise", "named", "content", "doubtful", "children", "pieces")
+    __slots__ = ("name", "path", "noise", "named", "content", "doubtful", "hints", "children", "pieces")
 
-    def __init__(self, name: str, path: str, noise: bool = False, named: bool = False, content: bool = False, doubtful: bool = False):
-        self.name, self.path, self.noise, self.named, self.content, self.doubtful = name, path, noise, named, content, doubtful
+    def __init__(self, name: str, path: str, noise: bool = False, named: bool = False, content: bool = False, doubtful: bool = False, hints: bool = False):
+        self.name, self.path, self.noise, self.named, self.content, self.doubtful, self.hints = name, path, noise, named, content, doubtful, hints
         self.children: list[str] = []
         self.pieces: list[str] = []
 
@@ -102,15 +105,21 @@ def _means_noise(name: str, outside: bool) -> bool:
     return any(x in noise for x in parts) and all(x in noise or x in NEUTRAL_NAMES for x in parts)
 
 
+@lru_cache(maxsize=65_536)
+def _hints_noise(name: str) -> bool:
+    return not NOISE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", name))
+
+
 class Page:
-    """Blocks of a page: ``(text, paths of the open elements, inside an article, doubtful)``, noise left out; and its nodes.
+    """Blocks of a page: ``(text, open elements, inside an article, doubtful)``, noise left out; and its nodes.
 
     A name alone doesn't remove an article: one inside an element with a noisy name is doubtful.
     """
 
     def __init__(self, text: str):
-        self.blocks: list[tuple[str, tuple[str, ...], bool, bool]] = []
+        self.blocks: list[tuple[str, tuple[Node, ...], bool, bool]] = []
         self.nodes: dict[str, list] = {}
+        self.holders: set[str] = set()  # paths of articles and of what they are in
         self.stack: list[Node] = [Node("", "")]
         self.buffer: list[str] = []
         at = 0
@@ -146,7 +155,7 @@ class Page:
         text = " ".join(entities.unescape("".join(self.buffer)).split())
         self.buffer = []
         if text:
-            self.blocks.append((text, tuple(n.path for n in self.stack[1:]), self.stack[-1].content, self.stack[-1].doubtful))
+            self.blocks.append((text, tuple(n for n in self.stack[1:] if n.name not in INLINE), self.stack[-1].content, self.stack[-1].doubtful))
             for node in self.stack[1:]:
                 node.pieces.append(text)
 
@@ -194,7 +203,9 @@ class Page:
         if len(path) > LONGEST_PATH:
             path = f"#{xxhash.xxh64_hexdigest(path)}"
         top.children.append(label)
-        self.stack.append(Node(name, path, noise, named, content, doubtful))
+        self.stack.append(Node(name, path, noise, named, content, doubtful, any(map(_hints_noise, names))))
+        if name in CONTENT and not (noise or top.content and top.named):
+            self.holders.update(n.path for n in self.stack)
 
     def end_open(self, names: set[str], holders) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -220,13 +231,24 @@ class Page:
             if name in INLINE and self.stack[i].name not in INLINE:
                 return
 
-    def main_text(self, unimportant: frozenset[str] = frozenset()) -> str:
-        """Blocks of the articles, doubtful ones if there are no others; of the whole page, without the unimportant branches, if there are none."""
+    def main_text(self, importance: Mapping[str, float] = {}, least: float = LEAST_IMPORTANCE) -> str:
+        """Blocks of the articles, doubtful ones if there are no others, of the whole page if there are none; without the unimportant branches.
+
+        ``importance`` by path; a path that isn't there is important.
+        """
+
+        def unimportant(node: Node) -> bool:
+            found = importance.get(node.path)
+            if found is None or node.path in self.holders:
+                return False
+            return found < (max(LEAST_DOUBTED, least) if node.hints else least / 2 if node.content else least)
+
         article = any(content for _, _, content, _ in self.blocks)
         sure = any(content and not doubtful for _, _, content, doubtful in self.blocks)
-        kept = [
-            text for text, paths, content, doubtful in self.blocks if (content and not (doubtful and sure)) or (not article and unimportant.isdisjoint(paths))
-        ]
+        kept = []
+        for text, nodes, content, doubtful in self.blocks:
+            if (content or not article) and not (doubtful and sure) and not (importance and any(map(unimportant, nodes))):
+                kept.append(text)
         return "\n".join(kept)
 
 
@@ -235,23 +257,25 @@ def _hash(parts: list[str]) -> int:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path, pages, presentation, content)``: nodes of all hosts with both entropies."""
+    """``(host, path, pages, presentation, content)``: nodes of all hosts with both entropies, each different page of a host taken once."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 500):
             rows = [
-                (host_of(url), path, kind, _hash(parts))
+                (host_of(url), path, kind, _hash(parts), page)
                 for url, text in zip(batch.column("url").to_pylist(), texts(batch, "html"))
+                for page in [_hash([text])]
                 for path, own in Page(text).nodes.items()
                 for kind, parts in enumerate(own)
             ]
-            host, path, kind, value = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
+            host, path, kind, value, page = (list(x) for x in zip(*rows)) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], names=["host", "path", "kind", "value"]
+                [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(page, pa.int64())],
+                names=["host", "path", "kind", "value", "page"],
             )
 
     plain = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    each = plain.mapInArrow(nodes, "host string, path string, kind int, value long")
+    each = plain.mapInArrow(nodes, "host string, path string, kind int, value long, page long").distinct()
     variants = each.groupBy("host", "path", "kind", "value").agg(F.count("*").cast("double").alias("n"))
     sums = variants.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     # entropy to the base of the pages: log m - sum(n log n) / m, over log m
@@ -268,15 +292,16 @@ def extract_text(
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars") and (keep is not None or c != html_col)]
     tree = style_tree(pages, url_col, html_col)
     importance = F.greatest("presentation", "content")
-    low = tree.filter((F.col("pages") >= least_pages) & (importance < least_importance))
-    removed = low.groupBy(F.col("host").alias("of")).agg(F.collect_set("path").alias("removed"))
+    low = tree.filter((F.col("pages") >= least_pages) & (importance < max(LEAST_DOUBTED, least_importance))).select("host", "path", importance.alias("importance"))
+    removed = low.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("path", "importance")).alias("removed"))
     plain = pages.select(F.struct(*kept).alias("row"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     own_host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern.replace("^", "^(?i)", 1), 1)), F.lit(""))
     joined = plain.withColumn("host", own_host).join(broadcast_if_few(removed), F.col("host") == F.col("of"), "left")
 
     def make():
         def compute(batch: pa.RecordBatch) -> list:
-            out = [Page(text).main_text(frozenset(paths or ())) for text, paths in zip(texts(batch, "html"), batch.column("removed").to_pylist())]
+            known = ({x["path"]: x["importance"] for x in found or ()} for found in batch.column("removed").to_pylist())
+            out = [Page(text).main_text(low, least_importance) for text, low in zip(texts(batch, "html"), known)]
             return [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
 
         return compute

@@ -68,3 +68,18 @@ def test_hosts():
 )
 def test_a_name_alone_removes_no_article(markup, text):
     assert Page(markup).main_text() == text
+
+
+def test_what_a_host_repeats_inside_articles_goes_by_entropy(spark):
+    box = "<div class='about'><p>Written by the staff</p></div>"
+    deep = "<div>" * 40 + "<div class='end'>Read on</div><div class='story'>depth {0}</div>" + "</div>" * 40
+    page = "<body class='has-sidebar'><article class='post has-comments'><p>story {0}</p>" + box + "<div class='promo-history'>{1}</div><div class='related-work'>work {0}</div>" + deep + "</article></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, i // 6)) for i in range(12)]
+    rows += [(20, "http://b.example/1", page.format(20, 0))]
+    rows += [(30 + i, f"http://c.example/{i}", page.format(30, 0)) for i in range(9)]  # copies of one page
+    rows += [(50 + i, f"http://d.example/{i}", f"<body><div>{'<div>' * 30}<div class='x'>same</div><div class='y'>own {i}</div>") for i in range(8)]
+    found = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "story 3\nwork 3\ndepth 3"
+    assert found[20] == "story 20\nWritten by the staff\n0\nwork 20\nRead on\ndepth 20"
+    assert found[30] == "story 30\nWritten by the staff\n0\nwork 30\nRead on\ndepth 30"
+    assert found[51] == "own 1"
