@@ -65,13 +65,14 @@ def _is_iban(found: Column) -> Column:
 
 @dataclass(frozen=True)
 class Generator:
-    """``label``: the check on a match; for a base kind it decides the base spans. ``needs``: text every match has."""
+    """``label``: the check on a match; for a base kind it decides the base spans. ``needs``: text every match has, ``holds``: a pattern in every match."""
 
     kind: str
     pattern: str
     label: Callable[[Column], Column]
     base: bool = False
     needs: str | None = None
+    holds: str = "[0-9]{2}"
 
 
 # The base kinds in their order. Quantifiers are possessive where nothing follows that could need the text
@@ -79,9 +80,9 @@ class Generator:
 GENERATORS = (
     Generator("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda f: F.lit(True), True, "@"),
     Generator("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _is_ip, True, "."),
-    Generator("card", r"[0-9](?:[\x20-]?[0-9])++", _is_card, True),
+    Generator("card", r"[0-9](?:[\x20-]?[0-9])++", _is_card, True, holds=r"[0-9][\x20-]?[0-9]"),
     Generator("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _has_digits(8, 15), True, "+"),
-    Generator("mail_words", r"[A-Za-z0-9._-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", lambda f: f.rlike("[a-z]{2,}$")),
+    Generator("mail_words", r"[A-Za-z0-9._-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]++)++", lambda f: f.rlike("[a-z]{2,}$"), holds=r"[\[(](?:at|AT)[\])]"),
     Generator("phone_plain", r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])", _has_digits(9, 12)),
     Generator("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda f: ~f.rlike("^(000|666|9)|-00-|0000$"), needs="-"),
     Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", _is_iban),
@@ -136,7 +137,7 @@ def candidate_spans(text: Column, generator: Generator) -> Column:
 
     empty = F.array().cast(SPAN)
     spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda state: state["spans"])
-    possible = text.rlike("[0-9]{2}") if generator.needs is None and generator.kind != "mail_words" else F.contains(text, F.lit(generator.needs or "at"))
+    possible = text.rlike(generator.holds) if generator.needs is None else F.contains(text, F.lit(generator.needs))
     return F.when(possible, spans).otherwise(empty)
 
 

@@ -95,3 +95,14 @@ def test_boosted_trees_learn_a_rule_of_two_features():
     for features, _, _, right in counts:
         assert (model.score(features) >= model.threshold) == (right == 100)
     assert pii.fit([]).trees == () and pii.fit([]).threshold == float("inf")
+
+
+def test_spans_without_adjacent_digits_or_lower_case_at(spark):
+    rows = ["pay 4 1 1 1-1 1 1 1-1 1 1 1-1 1 1 1 now", "4 1-1 1", "NAME [AT] HOST [DOT] COM", "joe (at) site (dot) com"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string")
+    found = {r["doc_id"]: r["pii"] for r in pii.find_pii(docs).collect()}
+    for i, text in enumerate(rows):
+        assert [tuple(s) for s in found[i] if s["kind"] in pii.BASE_KINDS] == base(text)
+    assert [s["kind"] for s in found[0]][:1] == ["card"]
+    spans = {r["doc_id"]: [(c["kind"], c["start"], c["end"]) for c in r["candidates"]] for r in pii.with_candidates(docs).collect()}
+    assert spans[2] == [("mail_words", 0, len(rows[2]))] and spans[3] == [("mail_words", 0, len(rows[3]))]
