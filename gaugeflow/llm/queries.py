@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gaugeflow.llm import decontam, hnsw, html, katz, mixing, phrases, pii, quality, secrets, simhash
+from gaugeflow.llm import conversations, decontam, hnsw, html, katz, mixing, negatives, phrases, pii, quality, secrets, simhash, tokens
 from gaugeflow.llm.common import table
 
 
@@ -74,6 +75,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", n_items, decontam.items_digest().alias("items_sha256"), "contaminated")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    path = public_tokenizers.path(tokens.VOCABULARY_FILE)
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong-label vectors that score nearly as high as the positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_vectors": op2_near_vectors,
@@ -85,4 +103,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_conversation_repair": op13_conversation_repair,
 }
