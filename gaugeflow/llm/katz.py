@@ -1,19 +1,22 @@
 """Language-model scoring with a Katz backoff model of words.
 
-Unigram counts cover every training token, bigram counts every pair of neighbouring words; both are added up inside a
-task, summed by a shuffle and stored as partitioned tables. Counts up to ``DISCOUNTED`` are discounted by Good-Turing
-estimates from the counts of counts of all n-grams. Every history's backoff weight is what its bigrams leave of the
-mass, divided by what their words leave of the lower order, so each history's distribution sums to one. The mass of
-unseen words is one event of the unigram distribution. Words are known by a hash of 64 bits, pairs by a mix of two.
+Unigram counts cover every training token, bigram counts every pair of neighbouring words. Counts up to ``DISCOUNTED``
+are discounted by Good-Turing estimates from the counts of counts of all n-grams. Every history's backoff weight is what
+its bigrams leave of the mass, divided by what their words leave of the lower order, so each history's distribution sums to
+one. The mass of unseen words is one event of the unigram distribution. Words are known by a hash of 64 bits.
 
-A document's score is the sum of its tokens' unigrams and their histories' weights, plus for each pair that was seen its
-gain: the logarithm of its probability less that of its backed-off one. The most frequent words and pairs have a bounded
-size and go to every task; the rest are joined with the stored tables, once per document and word or pair. The limits
-on what is sent (``VOCABULARY``, ``SHARED_WORDS``, ``KEPT_BIGRAMS``) do not change the model.
+The pairs of all documents are dealt once, packed, to buckets by their first word; the pairs of a frequent first word are dealt to
+several. A bucket counts its pairs over the training rows, so it knows for each document which of its pairs were seen and
+how often, and passes on sums per document, the counts of counts per history, and the pairs of unscored rows that need
+their history's weight. No pair is looked up a second time. The most frequent words (``shared_words``) go to every task; the
+others are joined with the stored table of words. Neither limit changes the model.
+
+A document's score is the unigram of its first token, for each later token that was seen after its history
+``log10(discounted count / history count)``, and for each other one the history's weight and the token's unigram.
 
 Edge cases: a null or empty text is its end token alone; without training rows only the unknown event remains;
 rows without id take part in the training; repeated rows count repeatedly; a column named like a result column is
-replaced; an empty table gives no rows.
+replaced; an empty table gives no rows. A pair that most documents hold has one entry per document in its bucket.
 """
 
 from __future__ import annotations
@@ -26,20 +29,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from gaugeflow.llm.common import sliced, stored, utf8
+from gaugeflow.session import scratch_dir
 
 FOLDS, HELD_OUT = 7, 2
-#: Words that are broadcast where the table of bigrams is joined with its words; others are joined by shuffle.
-VOCABULARY = 65_536
-#: Words and bigrams sent to every task that scores, the most frequent ones; others are joined.
+#: Words sent to every task, the most frequent ones; others are joined.
 SHARED_WORDS = 262_144
-KEPT_BIGRAMS = 2_000_000
+#: Training tokens per bucket of pairs; a first word with more than a quarter of that is dealt to several buckets.
+BUCKET_TOKENS, FEWEST_BUCKETS = 2_000_000, 12
 DISCOUNTED = 5
-#: Of the words and pairs that a task holds before it passes counts on.
-HELD_WORDS, HELD_PAIRS = 400_000, 3_000_000
+#: What a task holds before it passes it on: words, and documents and pairs of a packed block.
+HELD_WORDS, HELD_DOCS, HELD_PAIRS = 400_000, 60_000, 2_000_000
 KNOWN_WORDS = 300_000
 TABLE_PARTS = 16
 
@@ -141,16 +145,6 @@ def token_keys(text: bytes, keys: Keys) -> tuple[list[bytes], np.ndarray]:
     return words, own
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The first key turned by one bit, xor the second; ``pair_key`` is the same for columns."""
-    bits = first.view(np.uint64)
-    return ((bits << np.uint64(1)) | (bits >> np.uint64(63))).view(np.int64) ^ second
-
-
-def pair_key(first: Column, second: Column) -> Column:
-    return F.shiftleft(first, 1).bitwiseOR(F.shiftrightunsigned(first, 63)).bitwiseXOR(second)
-
-
 def places(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of each wanted key, and whether it is there."""
     if not len(sorted_keys):
@@ -159,31 +153,6 @@ def places(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_keys[at] == wanted
 
 
-def bigram_counts(docs: DataFrame) -> DataFrame:
-    """``(first, second, c)`` of all pairs of neighbouring tokens, by their words' keys."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys()
-
-        def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-            first, second = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
-            _, at, c = np.unique(pair_keys(first, second), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(first[at]), pa.array(second[at]), pa.array(c)], names=["first", "second", "c"])
-
-        held, size = [], 0
-        for batch in sliced(batches):
-            for text in utf8(batch, "text"):
-                held.append(token_keys(text, keys)[1])
-                size += len(held[-1]) - 1
-                if size >= HELD_PAIRS:
-                    yield rows(held)
-                    held, size = [], 0
-        if held:
-            yield rows(held)
-
-    return docs.select("text").mapInArrow(count, "first long, second long, c long").groupBy("first", "second").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Bigrams:
     pairs: np.ndarray  # ascending
@@ -192,7 +161,7 @@ class Bigrams:
 
 
 def fit_bigrams(pairs: np.ndarray, c: np.ndarray, history: np.ndarray, factors: np.ndarray, lower: np.ndarray) -> Bigrams:
-    """The model of few words in memory, pairs as ``first * 2**16 + second``; ``word_table`` and ``gain_table`` are the same for any number.
+    """The model of few words in memory, pairs as ``first * 2**16 + second``; ``word_table`` and the buckets are the same for any number.
 
     ``history``: tokens after each word; ``lower``: unigram probabilities of the words.
 
@@ -228,45 +197,219 @@ def _table(df: DataFrame, key: str, label: str) -> DataFrame:
     return stored(df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(TABLE_PARTS))), label)
 
 
-def _discounted(c: Column, factors: np.ndarray) -> Column:
-    factor = F.element_at(F.array(*[F.lit(float(x)) for x in factors]), (F.least(c, F.lit(len(factors) - 1)) + 1).cast("int"))
-    return F.when(c < len(factors), factor).otherwise(1.0) * c
-
-
 def _chance(c: Column, lower: Unigrams) -> Column:
-    known = F.lit(float(lower.scale)) * _discounted(c, lower.factors) / F.lit(float(max(lower.total, 1)))
+    factors = F.array(*[F.lit(float(x)) for x in lower.factors])
+    top = len(lower.factors) - 1
+    factor = F.when(c <= top, F.element_at(factors, (F.least(c, F.lit(top)) + 1).cast("int"))).otherwise(1.0)
+    known = F.lit(float(lower.scale)) * factor * c / F.lit(float(max(lower.total, 1)))
     return F.when(c > 0, known).otherwise(F.lit(float(lower.unknown)))
 
 
-def _looked_up(rows: DataFrame, key: str, words: DataFrame, low: int) -> DataFrame:
-    """``rows`` with the columns of their word: the words of at least ``low`` tokens by broadcast, so that the rest has no hot key."""
-    words = words.withColumnRenamed("word", key)
-    top = F.broadcast(words.filter(F.col("c") >= low).drop("c"))
-    far = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(words.filter(F.col("c") < low).drop("c"), key)
-    return rows.join(top, key).unionByName(far)
+@dataclass
+class Shared:
+    """The most frequent words, ascending by key, their counts, and over how many buckets their pairs are dealt."""
+
+    word: np.ndarray
+    c: np.ndarray
+    spread: np.ndarray
+    buckets: int
+
+    def bucket(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at, sure = places(self.word, first)
+        spread = np.where(sure, self.spread[at], 1).astype(np.uint64)
+        slot = second.view(np.uint64) % spread
+        return ((first.view(np.uint64) % np.uint64(self.buckets) + slot) % np.uint64(self.buckets)).astype(np.int32)
+
+
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+BLOCK = "bucket int, places binary, learn binary, firsts binary, pairs_of_first binary, seconds binary, docs_of_pair binary, doc binary, times binary"
+
+
+def _packed(shared: Shared, place: np.ndarray, learn: np.ndarray, tokens: list[np.ndarray]) -> pa.RecordBatch:
+    """The pairs of a block of documents, one row per bucket: each first word once, each pair once, and its documents."""
+    first, second = (np.concatenate([t[s] for t in tokens]) for s in (slice(None, -1), slice(1, None)))
+    doc = np.repeat(np.arange(len(tokens)), [len(t) - 1 for t in tokens])
+    bucket = shared.bucket(first, second)
+    order = np.lexsort((second, first, bucket))  # stable: documents stay in order
+    first, second, doc, bucket = first[order], second[order], doc[order], bucket[order]
+    entry = starts(bucket, first, second, doc)
+    times = np.diff(np.r_[entry, len(first)])
+    first, second, doc, bucket = first[entry], second[entry], doc[entry], bucket[entry]
+    columns: list[list] = [[] for _ in range(9)]
+    begins = starts(bucket)
+    for b, e in zip(begins, np.r_[begins[1:], len(bucket)]):
+        own = slice(b, e)
+        pair = starts(first[own], second[own])
+        one = starts(first[own][pair])
+        used, local = np.unique(doc[own], return_inverse=True)
+        parts = (
+            place[used], learn[used], first[own][pair][one], np.diff(np.r_[one, len(pair)]).astype(np.uint32), second[own][pair],
+            np.diff(np.r_[pair, e - b]).astype(np.uint32), local.astype(np.uint16), times[own].astype(np.uint32),
+        )
+        for column, part in zip(columns, (int(bucket[b]), *[x.tobytes() for x in parts])):
+            column.append(part)
+    names = ["bucket", "places", "learn", "firsts", "pairs_of_first", "seconds", "docs_of_pair", "doc", "times"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "bucket" else pa.binary()) for n, c in zip(names, columns)], names=names)
+
+
+def packed_pairs(placed: DataFrame, shared: Broadcast) -> DataFrame:
+    """The pairs of all documents (place, text, learn), packed by bucket."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, tokens, place, learn, size = Keys(), [], [], [], 0
+        for batch in sliced(batches):
+            for text, at, own in zip(utf8(batch, "text"), batch.column("place").to_pylist(), batch.column("learn").to_pylist()):
+                found = token_keys(text, keys)[1]
+                if len(found) < 2:
+                    continue
+                tokens.append(found)
+                place.append(at)
+                learn.append(own)
+                size += len(found)
+                if size >= HELD_PAIRS or len(tokens) >= HELD_DOCS:
+                    yield _packed(shared.value, np.array(place), np.array(learn, np.uint8), tokens)
+                    tokens, place, learn, size = [], [], [], 0
+        if tokens:
+            yield _packed(shared.value, np.array(place), np.array(learn, np.uint8), tokens)
+
+    return placed.select("place", "text", "learn").mapInArrow(pack, BLOCK)
+
+
+#: What a bucket passes on: sums of a document, counts of a history, pairs with a rare second word, unseen pairs.
+OF_DOC, OF_HISTORY, RARE_SECOND, UNSEEN = range(4)
+CLASSES = DISCOUNTED + 1
+OUTCOME = "kind int, place long, a long, b long, n long, " + ", ".join(f"c{r} long" for r in range(1, CLASSES + 1)) + ", x double"
+
+
+def _outcomes(shared: Shared, single: np.ndarray, blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+    """Everything about the pairs of one bucket."""
+
+    def of(name: str, kind) -> list[np.ndarray]:
+        return [np.frombuffer(b[name], kind) for b in blocks]
+
+    firsts, per_first, seconds, per_pair, docs = of("firsts", np.int64), of("pairs_of_first", np.uint32), of("seconds", np.int64), of("docs_of_pair", np.uint32), of("places", np.int64)
+    first, second = np.concatenate([np.repeat(f, n) for f, n in zip(firsts, per_first)]), np.concatenate(seconds)
+    before = np.r_[0, np.cumsum([len(x) for x in docs])]
+    doc = np.concatenate([d.astype(np.int64) + b for d, b in zip(of("doc", np.uint16), before)])
+    place, learn = np.concatenate(docs), np.concatenate(of("learn", np.uint8)).astype(bool)
+    times, per_pair = np.concatenate(of("times", np.uint32)).astype(np.int64), np.concatenate(per_pair)
+
+    order = np.lexsort((second, first))
+    begins = starts(first[order], second[order])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(order)]))
+    first, second = first[order][begins], second[order][begins]
+    own = np.repeat(group, per_pair)  # of each entry
+    n = np.bincount(own[learn[doc]], weights=times[learn[doc]], minlength=len(first)).astype(np.int64)
+
+    def rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        none = np.zeros(size, np.int64)
+        names = ["place", "a", "b", "n", *[f"c{r}" for r in range(1, CLASSES + 1)]]
+        arrays = [pa.array(np.full(size, kind, np.int32)), *[pa.array(columns.get(c, none)) for c in names], pa.array(columns.get("x", none).astype(float))]
+        return pa.RecordBatch.from_arrays(arrays, names=["kind", *names, "x"])
+
+    # histories
+    seen = n > 0
+    f, w, c = first[seen], second[seen], n[seen]
+    if len(f):
+        at, sure = places(shared.word, w)
+        begin = starts(f)
+        counted = {f"c{r}": np.add.reduceat((c == r).astype(np.int64), begin) for r in range(1, CLASSES + 1)}
+        yield rows(OF_HISTORY, a=f[begin], n=np.add.reduceat(c, begin), x=np.add.reduceat(np.where(sure, single[at], 0.0), begin), **counted)
+        yield rows(RARE_SECOND, a=f[~sure], b=w[~sure])
+    # documents: pairs seen once need no mention in a training row
+    count = n[own]
+    told = (count > 1) | ((count == 1) & ~learn[doc])
+    which, local = np.unique(doc[told], return_inverse=True)
+    often, count = times[told], count[told]
+
+    def added(weights: np.ndarray) -> np.ndarray:
+        return np.bincount(local, weights=weights, minlength=len(which))
+
+    classes = {f"c{r}": added(often * (count == r)).astype(np.int64) for r in range(1, DISCOUNTED + 1)}
+    yield rows(OF_DOC, place=place[which], n=added(often).astype(np.int64), x=added(often * np.log10(count)), **classes)
+    new = (n[own] == 0)
+    yield rows(UNSEEN, place=place[doc[new]], a=first[own[new]], b=second[own[new]], n=times[new])
+
+
+def bucket_outcomes(packed: DataFrame, shared: Broadcast, lower: Unigrams) -> DataFrame:
+    """The buckets' outcomes, stored by kind."""
+    spark = packed.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        words = shared.value
+        single = lower.probability(words.c)
+        for batch in batches:
+            for block in batch.to_pylist():
+                if held and block["bucket"] != at:
+                    yield from _outcomes(words, single, held)
+                    held = []
+                at = block["bucket"]
+                held.append(block)
+        if held:
+            yield from _outcomes(words, single, held)
+
+    path = scratch_dir(spark, "katz-outcomes")
+    dealt = packed.repartition(shared.value.buckets, "bucket").sortWithinPartitions("bucket")
+    dealt.mapInArrow(run, OUTCOME).write.partitionBy("kind").parquet(path)
+    return spark.read.schema(OUTCOME).parquet(path)
+
 
+def word_table(unigrams: DataFrame, outcomes: DataFrame, lower: Unigrams, factors: np.ndarray) -> DataFrame:
+    """``(word, c, single, weight, scale)``: log10 of a word's unigram, of its backoff weight, and of its part in the share of its bigrams.
 
-def word_table(unigrams: DataFrame, bigrams: DataFrame, lower: Unigrams, factors: np.ndarray, low: int) -> DataFrame:
-    """``(word, c, single, weight, scale)``: log10 of a word's unigram, of its backoff weight, and of its part in the share of its bigrams."""
+    A history whose bigrams would use up the mass gives one part in its tokens + 1 back.
+    """
     chances = unigrams.select("word", "c", _chance(F.col("c"), lower).alias("chance"))
-    each = _looked_up(bigrams.withColumnRenamed("c", "n"), "second", chances, low)
-    sums = each.groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("h"), F.sum(_discounted(F.col("n"), factors)).alias("used"), F.sum("chance").alias("covered"))
-    used = F.col("used") / F.col("h")
-    shrink = F.when(used >= 1 - 1e-12, F.col("h") / (F.col("h") + 1) / used).otherwise(1.0)
-    weight = F.log10((1 - used * shrink) / F.greatest(1 - F.col("covered"), F.lit(1e-12)))
-    histories = sums.select("word", weight.alias("weight"), F.log10(shrink / F.col("h")).alias("scale"))
+    far = outcomes.filter(F.col("kind") == RARE_SECOND).select(F.col("a").alias("first"), F.col("b").alias("word"))
+    covered = far.join(chances, "word").groupBy("first").agg(F.sum("chance").alias("rare"))
+    counted = [f"c{r}" for r in range(1, DISCOUNTED + 1)]
+    sums = outcomes.filter(F.col("kind") == OF_HISTORY).groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("h"), F.sum("x").alias("near"), *[F.sum(c).alias(c) for c in counted])
+    left = sum((F.col(c) * float(r * (1 - factors[r])) for r, c in enumerate(counted, 1)), F.lit(0.0)) / F.col("h")
+    full = sum((F.col(c) for c in counted), F.lit(0)) == 0
+    left = F.when(full, 1 / (F.col("h") + 1)).otherwise(left)
+    spoken = F.col("near") + F.coalesce("rare", F.lit(0.0))
+    histories = sums.join(covered, "first", "left").select(
+        F.col("first").alias("word"),
+        F.log10(left / F.greatest(1 - spoken, F.lit(1e-12))).alias("weight"),
+        F.log10(F.when(full, F.col("h") / (F.col("h") + 1)).otherwise(1.0) / F.col("h")).alias("scale"),
+    )
     none = F.lit(0.0)
     return chances.join(histories, "word", "left").select(
         "word", "c", F.log10("chance").alias("single"), F.coalesce("weight", none).alias("weight"), F.coalesce("scale", none).alias("scale")
     )
 
 
-def gain_table(bigrams: DataFrame, words: DataFrame, factors: np.ndarray, low: int) -> DataFrame:
-    """``(pair, c, gain)``: log10 of each bigram's probability less that of its backed-off one."""
-    each = _looked_up(bigrams.withColumnRenamed("c", "n"), "second", words.select("word", "c", "single"), low)
-    each = _looked_up(each, "first", words.select("word", "c", (F.col("scale") - F.col("weight")).alias("own")), low)
-    gain = F.log10(_discounted(F.col("n"), factors)) + F.col("own") - F.col("single")
-    return each.select(pair_key(F.col("first"), F.col("second")).alias("pair"), F.col("n").alias("c"), gain.alias("gain"))
+def _of_words(parts: DataFrame, asked: DataFrame, words: DataFrame, low: int, lower: Unigrams) -> DataFrame:
+    """Sums per place of what is asked of words: rare words of the documents, and both words of unseen pairs (frequent ones by broadcast)."""
+    none = F.lit(0).cast("long")
+    rare = parts.select("place", F.explode("rare").alias("r")).select("place", "r.word", "r.n", "r.first", none.alias("as_history"))
+    unseen = asked.select(
+        "place", F.explode(F.array(F.struct(F.col("a").alias("word"), none.alias("first"), F.col("n").alias("as_history")), F.struct(F.col("b").alias("word"), F.col("n").alias("first"), none.alias("as_history")))).alias("r")
+    ).groupBy("place", "r.word").agg(F.sum("r.first").alias("first"), F.sum("r.as_history").alias("as_history")).select("place", "word", none.alias("n"), "first", "as_history")
+    wanted = rare.unionByName(unseen)
+    top = F.broadcast(words.filter((F.col("c") >= low) | (F.col("word") == END)))
+    others = words.filter((F.col("c") < low) & (F.col("word") != END))
+    near, far = wanted.join(top, "word"), wanted.join(F.broadcast(top.select("word")), "word", "left_anti").join(others, "word", "left")
+    count, zero = F.coalesce("c", none), F.lit(0.0)
+    single = F.coalesce("single", F.log10(F.lit(float(lower.unknown))))
+    weight, scale = F.coalesce("weight", zero), F.coalesce("scale", zero)
+    of_word = F.col("first") * single + F.col("n") * scale + F.col("as_history") * (weight - scale)
+    base = F.col("n") * F.log10((count + 1) / F.lit(float(lower.total + lower.types + 1)))
+    told = near.unionByName(far).select("place", F.when(count > 0, F.col("n")).otherwise(none).alias("known"), base.alias("base"), of_word.alias("log10"))
+    return told.groupBy("place").agg(*[F.sum(c).alias(f"more_{c}") for c in ("known", "base", "log10")])
 
 
 def score_text(
@@ -275,9 +418,8 @@ def score_text(
     text_col: str = "text",
     keep: list[str] | None = None,
     training: Column | None = None,
-    vocabulary: int = VOCABULARY,
     shared_words: int = SHARED_WORDS,
-    kept_bigrams: int = KEPT_BIGRAMS,
+    bucket_tokens: int = BUCKET_TOKENS,
 ) -> DataFrame:
     """The rows of ``docs`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
@@ -287,88 +429,71 @@ def score_text(
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new and (keep is not None or c != text_col)]
     training = fold(id_col) != HELD_OUT if training is None else training
     plain = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    learned = plain.filter("learn")
+    placed = stored(plain.withColumn("place", F.monotonically_increasing_id()), "katz-documents")
     context = docs.sparkSession.sparkContext
 
-    unigrams = _table(unigram_counts(learned), "word", "katz-unigrams")
+    unigrams = _table(unigram_counts(placed.filter("learn")), "word", "katz-unigrams")
     of_counts = {r["c"]: (r["n"], r["c"] * r["n"]) for r in unigrams.groupBy("c").agg(F.count("*").alias("n")).collect()}
     lower = fit_unigrams(of_counts)
-    types = {c: n for c, (n, _) in of_counts.items()}
-    bigrams = stored(bigram_counts(learned), "katz-bigrams")
-    pair_counts = {r["c"]: r["n"] for r in bigrams.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    factors = discounts(pair_counts)
-    joined_below = cut_off(types, vocabulary)
-    words = _table(word_table(unigrams, bigrams, lower, factors, joined_below), "word", "katz-words")
-    gains = stored(gain_table(bigrams, words, factors, joined_below), "katz-gains")
-
-    top = words.filter((F.col("c") >= cut_off(types, shared_words - 1)) | (F.col("word") == END)).select("word", "c", "weight").toArrow()  # shared_words rows at most
+    low = cut_off({c: n for c, (n, _) in of_counts.items()}, shared_words - 1)
+    is_top = (F.col("c") >= low) | (F.col("word") == END)  # shared_words rows at most
+
+    top = unigrams.filter(is_top).select("word", "c").toArrow()
     order = np.argsort(top["word"].to_numpy())
-    shared = {name: top[name].to_numpy()[order] for name in ("word", "c", "weight")}
-    if not len(order):  # no training rows
-        shared = {"word": np.array([END]), "c": np.array([0]), "weight": np.array([0.0])}
-    low = cut_off(pair_counts, kept_bigrams)
-    strong = gains.filter(F.col("c") >= low).select("pair", "gain").toArrow()  # kept_bigrams rows at most
-    order = np.argsort(strong["pair"].to_numpy())
-    tables = context.broadcast({**shared, "pair": strong["pair"].to_numpy()[order], "gain": strong["gain"].to_numpy()[order]})
-    others = len(order) < sum(pair_counts.values())
-
-    rare_type = ArrayType(StructType().add("word", "long").add("n", "long"))
-    pairs_type = ArrayType(StructType().add("pair", "long").add("n", "long"))
-    schema = plain.select("row").schema
-    schema = schema.add("place", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("log10", "double")
-    schema = schema.add("rare", rare_type).add("pairs", pairs_type)
+    word, c = (top[name].to_numpy()[order] for name in ("word", "c")) if len(order) else (np.array([END]), np.array([0]))
+    buckets = max(FEWEST_BUCKETS, -(-lower.total // bucket_tokens))
+    spread = np.minimum(np.maximum(1, 4 * c // max(lower.total // buckets, 1)), buckets)
+    shared = context.broadcast(Shared(word, c, spread, buckets))
+
+    outcomes = bucket_outcomes(packed_pairs(placed, shared), shared, lower)
+    classes = [f"c{r}" for r in range(1, CLASSES + 1)]
+    pair_counts = outcomes.filter(F.col("kind") == OF_HISTORY).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes]).first()
+    factors = discounts({r: pair_counts[f"c{r}"] for r in range(1, CLASSES + 1)})
+    words = _table(word_table(unigrams, outcomes, lower, factors), "word", "katz-words")
+    top = words.filter(is_top).select("word", "scale").toArrow()
+    scale = np.zeros(len(word))
+    scale[np.searchsorted(word, top["word"].to_numpy())] = top["scale"].to_numpy()
+    scales = context.broadcast(scale)
+
+    rare_type = ArrayType(StructType().add("word", "long").add("n", "long").add("first", "long"))
+    schema = placed.select("row", "learn", "place").schema
+    schema = schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("log10", "double").add("rare", rare_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = Keys(), tables.value
-        base, single = lower.base(held["c"]), np.log10(lower.probability(held["c"]))
-
-        def lists(found: list[tuple[np.ndarray, np.ndarray]], key: str) -> pa.Array:
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k, _ in found])])
-            parts = [pa.array(np.concatenate([x[i] for x in found]).astype(np.int64)) for i in (0, 1)]
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=[key, "n"]))
-
+        keys, held, scale = Keys(), shared.value, scales.value
+        base, single = lower.base(held.c), np.log10(lower.probability(held.c))
         for batch in sliced(batches):
             if not batch.num_rows:
                 continue
-            sizes, known, bases, logs, rare, asked = [], [], [], [], [], []
+            sizes, known, bases, logs, rare = [], [], [], [], []
             for text in utf8(batch, "text"):
                 own = token_keys(text, keys)[1]
-                at, sure = places(held["word"], own)
+                at, sure = places(held.word, own)
                 tokens = at[sure]
                 sizes.append(len(own))
-                known.append(int((held["c"][tokens] > 0).sum()))
+                known.append(int((held.c[tokens] > 0).sum()))
                 bases.append(math.fsum(base[tokens]))
-                wanted = pair_keys(own[:-1], own[1:])
-                near, seen = places(held["pair"], wanted)
-                logs.append(math.fsum(np.concatenate([single[tokens], held["weight"][at[:-1][sure[:-1]]], held["gain"][near[seen]]])))
-                rare.append(np.unique(own[~sure], return_counts=True))
-                asked.append(np.unique(wanted[~seen] if others else wanted[:0], return_counts=True))
-            arrays = [batch.column("row"), batch.column("place"), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(logs, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*arrays, lists(rare, "word"), lists(asked, "pair")], names=schema.names)
-
-    placed = plain.withColumn("place", F.monotonically_increasing_id())
-    parts = stored(placed.select("row", "place", "text").mapInArrow(score, schema), "katz-parts")
-    count = F.coalesce(F.col("c"), F.lit(0))
-    single = F.coalesce(F.col("single"), F.log10(F.lit(float(lower.unknown))))
-    of_words = (
-        parts.select("place", F.explode("rare").alias("r")).select("place", "r.word", "r.n").join(words, "word", "left")
-        .select(
-            "place",
-            F.when(count > 0, F.col("n")).otherwise(F.lit(0)).alias("known"),
-            (F.col("n") * F.log10((count + 1) / F.lit(float(lower.total + lower.types + 1)))).alias("base"),
-            (F.col("n") * (single + F.coalesce(F.col("weight"), F.lit(0.0)))).alias("log10"),
-        )
-    )
-    asked = parts.select("place", F.explode("pairs").alias("r")).select("place", "r.pair", "r.n")
-    of_pairs = asked.join(gains.filter(F.col("c") < low).select("pair", "gain"), "pair").select("place", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("n") * F.col("gain")).alias("log10"))
-    more = of_words.unionByName(of_pairs) if others else of_words
-    rest = more.groupBy("place").agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("log10").alias("rare_log10"))
-    none = F.lit(0.0)
-    return parts.drop("rare", "pairs").join(rest, "place", "left").select(
+                logs.append(math.fsum(scale[tokens]) + (single[at[0]] if sure[0] else 0.0))
+                word, n = np.unique(own[~sure], return_counts=True)
+                rare.append((word, n, (word == own[0]).astype(np.int64)))
+            offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rare])])
+            lists = pa.StructArray.from_arrays([pa.array(np.concatenate([r[i] for r in rare]).astype(np.int64)) for i in range(3)], names=["word", "n", "first"])
+            arrays = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "learn", "place")], *arrays], names=schema.names)
+
+    parts = stored(placed.select("row", "learn", "place", "text").mapInArrow(score, schema), "katz-parts")
+    of_words = _of_words(parts, outcomes.filter(F.col("kind") == UNSEEN), words, low, lower)
+    of_pairs = outcomes.filter(F.col("kind") == OF_DOC).groupBy("place").agg(F.sum("n").alias("told"), F.sum("x").alias("logs"), *[F.sum(c).alias(c) for c in classes[:-1]])
+    none, zero = F.lit(0.0), F.lit(0).cast("long")
+    more = of_words.withColumns({"told": zero, "logs": none, **dict.fromkeys(classes[:-1], zero)}).unionByName(of_pairs.withColumns({"more_known": zero, "more_base": none, "more_log10": none}))
+    sums = more.groupBy("place").agg(*[F.sum(c).alias(c) for c in more.columns if c != "place"])
+    discounted = sum((F.coalesce(F.col(c), zero) * math.log10(factors[r]) for r, c in enumerate(classes[:-1], 1)), none)
+    once = F.when(F.col("learn"), F.col("n_tokens") - 1 - F.coalesce("told", zero)).otherwise(zero) * math.log10(factors[1])
+    return parts.drop("rare").join(sums, "place", "left").select(
         *[F.col("row")[c].alias(c) for c in kept],
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", zero)).alias("n_known"),
         F.lit(lower.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", none)).alias("base_score"),
-        (F.col("log10") + F.coalesce("rare_log10", none)).alias("score"),
+        (F.col("base") + F.coalesce("more_base", none)).alias("base_score"),
+        (F.col("log10") + F.coalesce("more_log10", none) + F.coalesce("logs", none) + discounted + once).alias("score"),
     )

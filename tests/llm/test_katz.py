@@ -26,7 +26,7 @@ def corpus():
     return rows + [(None, "w1 w2 w3"), (7, None), (9, ""), (11, "w1 " * 4000), (11, "w1 w4 w13"), (11, "w1 w4 w13")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"vocabulary": 20, "shared_words": 40, "kept_bigrams": 60}])
+@pytest.mark.parametrize("limits", [{}, {"shared_words": 40, "bucket_tokens": 300}])
 def test_base_matches_brute_force(spark, limits):
     rows = corpus()
     learn = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in rows]
@@ -82,7 +82,7 @@ def test_cut_off():
     assert katz.cut_off({1: 100, 2: 10, 5: 3}, 13) == 2 and katz.cut_off({1: 100, 2: 10}, 9) == 3 and katz.cut_off({}, 5) == 1
 
 
-@pytest.mark.parametrize("limits", [{}, {"vocabulary": 5, "shared_words": 10, "kept_bigrams": 12}, {"vocabulary": 1, "shared_words": 1, "kept_bigrams": 0}])
+@pytest.mark.parametrize("limits", [{}, {"shared_words": 10, "bucket_tokens": 100}, {"shared_words": 1}])
 def test_scores_take_all_bigrams_whatever_is_sent(spark, limits):
     rows = [(i, text) for i, text in corpus() if i is not None]
     learned = [[*words_of(text), "end"] for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2]
