@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from gaugeflow.constants import MICROS_PATTERN, MILLIS_PATTERN, SECONDS_PATTERN
@@ -42,6 +44,19 @@ def interval_micros(text: str) -> int:
     return int(number) * units[unit.rstrip("s")]
 
 
+def order_key(moment: str, tie: Column | None = None) -> Column:
+    """Event order as one number: by moment, then by a whole-number tie (null first).
+
+    A struct would do the same, but a decimal is fixed-width, so an aggregate that carries it stays a hash aggregate. Two
+    moments lie further apart than any two ties: 2 * 10**19 is more than the span of a long.
+    """
+    micros = F.unix_micros(moment)
+    if tie is None:
+        return micros
+    last = F.coalesce(tie.cast("long"), F.lit(-(2**63)))
+    return micros.cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)).cast("decimal(20,0)") + last.cast("decimal(19,0)")
+
+
 def given_or_now(moment) -> Column:
     """An explicit moment (column, literal or ISO text), or the batch's wall clock."""
     if moment is None:

@@ -1,6 +1,6 @@
 """Event-time aggregates and pipeline metrics.
 
-All aggregate buffers are fixed-width, so each runs as a two-phase hash aggregation: a cluster with a
+The window and minute aggregates carry fixed-width buffers, so each runs as a two-phase hash aggregation: a cluster with a
 third of all rows shrinks to one row per task and window before the shuffle.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugeflow.functions.times import given_or_now, latency_ms, month_bucket
+from gaugeflow.functions.times import given_or_now, latency_ms, month_bucket, order_key
 
 
 def steady_round(x: Column, digits: int) -> Column:
@@ -20,9 +20,9 @@ def window_aggregates(readings: DataFrame, length: str, tie: str | None = None)
     """Tumbling-window statistics per cluster, parameter and unit.
 
     ``last_value`` follows event time, not arrival. Readings of two sensors at the very same
-    microsecond tie; name a unique ``tie`` column to settle that, at the price of a sort-based plan.
+    microsecond tie; name a unique whole-number ``tie`` column to settle that.
     """
-    order = F.struct("event_time", tie) if tie else F.col("event_time")
+    order = order_key("event_time", F.col(tie) if tie else None)
     return (
         readings.groupBy("cluster_id", "parameter", "unit", F.window("event_time", length).alias("span"))
         .agg(

@@ -1,108 +1,80 @@
 """Alert cooldown: per key, emit an alert only when enough time passed since the last *emitted* one.
 
-Each emission depends on the one before, so this is an ordered fold, not a window function. Keys with
-a moderate number of alerts are folded natively. Keys above ``fold_limit`` - a hot sensor may own a
-third of all alerts - are cut into time chunks:
-
-1. every chunk, in parallel, is reduced to its transition table: from the moment from which the next
-   alert may be sent on entry, to that moment on exit (a step function with few steps);
-2. per key the small tables are chained in time order, which gives each chunk its entry moment;
-3. every chunk, in parallel, marks its emitted alerts.
+Each emission depends on the one before, which looks like a fold over the whole series of a key. It is a walk over pointers
+instead, the same for all keys and spread over all tasks, whatever a key's share:
+
+1. The moments of a key are the nodes. A node points at the first moment at least a cooldown later, found by a running
+   minimum inside time chunks; where a chunk has none, at the first moment of the next chunk that has one.
+2. A moment without another in the cooldown before it is emitted for certain: the walks start there and need go no
+   further than the next such moment.
+3. Pointers are doubled: round ``k`` marks the targets of all marked nodes over pointers of ``2 ** k`` steps. A
+   pointer past the end of its walk is dropped, so the rounds are the logarithm of the longest walk and get smaller.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugeflow.constants import COOLDOWN_SECONDS
-from gaugeflow.operators.series import suggest_chunk, time_chunk
+from gaugeflow.functions.times import interval_micros
+from gaugeflow.operators.series import suggest_chunk
+from gaugeflow.session import scratch_dir
 
-NEVER = np.iinfo(np.int64).min
+MOST_ROUNDS = 64
 
 
-def chunk_transitions(times: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
-    """Steps ``(upto, exit)`` of a chunk: entering with ``x`` takes the first step with ``upto >= x``."""
-    count = len(times)
-    following = np.searchsorted(times, times + cooldown, side="left")
-    final = np.arange(count)
-    for i in range(count - 1, -1, -1):
-        if following[i] < count:
-            final[i] = final[following[i]]
-    step_end = np.append(final[1:] != final[:-1], True)
-    return times[step_end], times[final[step_end]] + cooldown
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Written to the scratch folder and read back: computed once, and the plan starts anew."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def emitted_positions(times: np.ndarray, entry: int, cooldown: int) -> list[int]:
-    kept, at = [], int(np.searchsorted(times, entry, side="left"))
-    while at < len(times):
-        kept.append(at)
-        at = int(np.searchsorted(times, times[at] + cooldown, side="left"))
-    return kept
+def next_moments(nodes: DataFrame, keys: Sequence[str], cooldown: int, chunk: int) -> DataFrame:
+    """``(keys, at, next, sure)``: the first moment of the key at least ``cooldown`` later, and whether none is in the cooldown before.
 
-
-def _fold_moderate(alerts: DataFrame, keys: Sequence[str], time_col: str, tie: str, seconds: int) -> DataFrame:
-    others = [c for c in alerts.columns if c not in {*keys, time_col, tie}]
-    row = F.struct(time_col, tie, F.struct(*others).alias("rest"))
-    gap = F.make_dt_interval(secs=F.lit(seconds))
-
-    def step(state, alert):
-        due = state["free_at"].isNull() | (alert[time_col] >= state["free_at"])
-        moved = F.struct((alert[time_col] + gap).alias("free_at"), F.concat(state["kept"], F.array(alert)).alias("kept"))
-        return F.when(due, moved).otherwise(state)
-
-    ordered = alerts.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("free_at"), F.slice("rows", 1, 0).alias("kept"))
-    kept = ordered.select(*keys, F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("alert"))
-    return kept.select(*keys, f"alert.{time_col}", f"alert.{tie}", "alert.rest.*")
-
-
-def _fold_chunked(
-    alerts: DataFrame, keys: Sequence[str], time_col: str, tie: str, seconds: int, chunk: str
-) -> DataFrame:
-    cooldown = seconds * 1_000_000
-    group = [*keys, "_chunk"]
-    narrow = alerts.select(*keys, time_chunk(time_col, chunk).alias("_chunk"), F.unix_micros(time_col).alias("_at"), tie)
-    kinds = {f.name: f.dataType for f in narrow.schema}
-    key_fields = [T.StructField(k, kinds[k]) for k in group]
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        upto, leave = chunk_transitions(np.sort(pdf["_at"].to_numpy()), cooldown)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in group}, "_upto": upto, "_exit": leave})
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunks, upto, leave = (pdf[c].to_numpy() for c in ("_chunk", "_upto", "_exit"))
-        order = np.lexsort((upto, chunks))
-        chunks, upto, leave = chunks[order], upto[order], leave[order]
-        numbers, starts = np.unique(chunks, return_index=True)
-        free_at, entries = NEVER, []
-        for start, end in zip(starts, [*starts[1:], len(chunks)]):
-            entries.append(free_at)
-            at = start + int(np.searchsorted(upto[start:end], free_at, side="left"))
-            if at < end:
-                free_at = int(leave[at])
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**head, "_chunk": numbers, "_entry": entries})
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = pdf["_at"].to_numpy()
-        order = np.lexsort((pdf[tie].to_numpy(dtype=object), times))
-        kept = emitted_positions(times[order], int(pdf["_entry"].iloc[0]), cooldown)
-        return pdf[[*keys, "_at", tie]].iloc[order[kept]]
-
-    long = T.LongType()
-    steps_schema = T.StructType([*key_fields, T.StructField("_upto", long), T.StructField("_exit", long)])
-    entry_schema = T.StructType([*key_fields, T.StructField("_entry", long)])
-    kept_schema = T.StructType([*key_fields[:-1], T.StructField("_at", long), T.StructField(tie, kinds[tie])])
-
-    steps = narrow.groupBy(*group).applyInPandas(summarise, steps_schema)
-    entries = steps.groupBy(*keys).applyInPandas(chain, entry_schema)
-    kept = narrow.join(entries, group).groupBy(*group).applyInPandas(emit, kept_schema)
-    marked = alerts.withColumn("_at", F.unix_micros(time_col)).join(kept, [*keys, "_at", tie], "left_semi")
-    return marked.dropDuplicates([*keys, "_at", tie]).drop("_at")
+    ``nodes`` holds each moment ``at`` (microseconds) of a key once. Every moment is a place to be found and sends two
+    questions along the series: what is at ``at + cooldown`` or later, and what is after ``at - cooldown``.
+    """
+    at = F.col("at")
+    spots = F.explode(
+        F.array(
+            F.struct(at.alias("pos"), F.lit(0).alias("asks"), at.alias("of")),
+            F.struct((at + cooldown).alias("pos"), F.lit(1).alias("asks"), at.alias("of")),
+            F.struct((at - cooldown + 1).alias("pos"), F.lit(2).alias("asks"), at.alias("of")),
+        )
+    )
+    placed = nodes.select(*keys, spots.alias("_spot")).select(*keys, "_spot.*")
+    placed = placed.withColumn("_chunk", F.floor(F.col("pos") / F.lit(chunk)).cast("long"))
+    moment = F.when(F.col("asks") == 0, F.col("pos"))
+    onward = Window.partitionBy(*keys, "_chunk").orderBy(F.col("pos").desc(), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = placed.groupBy(*keys, "_chunk").agg(F.min(moment).alias("_first"))
+    beyond = firsts.select(*keys, "_chunk", F.min("_first").over(later).alias("_beyond"))
+    found = placed.withColumn("_here", F.min(moment).over(onward)).filter("asks > 0").join(beyond, [*keys, "_chunk"])
+    answer = F.coalesce("_here", "_beyond")
+    answers = found.groupBy(*keys, F.col("of").alias("at")).agg(
+        F.min(F.when(F.col("asks") == 1, answer)).alias("next"), F.min(F.when(F.col("asks") == 2, answer)).alias("_nearest")
+    )
+    return answers.select(*keys, "at", "next", (F.col("_nearest") == F.col("at")).alias("sure"))
+
+
+def emitted_moments(pointers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, at)`` of the moments that the walks from the sure ones visit."""
+    ends = pointers.filter("sure").select(*keys, F.col("at").alias("next"))
+    marked = pointers.filter("sure").select(*keys, "at")
+    steps = pointers.filter("next IS NOT NULL").select(*keys, "at", "next").join(ends, [*keys, "next"], "left_anti")
+    steps = _kept(steps, "cooldown-steps")
+    for _ in range(MOST_ROUNDS):
+        if steps.isEmpty():
+            return marked
+        reached = steps.join(marked, [*keys, "at"], "left_semi").select(*keys, F.col("next").alias("at"))
+        marked = _kept(marked.unionByName(reached).distinct(), "cooldown-marked")
+        onward = steps.select(*keys, F.col("at").alias("next"), F.col("next").alias("_far"))
+        steps = _kept(steps.join(onward, [*keys, "next"]).select(*keys, "at", F.col("_far").alias("next")), "cooldown-steps")
+    raise RuntimeError("walks longer than 2 ** 64 steps")
 
 
 def apply_cooldown(
@@ -111,23 +83,22 @@ def apply_cooldown(
     keys: Sequence[str] = ("sensor_id", "alert_type"),
     time_col: str = "event_time",
     tie: str = "alert_id",
-    fold_limit: int = 5_000,
     chunk: str | None = None,
 ) -> DataFrame:
     """Alerts that a cooldown of ``seconds`` lets through, in event time, exact for any key size.
 
-    ``alerts`` is read once to count keys and once more to fold them (three times for crowded keys):
-    pass a stored alert table rather than a long derivation. Without a ``chunk`` its length comes from the rows of the
-    most crowded key, four cooldowns at least. Without a cooldown (0 or less) every alert passes.
+    ``alerts`` is computed once and written to the scratch folder; all else reads that. Of alerts at one moment the one with
+    the smallest ``tie`` passes. Without a ``chunk`` its length comes from the alerts of the most crowded key. Without a
+    cooldown (0 or less) every alert passes.
     """
     if seconds <= 0:
         return alerts
-    # a chunk of several cooldowns is summarised by far fewer steps than it has alerts
-    chunk = chunk or suggest_chunk(alerts, keys, time_col, at_least=4 * seconds * 1_000_000)
     unnamed = {"sensor_id": "unknown-sensor", "alert_type": "unknown-alert"}
     slots = {f"_key{i}": F.coalesce(k, F.lit(unnamed.get(k, ""))) for i, k in enumerate(keys)}
-    keyed = alerts.withColumns(slots)
-    crowded = keyed.groupBy(*slots).agg(F.count("*").alias("_n")).filter(F.col("_n") > fold_limit).select(*slots)
-    moderate = _fold_moderate(keyed.join(crowded, [*slots], "left_anti"), [*slots], time_col, tie, seconds)
-    heavy = _fold_chunked(keyed.join(crowded, [*slots], "left_semi"), [*slots], time_col, tie, seconds, chunk)
-    return moderate.unionByName(heavy).select(*alerts.columns)
+    given = _kept(alerts.withColumns({**slots, "_at": F.unix_micros(time_col)}), "cooldown-alerts")
+    chunk = chunk or suggest_chunk(given, [*slots], time_col)
+    nodes = given.filter("_at IS NOT NULL").groupBy(*slots, F.col("_at").alias("at")).agg(F.min(tie).alias("_tie"))
+    pointers = _kept(next_moments(nodes.select(*slots, "at"), [*slots], seconds * 1_000_000, interval_micros(chunk)), "cooldown-pointers")
+    emitted = emitted_moments(pointers, [*slots]).withColumnRenamed("at", "_at")
+    first = emitted.join(nodes.withColumnRenamed("at", "_at"), [*slots, "_at"]).withColumnRenamed("_tie", tie)
+    return given.join(first, [*slots, "_at", tie], "left_semi").dropDuplicates([*slots, "_at", tie]).select(*alerts.columns)

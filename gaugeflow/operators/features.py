@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.constants import FEATURE_WINDOW, PARAMETERS
 from gaugeflow.functions.rules import capped_distance, value_state
-from gaugeflow.functions.times import interval_micros, given_or_now, interval
-from gaugeflow.operators.series import over_span
+from gaugeflow.functions.times import given_or_now, interval, interval_micros, order_key
+from gaugeflow.operators.series import over_span, suggest_chunk
 
 RULE_BOUNDS = ("normal_low", "normal_high", "critical_low", "critical_high", "threshold_scale")
 MEASURES = ("latest", "mean", "std", "slope", "threshold_distance")
@@ -38,9 +38,9 @@ def per_minute(rise: Column, elapsed_micros: Column) -> Column:
 def parameter_measures(readings: DataFrame, by: Sequence[str | Column], tie: str | None = None) -> DataFrame:
     """One row per group and parameter, combined map-side.
 
-    A unique ``tie`` column settles readings of the same moment; without it the buffers are fixed-width.
+    A unique whole-number ``tie`` column settles readings of the same moment. The buffers are fixed-width either way.
     """
-    order = F.struct("event_time", tie) if tie else F.col("event_time")
+    order = order_key("event_time", F.col(tie) if tie else None)
     newest = [F.max_by(name, order).alias(name) for name in RULE_BOUNDS]
     summary = readings.groupBy(*by, "parameter").agg(
         F.count("*").alias("n"),
@@ -125,16 +125,18 @@ def active_locations(readings: DataFrame, as_of, window: str = FEATURE_WINDOW, l
 
 
 def trailing_measures(
-    readings: DataFrame, window: str = FEATURE_WINDOW, location: str = "cluster_id", chunk_factor: int = 12, tie: str | None = None
+    readings: DataFrame, window: str = FEATURE_WINDOW, location: str = "cluster_id", tie: str | None = None, chunk: str | None = None
 ) -> DataFrame:
     """Per reading: count, mean, deviation and slope over the window ending at it, both ends included.
 
     Running sums inside each chunk of a series: a reading's window is the sum at its moment less the sum just before
     the window opens, so every reading adds a mark there, sorted among the readings. All steps of a chunk share
-    one shuffle and stream through sorted rows. ``tie`` orders readings of one moment. ``chunk_factor`` sets the chunk
-    length in windows: larger copies fewer rows over the seams, smaller spreads a hot series over more tasks.
+    one shuffle and stream through sorted rows. ``tie`` orders readings of one moment. Without a ``chunk`` its length comes
+    from the rows of the most crowded series, no shorter than the window: long ones copy fewer rows over the seams, short
+    ones spread a hot series over more tasks.
     """
-    reach = interval_micros(window)
+    reach, keys = interval_micros(window), [location, "parameter"]
+    chunk = chunk or suggest_chunk(readings, keys, "event_time", at_least=reach)
     value, last_key = F.col("value"), [F.col(tie)] if tie else []
 
     def add(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -182,5 +184,4 @@ def trailing_measures(
         )
         return measured.select(*df.columns, "n", "mean", "std", "slope")
 
-    keys = [location, "parameter"]
-    return over_span(readings, keys, F.unix_micros("event_time"), reach, 0, reach * chunk_factor, add)
+    return over_span(readings, keys, F.unix_micros("event_time"), reach, 0, interval_micros(chunk), add)

@@ -72,13 +72,20 @@ def over_span(
 def suggest_chunk(df: DataFrame, keys: Sequence[str], moment: str, target_rows: int = 5_000_000, at_least: int = 0) -> str:
     """Longest chunk of the ladder that keeps every (series, chunk) group within ``target_rows``.
 
-    Tried from coarse to fine, mostly one small aggregation; a single number per step reaches the driver. No chunk is
-    shorter than ``at_least`` microseconds, the reach of the operator, unless the ladder has none that long.
+    One histogram: rows are counted at the finest step but one, and these counts are added up for every longer step, so
+    the input is read once; one number per step reaches the driver. The finest step is taken where none of the others will
+    do. No chunk is shorter than ``at_least`` microseconds, the reach of the operator, unless the ladder has none that
+    long. ``df`` may be any table that holds at least the rows of each series, such as the one that a series is derived from.
     """
     usable = [length for length in CHUNK_LADDER if interval_micros(length) >= at_least] or [CHUNK_LADDER[0]]
-    for length in usable[:-1]:
-        groups = df.groupBy(*keys, time_chunk(moment, length).alias("_chunk")).agg(F.count("*").alias("_rows"))
-        largest = groups.agg(F.max("_rows").alias("n")).first()["n"]
-        if largest is None or largest <= target_rows:
-            return length
-    return usable[-1]
+    if len(usable) == 1:
+        return usable[0]
+    *measured, finest = usable
+    unit = interval_micros(measured[-1])
+    counts = df.groupBy(*keys, time_chunk(moment, measured[-1]).alias("_chunk")).agg(F.count("*").alias("_rows"))
+    steps = F.explode(
+        F.array(*[F.struct(F.lit(i).alias("step"), F.floor(F.col("_chunk") * F.lit(unit) / F.lit(interval_micros(x))).cast("long").alias("chunk")) for i, x in enumerate(measured)])
+    )
+    groups = counts.withColumn("_at", steps).groupBy(*keys, "_at").agg(F.sum("_rows").alias("_rows"))
+    largest = dict(groups.groupBy("_at.step").agg(F.max("_rows")).collect())  # one row per step
+    return next((x for i, x in enumerate(measured) if largest.get(i, 0) <= target_rows), finest)

@@ -184,9 +184,9 @@ def alert_cooldown_zero(s):
 
 @query
 def alert_cooldown_split(s):
-    """The same with every key of more than two alerts cut into chunks, as happens to hot keys."""
+    """The same with every key cut into short chunks, as happens to hot keys."""
     narrow = s.alerts().select("sensor_id", "alert_type", "event_time", "alert_id", "value")
-    return apply_cooldown(narrow, LONG_COOLDOWN, fold_limit=2, chunk=CHUNK)
+    return apply_cooldown(narrow, LONG_COOLDOWN, chunk="1 hour")
 
 
 @query

@@ -18,6 +18,7 @@ from gaugeflow.functions.rules import breach_direction, critical_breach
 from gaugeflow.operators.alerts import derive_alerts
 from gaugeflow.operators.enrich import enrich_readings, parameter_rules, sensor_metadata
 from gaugeflow.operators.scoring import score_anomalies
+from gaugeflow.operators.series import suggest_chunk
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 PARAMETERS = ("click", "error", "purchase")
@@ -116,7 +117,8 @@ class Stations:
         return derive_alerts(self.enriched(), processed_at=F.col("ingestion_time"))
 
     def scored(self) -> DataFrame:
-        return score_anomalies(self.enriched(), computed_at=F.col("ingestion_time"), order=ORDER)
+        chunk = suggest_chunk(self.readings(), ["sensor_id"], "event_time")  # at least the rows of the enriched series
+        return score_anomalies(self.enriched(), computed_at=F.col("ingestion_time"), order=ORDER, chunk=chunk)
 
     def outcome_shares(self, window: str = "1 hour") -> DataFrame:
         """Share of each outcome per cluster and window, as the class probabilities of a prediction."""

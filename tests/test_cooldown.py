@@ -1,11 +1,9 @@
 import random
 
-import numpy as np
 import pytest
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.cooldown import NEVER, apply_cooldown, chunk_transitions, emitted_positions
+from gaugeflow.operators.cooldown import apply_cooldown
 
 SCHEMA = "sensor_id string, alert_type string, at long, alert_id string, note string"
 
@@ -19,26 +17,6 @@ def greedy(times, cooldown):
     return kept
 
 
-@given(
-    times=st.lists(st.integers(0, 3_000), min_size=1, max_size=150),
-    cooldown=st.integers(1, 700),
-    length=st.integers(1, 900),
-)
-@settings(max_examples=300, deadline=None)
-def test_chained_chunks_equal_the_plain_fold(times, cooldown, length):
-    times = np.sort(np.array(times))
-    free_at, kept = NEVER, []
-    for chunk in np.unique(times // length):
-        part = times[times // length == chunk]
-        kept += [int(part[i]) for i in emitted_positions(part, free_at, cooldown)]
-        upto, leave = chunk_transitions(part, cooldown)
-        at = int(np.searchsorted(upto, free_at, side="left"))
-        if at < len(upto):
-            free_at = int(leave[at])
-        assert free_at == (kept[-1] + cooldown if kept else NEVER)
-    assert kept == greedy(times.tolist(), cooldown)
-
-
 def alerts(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).withColumn("event_time", F.timestamp_micros("at"))
 
@@ -49,14 +27,14 @@ def test_fixture(spark):
     assert sorted(r["at"] // 1_000_000 for r in kept) == [0, 300, 700]
 
 
-@pytest.mark.parametrize("limit, chunk", [(5_000, "1 day"), (0, "1 hour"), (60, "10 minutes")])
-def test_hot_and_moderate_keys(spark, limit, chunk):
+@pytest.mark.parametrize("chunk", [None, "1 hour", "10 minutes", "1 minute"])
+def test_hot_and_moderate_keys(spark, chunk):
     rng = random.Random(3)
     rows = []
     for i in range(2_000):
         sensor = rng.choices(["hot", "a", "b", None], [80, 10, 5, 5])[0]
         rows.append((sensor, rng.choice(["LOW", "HIGH"]), rng.randint(0, 200_000) * 250_000, f"{i:05d}", "n"))
-    kept = apply_cooldown(alerts(spark, rows), 300, fold_limit=limit, chunk=chunk)
+    kept = apply_cooldown(alerts(spark, rows), 300, chunk=chunk)
     got = sorted((r.sensor_id or "", r.alert_type, r.at) for r in kept.collect())
     want = []
     for key in {(r[0], r[1]) for r in rows}:
@@ -64,3 +42,21 @@ def test_hot_and_moderate_keys(spark, limit, chunk):
         want += [(key[0] or "", key[1], t) for t in greedy(times, 300_000_000)]
     assert got == sorted(want)
     assert kept.columns == alerts(spark, rows).columns
+
+
+def test_dense_sparse_and_tied_series(spark):
+    rng = random.Random(9)
+    rows, want = [], []
+    for key in range(25):
+        times = sorted(rng.randint(0, 400) * rng.choice([1, 1, 40]) * 1_000_000 for _ in range(rng.randint(1, 90)))
+        rows += [(f"s{key}", "LOW", t, f"{key}-{i:03d}", "n") for i, t in enumerate(times)]
+        want += [(f"s{key}", t, f"{key}-{times.index(t):03d}") for t in greedy(times, 60_000_000)]
+    rng.shuffle(rows)
+    kept = apply_cooldown(alerts(spark, rows + rows[:40]), 60, chunk="1 minute").collect()
+    assert sorted((r.sensor_id, r.at, r.alert_id) for r in kept) == sorted(want)
+
+
+def test_no_python_in_the_plan_and_no_alerts(spark):
+    kept = apply_cooldown(alerts(spark, [("s", "LOW", 5, "a", "n")]), 300)
+    assert "Pandas" not in kept._jdf.queryExecution().toString()
+    assert apply_cooldown(alerts(spark, []), 300).count() == 0

@@ -45,9 +45,9 @@ def test_rolling_matches_plain_window(hot, chunk, rows, current):
     assert view(got) == view(want)
 
 
-@pytest.mark.parametrize("factor", [1, 3, 1000])
-def test_trailing_window_is_exact_and_inclusive(hot, factor):
-    got = {r.id: (r.n, r.m) for r in trailing_measures(hot, "5 minutes", chunk_factor=factor).select(
+@pytest.mark.parametrize("chunk", [None, "5 minutes", "1 hour", "30 days"])
+def test_trailing_window_is_exact_and_inclusive(hot, chunk):
+    got = {r.id: (r.n, r.m) for r in trailing_measures(hot, "5 minutes", chunk=chunk).select(
         "id", "n", F.round("mean", 8).alias("m")).collect()}
     rows = [(r.id, r.sensor_id, r.at, r.value) for r in hot.collect()]
     assert len(got) == len(rows)
