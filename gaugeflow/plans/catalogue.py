@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from gaugeflow.functions import rules as rule_fns
 from gaugeflow.functions.risk import parse_probabilities
 from gaugeflow.functions.times import MICROS_PATTERN, MILLIS_PATTERN, SECONDS_PATTERN, iso_millis, parse_event_time
-from gaugeflow.operators import aggregates, alarms, configs, features, ingest, latest, model, training
+from gaugeflow.operators import aggregates, alarms, configs, features, ingest, latest, model, topics, training
 from gaugeflow.operators.alerts import alert_messages, derive_alerts, wire_view
 from gaugeflow.operators.cooldown import apply_cooldown
 from gaugeflow.operators.enrich import known_sensors, sensor_metadata, unknown_sensors
 from gaugeflow.operators.notifications import render_notifications
 from gaugeflow.operators.scoring import score_anomalies
 from gaugeflow.plans import reads
-from gaugeflow.plans.stations import CHUNK, ORDER, OUTCOMES, PARAMETERS, Stations, readings_from
+from gaugeflow.plans.stations import ORDER, OUTCOMES, PARAMETERS, Stations, readings_from
 from gaugeflow.session import prepare, scratch_dir
 from gaugeflow.sources import tables
 from gaugeflow.sources.training_files import load_model, read_training_csv, save_model, write_training_csv
-from gaugeflow.streaming import aggregates as stream_aggregates, rolling, runtime, stateful
+from gaugeflow.sources.readings import read_readings_stream
+from gaugeflow.streaming import aggregates as stream_aggregates, runtime, stateful
 
 Query = Callable[[Stations], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -751,13 +752,13 @@ def _to_files(s: Stations, rows: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_hourly(s):
-    rows = stream_aggregates.stream_hourly(_stream(s))
+    rows = stream_aggregates.stream_hourly(_stream(s), tie=("reading_id",))
     return _drained(s, rows, "readings_hourly_by_cluster_parameter", "update").drop("updated_at")
 
 
 @query
 def stream_daily(s):
-    rows = stream_aggregates.stream_daily(_stream(s))
+    rows = stream_aggregates.stream_daily(_stream(s), tie=("reading_id",))
     return _drained(s, rows, "readings_daily_by_cluster_parameter", "update").drop("updated_at")
 
 
@@ -778,17 +779,65 @@ def stream_scores(s):
 
 @query
 def stream_scores_in_batches(s):
-    """The same from the micro-batch writer that keeps its state in tables."""
+    """The same through the writer of the pipeline, which puts late rows aside."""
+    runtime.use_rocksdb(s.spark)
     root = scratch_dir(s.spark, "score-batches")
-    sink = runtime.score_writer(root, ("reading_id",))
-    writer = rolling.rolling_score_writer(
-        f"{root}/state", sink, order=ORDER, delay="0 seconds", chunk=CHUNK, computed_at=F.col("ingestion_time")
-    )
-    kept = runtime.fan_out(writer, skip_empty=False)
-    runtime.start(_stream(s), kept, "scores", f"{root}/checkpoints", drain=True).awaitTermination()
+    writer = runtime.rolled_writer(root, runtime.score_writer(root, ("reading_id",)), F.col("ingestion_time"))
+    rolled = stateful.stream_rolling(_stream(s), order=ORDER, watermark="0 seconds")
+    runtime.start(rolled, runtime.fan_out(writer, skip_empty=False), "scores", f"{root}/checkpoints", drain=True).awaitTermination()
     return tables.read_table(s.spark, root, "ai_scores_by_sensor_day").select(*STORED_SCORE_VIEW)
 
 
+FILES_PER_PART = 4
+
+
+def _stream_of_parts(s: Stations, parts: list[DataFrame], name: str) -> DataFrame:
+    """The parts one after the other, each a micro-batch, written as files of a watched folder."""
+    path = f"{scratch_dir(s.spark, name)}/in"
+    for part in parts:
+        part.repartition(FILES_PER_PART).write.mode("append").parquet(path)
+    return read_readings_stream(s.spark, "parquet", parts[0].schema, path, maxFilesPerTrigger=str(FILES_PER_PART))
+
+
+def _out_of_order(s: Stations) -> DataFrame:
+    """Events to the twentieth day without four in ten, then those with five more days, then the rest of the month."""
+    events, k = s.table("events"), F.get_json_object("props", "$.k").cast("int")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    part = F.when((day < "2024-01-21") & (k < 60), 1).when(day < "2024-01-26", 2).otherwise(3)
+    parts = [events.filter(part == i) for i in (1, 2, 3)]
+    return stateful.stream_rolling(s.enrich(readings_from(_stream_of_parts(s, parts, "events"))), order=ORDER, watermark="5 days")
+
+
+@query
+def stream_scores_unordered(s):
+    """Scores of what came in time, of a stream whose micro-batches overlap in time, with a delay of five days."""
+    return _to_files(s, stateful.on_time_scores(_out_of_order(s), F.col("ingestion_time")), "stream-unordered").select(*SCORE_VIEW)
+
+
+@query
+def stream_late_rows(s):
+    """The rows of the same stream that came too late to be scored."""
+    return _to_files(s, stateful.late_rows(_out_of_order(s)), "stream-late").select("reading_id", "sensor_id", "event_time", "value")
+
+
+@query
+def stream_dedup(s):
+    """Readings of which three in ten are sent again later, each once."""
+    sent = s.table("events")
+    again = sent.filter(F.get_json_object("props", "$.k").cast("int") < 30)
+    stream = readings_from(_stream_of_parts(s, [sent, again], "sent"))
+    rows = stream_aggregates.stream_dedup(stream, ("reading_id", "sensor_id", "event_time"), "60 days")
+    return _to_files(s, rows.select("reading_id", "sensor_id", "event_time", "value"), "stream-dedup")
+
+
+@query
+def topic_gaps(s):
+    """Missing and repeated offsets of a topic of four partitions that lost one message in twenty and doubled another."""
+    k, number = F.col("k"), F.col("reading_id")
+    sent = s.readings().filter(k >= 5).withColumn("_copy", F.explode(F.when(k >= 95, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return topics.topic_gaps(sent.select((number % 4).alias("partition"), F.floor(number / 4).alias("offset")), 1_000)
+
+
 @query
 def stream_metrics(s):
     """Pipeline metrics written from the scored stream."""

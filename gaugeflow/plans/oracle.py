@@ -337,6 +337,26 @@ _SCORE_VIEW = f"""reading_id, sensor_id, {_t("event_time")} AS event_time, {_r("
 _add("anomaly_scores", f"SELECT {_SCORE_VIEW} FROM scored", SCORES)
 _add("stream_scores", f"SELECT {_SCORE_VIEW} FROM scored", SCORES)
 _add("stream_scores_in_batches", f"SELECT {_SCORE_VIEW.removeprefix('reading_id, ')} FROM scored", SCORES)
+_LATE = """
+parts AS (
+  SELECT *, CASE WHEN event_time < TIMESTAMP '2024-01-21' AND k < 60 THEN 1 WHEN event_time < TIMESTAMP '2024-01-26' THEN 2 ELSE 3 END AS part FROM enriched),
+marks AS (
+  SELECT max(epoch_us(event_time)) FILTER (part < 2) // 1000 - 432000000 AS at_2, max(epoch_us(event_time)) FILTER (part < 3) // 1000 - 432000000 AS at_3,
+    max(epoch_us(event_time)) // 1000 - 432000000 AS at_end FROM parts),
+placed AS (
+  SELECT parts.*, epoch_us(event_time) // 1000 AS stamp, at_end,
+    coalesce((part = 2 AND epoch_us(event_time) // 1000 <= at_2) OR (part = 3 AND epoch_us(event_time) // 1000 <= at_3), FALSE) AS late FROM parts, marks),
+punctual AS (SELECT * FROM placed WHERE NOT late AND stamp <= at_end)"""
+_add("stream_scores_unordered", f"SELECT {_SCORE_VIEW} FROM scored", _LATE, SCORES.replace("FROM enriched", "FROM punctual"))
+_add("stream_late_rows", f"SELECT reading_id, sensor_id, {_t('event_time')} AS event_time, {_r('value')} FROM placed WHERE late", _LATE)
+_add("stream_dedup", f"SELECT reading_id, sensor_id, {_t('event_time')} AS event_time, {_r('value')} FROM readings")
+_add(
+    "topic_gaps",
+    """SELECT partition, 'gap' AS kind, before + 1 AS first_offset, o - 1 AS last_offset, o - before - 1 AS rows
+FROM (SELECT partition, o, lag(o) OVER (PARTITION BY partition ORDER BY o) AS before FROM sent) WHERE o > before + 1
+UNION ALL SELECT partition, 'repeat', o, o, 1::BIGINT FROM sent WHERE k >= 95""",
+    "sent AS (SELECT reading_id % 4 AS partition, reading_id // 4 AS o, k FROM readings WHERE k >= 5)",
+)
 _add("anomaly_scores_past_rows", f"SELECT {_SCORE_VIEW} FROM past", _scores("past", "11 PRECEDING AND 1 PRECEDING"))
 _add(
     "anomaly_levels",

@@ -30,7 +30,6 @@ RULES = [
 ]
 OUTCOMES = ("high_critical", "high_warning", "low_critical", "low_warning", "normal")
 ORDER = ("event_time", "reading_id")
-CHUNK = "1 day"
 
 
 def _literal(v) -> str:

@@ -11,13 +11,18 @@ from gaugeflow.operators.aggregates import daily_aggregates, hourly_aggregates
 from gaugeflow.operators.features import window_features
 
 
-def stream_hourly(enriched: DataFrame, watermark: str = WATERMARK, updated_at=None) -> DataFrame:
-    """For update mode. A row is dropped once its window's end lies behind the watermark."""
-    return hourly_aggregates(enriched.withWatermark("event_time", watermark), updated_at)
+def stream_hourly(enriched: DataFrame, watermark: str = WATERMARK, updated_at=None, tie: Sequence[str] = ()) -> DataFrame:
+    """For update mode. A row is dropped once its window's end lies behind the watermark; ``late.DroppedRows`` counts it."""
+    return hourly_aggregates(enriched.withWatermark("event_time", watermark), updated_at, *tie[:1])
 
 
-def stream_daily(enriched: DataFrame, watermark: str = WATERMARK, updated_at=None) -> DataFrame:
-    return daily_aggregates(enriched.withWatermark("event_time", watermark), updated_at)
+def stream_daily(enriched: DataFrame, watermark: str = WATERMARK, updated_at=None, tie: Sequence[str] = ()) -> DataFrame:
+    return daily_aggregates(enriched.withWatermark("event_time", watermark), updated_at, *tie[:1])
+
+
+def stream_dedup(readings: DataFrame, keys: Sequence[str] = ("sensor_id", "event_time"), watermark: str = WATERMARK) -> DataFrame:
+    """The first arrival of each key; a repeat is known for as long as the watermark delay, then its key is forgotten."""
+    return readings.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([*keys])
 
 
 def stream_features(

@@ -16,8 +16,7 @@ from gaugeflow.session import ROCKSDB_PROVIDER
 from gaugeflow.sources.readings import alert_file_writer, alert_topic_writer
 from gaugeflow.sources.tables import BatchWriter, append_batch, project, stored_rows
 from gaugeflow.streaming.aggregates import stream_daily, stream_features, stream_hourly
-from gaugeflow.streaming.rolling import rolling_score_writer
-from gaugeflow.streaming.stateful import stream_alarms, stream_cooldown
+from gaugeflow.streaming.stateful import late_rows, on_time_scores, recent_values, stream_alarms, stream_cooldown, stream_rolling
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -90,6 +89,16 @@ def metrics_writer(root: str) -> BatchWriter:
     return write
 
 
+def rolled_writer(root: str, scored: BatchWriter, computed_at=None) -> BatchWriter:
+    """For rows of ``stream_rolling``: scores of the rows on time go to ``scored``, late rows to ``late_readings``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scored(on_time_scores(batch, computed_at), batch_id)
+        late_rows(batch).write.mode("overwrite").parquet(f"{root}/late_readings/batch_id={batch_id}")
+
+    return write
+
+
 def table_writer(root: str, table: str) -> BatchWriter:
     return lambda batch, batch_id: append_batch(batch, root, table, batch_id)
 
@@ -128,33 +137,37 @@ def start_pipeline(
     broker: tuple[str, str] | None = None,
     cooldown_seconds: int | None = None,
     quiet: str | None = None,
+    history: DataFrame | None = None,
 ) -> list[StreamingQuery]:
     """Every table from one enriched reading stream.
 
     Readings and alerts share one query, so parsing and enrichment run once for them; only the
-    stateful outputs need queries of their own. The score state is numbered by batch, so its query
-    also handles empty batches.
+    stateful outputs need queries of their own. The score query handles empty batches too, as its metrics add up over
+    all batches. Scores begin with the last values of ``history``, a batch table of readings, where one is given. Rows that come
+    after the watermark are kept under ``late_readings``; ``dropped_rows`` counts what the aggregates left out.
 
     Alerts leave through ``broker`` (servers, topic), or as JSON files under ``alert_messages`` without one. With
     ``cooldown_seconds`` the alerts that may be notified go to ``notified_alerts``, with ``quiet`` the state changes of
     alarms to ``alarm_changes``, both as parquet files.
     """
     use_rocksdb(enriched.sparkSession)
-    outputs = (score_writer(root, tie), metrics_writer(root))
-    scores = rolling_score_writer(f"{checkpoint_root}/scores-state", fan_out(*outputs, skip_empty=False), order=("event_time", *tie), delay=watermark)
+    scores = rolled_writer(root, fan_out(score_writer(root, tie), metrics_writer(root), skip_empty=False))
+    order = ("event_time", *tie)
+    before = None if history is None else recent_values(history, order=order)
+    rolled = stream_rolling(enriched, order=order, watermark=watermark, initial=before)
     alerts = derive_alerts(enriched)
     where = {"checkpoint_root": checkpoint_root, "drain": drain}
     queries = [
         start(enriched, fan_out(reading_writer(root, tie), alert_writer(root)), "readings_and_alerts", **where),
         start(
-            stream_hourly(enriched, watermark),
+            stream_hourly(enriched, watermark, tie=tie),
             fan_out(table_writer(root, "readings_hourly_by_cluster_parameter")), "hourly", mode="update", **where,
         ),
         start(
-            stream_daily(enriched, watermark),
+            stream_daily(enriched, watermark, tie=tie),
             fan_out(table_writer(root, "readings_daily_by_cluster_parameter")), "daily", mode="update", **where,
         ),
-        start(enriched, fan_out(scores, skip_empty=False), "scores", **where),
+        start(rolled, fan_out(scores, skip_empty=False), "scores", **where),
     ]
     messages = alert_messages(alerts)
     if broker:

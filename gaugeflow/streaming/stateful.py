@@ -1,16 +1,17 @@
 """State kept per key across micro-batches: rolling rows, cooldown and alarm episodes.
 
 These three depend on the order of single events, which no built-in streaming aggregate expresses.
-State is bounded: a few rows or numbers per key, plus the rows the watermark still holds back.
+State is bounded: a few rows or numbers per key, plus the rows the watermark still holds back. It lives in Spark's state
+store; timers release what the watermark has passed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gaugeflow.constants import COOLDOWN_SECONDS, RECENT_INTERVAL, WATERMARK
@@ -25,7 +26,11 @@ def _micros(times: pd.Series) -> np.ndarray:
 
 
 class RollingRows(StatefulProcessor):
-    """Holds rows until the watermark passes them, then emits them in event order with statistics."""
+    """Holds rows until the watermark passes them, then emits them in event order with statistics.
+
+    A row that comes when the watermark is past it is late: it is emitted at once, marked, without statistics, and has no part
+    in those of other rows.
+    """
 
     def __init__(self, schema: T.StructType, window_rows: int, order: list[str]):
         self.schema, self.window_rows, self.order = schema, window_rows, order
@@ -35,15 +40,24 @@ class RollingRows(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.schema)
         self.recent = handle.getListState("recent", "value double")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Values that came before the stream, oldest first."""
+        values = [float(v) for v in initialState["recent"].iloc[0]]
+        self.recent.put([(v,) for v in values[len(values) - min(len(values), self.window_rows - 1):]])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        passed, earliest = timerValues.getCurrentWatermarkInMs(), None
         for batch in rows:
-            self.waiting.appendList(_plain(batch, self.schema))
-            first = int(_micros(batch["event_time"]).min() // 1000)
-            earliest = first if earliest is None else min(earliest, first)
+            stamp = _micros(batch["event_time"]) // 1000
+            late = (stamp <= passed) & (passed > 0)
+            if late.any():
+                yield batch[late].assign(rolling_average=np.nan, rolling_stddev=np.nan, previous_value=np.nan, late=True)
+            if not late.all():
+                self.waiting.appendList(_plain(batch[~late], self.schema))
+                first = int(stamp[~late].min())
+                earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
-            self.handle.registerTimer(max(earliest, timerValues.getCurrentWatermarkInMs() + 1))
-        return iter(())
+            self.handle.registerTimer(max(earliest, passed + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = pd.DataFrame(list(self.waiting.get()), columns=self.schema.names)
@@ -68,6 +82,7 @@ class RollingRows(StatefulProcessor):
             rolling_average=rolling.mean().iloc[start:].to_numpy(),
             rolling_stddev=rolling.std().fillna(0.0).iloc[start:].to_numpy(),
             previous_value=values.shift(1).iloc[start:].to_numpy(),
+            late=False,
         )
         self.recent.put([(float(v),) for v in values.iloc[-(self.window_rows - 1):]])
 
@@ -87,28 +102,59 @@ def _plain(frame: pd.DataFrame, schema: T.StructType) -> list[tuple]:
     return list(zip(*columns))
 
 
-def stream_scores(
+def recent_values(readings: DataFrame, window_rows: int = 5, order: Sequence[str] = ("event_time",)) -> DataFrame:
+    """``(sensor_id, recent)``: the last values of each sensor of a batch table, oldest first, to begin a stream with."""
+    newest_first = Window.partitionBy("sensor_id").orderBy(*[F.col(c).desc() for c in order])
+    last = readings.withColumn("_place", F.row_number().over(newest_first)).filter(F.col("_place") < window_rows)
+    values = F.array_sort(F.collect_list(F.struct((-F.col("_place")).alias("at"), "value")))
+    return last.groupBy("sensor_id").agg(F.transform(values, lambda v: v["value"]).alias("recent"))
+
+
+def stream_rolling(
     enriched: DataFrame,
     window_rows: int = 5,
-    order: tuple[str, ...] = ("event_time",),
+    order: Sequence[str] = ("event_time",),
     watermark: str = WATERMARK,
-    computed_at=None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Anomaly scores whose rolling windows continue across micro-batches.
+    """Every row of the stream once: with its rolling statistics, or marked ``late``.
 
-    Rows leave once the watermark passes them, in event-time order, so the scores of on-time rows
-    equal the batch operator's however the input was split.
+    Rows leave once the watermark passes them, in event-time order, so the statistics of on-time rows
+    equal the batch operator's however the input was split. ``initial`` (see ``recent_values``) is handed over to the state
+    when the stream first starts. The state holds a sensor's last values and the rows that the watermark has not passed.
     """
-    timed = enriched.withWatermark("event_time", watermark)
+    # The watermark goes by a copy of the time that the operator doesn't get: Spark would drop late rows before it.
+    timed = enriched.withColumn("_seen", F.col("event_time")).withWatermark("_seen", watermark).drop("_seen")
     added = [T.StructField(c, T.DoubleType()) for c in ("rolling_average", "rolling_stddev", "previous_value")]
     rolled = timed.groupBy("sensor_id").transformWithStateInPandas(
         RollingRows(enriched.schema, window_rows, list(order)),
-        T.StructType([*enriched.schema.fields, *added]),
+        T.StructType([*enriched.schema.fields, *added, T.StructField("late", T.BooleanType())]),
         "Append",
         "EventTime",
+        initialState=None if initial is None else initial.groupBy("sensor_id"),
     )
-    # A pandas column carries "no previous value" as NaN.
-    return score_components(rolled.withColumn("previous_value", F.nanvl("previous_value", F.lit(None).cast("double"))), computed_at)
+    # A pandas column carries "no value" as NaN.
+    return rolled.withColumns({f.name: F.nanvl(f.name, F.lit(None).cast("double")) for f in added})
+
+
+def on_time_scores(rolled: DataFrame, computed_at=None) -> DataFrame:
+    return score_components(rolled.filter("NOT late").drop("late"), computed_at)
+
+
+def late_rows(rolled: DataFrame) -> DataFrame:
+    return rolled.filter("late").drop("rolling_average", "rolling_stddev", "previous_value", "late")
+
+
+def stream_scores(
+    enriched: DataFrame,
+    window_rows: int = 5,
+    order: Sequence[str] = ("event_time",),
+    watermark: str = WATERMARK,
+    computed_at=None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Anomaly scores of the rows that were on time; rolling windows continue across micro-batches."""
+    return on_time_scores(stream_rolling(enriched, window_rows, order, watermark, initial), computed_at)
 
 
 class Cooldown(StatefulProcessor):

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F, types as T
 from gaugeflow.operators import aggregates, features
 from gaugeflow.operators.alerts import derive_alerts
 from gaugeflow.operators.cooldown import apply_cooldown
-from gaugeflow.operators.latest import latest_readings
+from gaugeflow.operators.latest import dedup_readings, latest_readings
 from gaugeflow.operators.model import train_risk_model
 from gaugeflow.operators.scoring import score_anomalies
 from gaugeflow.sources import readings as sources, tables
-from gaugeflow.streaming import aggregates as stream_aggregates, rolling, runtime, stateful
+from gaugeflow.streaming import aggregates as stream_aggregates, runtime, stateful
+from gaugeflow.streaming.late import dropped_rows
 
 START = 1_780_833_600_000_000  # 2026-06-07 12:00 UTC
 
@@ -92,28 +93,59 @@ def test_scores_continue_across_batches(spark, rows, stream, tmp_path):
     assert as_set(drained(spark, out, tmp_path), *SCORE) == as_set(score_anomalies(rows), *SCORE)
 
 
-def test_score_writer_continues_across_batches(spark, rows, stream, tmp_path):
-    root = str(tmp_path)
-    writer = rolling.rolling_score_writer(f"{root}/state", runtime.score_writer(root), delay="0 seconds", chunk="1 hour")
-    runtime.start(stream, runtime.fan_out(writer, skip_empty=False), "scores", f"{root}/cp", drain=True).awaitTermination()
-    stored = tables.read_table(spark, root, "ai_scores_by_sensor_day")
-    assert as_set(stored, *SCORE) == as_set(score_anomalies(rows), *SCORE)
-    newest = tables.read_table(spark, root, "latest_ai_scores_by_cluster")
-    assert newest.count() == rows.select("sensor_id").distinct().count()
-
-
-def test_score_writer_orders_late_rows_inside_the_delay(spark, rows, tmp_path):
-    root = str(tmp_path)
+def test_rolled_writer_puts_late_rows_aside(spark, rows, tmp_path):
+    """Three files, newest first, one a batch: every row is scored, late, or younger than the delay."""
+    ordered = rows.orderBy("event_time").collect()
+    for delay, held in (("0 seconds", 0), ("10 minutes", 50)):
+        root = str(tmp_path / delay.split()[0])
+        for at in (400, 200, 0):
+            spark.createDataFrame(ordered[at : at + 200], rows.schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            time.sleep(1.05)
+        source = sources.read_readings_stream(spark, "parquet", rows.schema, f"{root}/in", maxFilesPerTrigger="1")
+        runtime.use_rocksdb(spark)
+        rolled = stateful.stream_rolling(source, watermark=delay)
+        writer = runtime.fan_out(runtime.rolled_writer(root, runtime.score_writer(root)), skip_empty=False)
+        runtime.start(rolled, writer, "scores", f"{root}/cp", drain=True).awaitTermination()
+        scored = tables.read_table(spark, root, "ai_scores_by_sensor_day")
+        late = spark.read.parquet(f"{root}/late_readings")
+        newest = rows.agg(F.max("event_time") - F.expr(f"INTERVAL {delay}")).first()[0]
+        passed = F.unix_millis("event_time") <= F.unix_millis(F.lit(newest))  # watermarks have milliseconds
+        want = score_anomalies(spark.createDataFrame(ordered[400:], rows.schema)).filter(passed)
+        assert as_set(scored, *SCORE) == as_set(want, *SCORE)
+        assert late.count() == 400 and as_set(late, "sensor_id", "event_time") == as_set(spark.createDataFrame(ordered[:400], rows.schema), "sensor_id", "event_time")
+        assert 200 - scored.count() == held
+
+
+def test_rows_inside_the_delay_are_put_in_order(spark, rows, tmp_path):
     order = rows.orderBy("event_time").collect()
     order[100], order[160] = order[160], order[100]
-    writer = rolling.rolling_score_writer(f"{root}/state", runtime.score_writer(root), delay="30 minutes")
-    for number, start in enumerate(range(0, 600, 150)):
-        writer(spark.createDataFrame(order[start : start + 150], rows.schema), number)
-        writer(spark.createDataFrame(order[start : start + 150], rows.schema), number)  # a replay changes nothing
-    stored = tables.read_table(spark, root, "ai_scores_by_sensor_day")
+    for at in range(0, 600, 150):
+        spark.createDataFrame(order[at : at + 150], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.05)
+    source = sources.read_readings_stream(spark, "parquet", rows.schema, f"{tmp_path}/in", maxFilesPerTrigger="1")
     released = rows.agg(F.max("event_time") - F.expr("INTERVAL 30 MINUTES")).first()[0]
-    want = score_anomalies(rows).filter(F.col("event_time") <= F.lit(released))
-    assert as_set(stored, *SCORE) == as_set(want, *SCORE)
+    want = score_anomalies(rows).filter(F.unix_millis("event_time") <= F.unix_millis(F.lit(released)))
+    assert as_set(drained(spark, stateful.stream_scores(source, watermark="30 minutes"), tmp_path), *SCORE) == as_set(want, *SCORE)
+
+
+def test_state_begins_with_the_values_of_a_table(spark, rows, tmp_path):
+    ordered = rows.orderBy("event_time").collect()
+    before, after = (spark.createDataFrame(x, rows.schema) for x in (ordered[:300], ordered[300:]))
+    out = stateful.stream_scores(in_files(after, f"{tmp_path}/in", 2), watermark="0 seconds", initial=stateful.recent_values(before))
+    middle = after.agg(F.min("event_time")).first()[0]
+    want = score_anomalies(rows).filter(F.col("event_time") >= F.lit(middle))
+    assert as_set(drained(spark, out, tmp_path), *SCORE) == as_set(want, *SCORE)
+
+
+def test_repeats_over_batches_come_once(spark, rows, tmp_path):
+    ordered = rows.orderBy("event_time").collect()
+    for part in (ordered[:300], ordered[200:] + ordered[:50]):
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.05)
+    source = sources.read_readings_stream(spark, "parquet", rows.schema, f"{tmp_path}/in", maxFilesPerTrigger="1")
+    out = drained(spark, stream_aggregates.stream_dedup(source, watermark="1 day"), tmp_path)
+    want = dedup_readings(rows, ["ingestion_time"])
+    assert as_set(out, "sensor_id", "event_time", "value") == as_set(want, "sensor_id", "event_time", "value")
 
 
 def test_cooldown_carries_over(spark, rows, stream, tmp_path):
@@ -176,7 +208,14 @@ def late_count(spark, rows, path, groups):
 def test_late_row_is_dropped_one_batch_after_the_watermark_jump(spark, rows, tmp_path):
     early = [(10, 5), (10, 30)]
     assert late_count(spark, rows, tmp_path / "a", [early, [(12, 0)], [(10, 40)]])[10] == 3
+    counter = dropped_rows(spark)
     assert late_count(spark, rows, tmp_path / "b", [early, [(12, 0)], [(12, 1)], [(10, 40)]])[10] == 2
+    for _ in range(100):  # listeners hear of a batch after it
+        if counter.counts().get("late"):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(counter)
+    assert counter.counts()["late"] == 1
     assert late_count(spark, rows, tmp_path / "c", [[(10, 5)], [(10, 58)], [(10, 59)], [(10, 10)]])[10] == 4
 
 
