@@ -6,8 +6,13 @@ larger of the two entropies, to the base of its pages: 0 for what is the same ev
 Elements and whole class names that say outright that they are noise (menus, footers, forms, comments and the like) go
 without it. What else they say is a prior on importance: a node is removed below ``LEAST_IMPORTANCE``, inside an article
 only below half of it, and with a name that hints at noise already below ``LEAST_DOUBTED``. An element that holds the page's
-articles is never removed. The tree counts different pages only, so copies of a page don't make its text unimportant;
-its counts are aggregates over all pages, only the less important paths are joined back to the pages by host.
+articles is never removed. As all paragraphs of a place share a path, single blocks are judged too: the importance of a
+block's text is the share of the path's pages that do without it.
+
+Without evidence nothing goes. The tree counts pages of different text only, so copies of a page, whatever differs in their markup,
+don't make its text unimportant. Where less than ``LEAST_LEFT`` of a page's characters would be left, the host's pages are near copies of
+each other, and the page keeps everything. Pages are parsed once for the tree, whose counts are aggregates over the stored nodes, and
+once for the text; a page gets only those less important nodes that it has.
 
 Markup is read by one expression per token, with the usual implied ends of paragraphs and list items; a page
 without an end of an element is read as if it ended there.
@@ -30,11 +35,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from gaugeflow.functions.sizes import broadcast_if_few
-from gaugeflow.llm.common import append_columns, sliced, texts
+from gaugeflow.llm.common import append_columns, sliced, stored, texts
 
 LEAST_IMPORTANCE = 0.2
 LEAST_DOUBTED = 0.5
 LEAST_PAGES = 4
+#: Share of a page's characters that has to be left.
+LEAST_LEFT = 0.2
 LONGEST_PATH = 200  # characters; a longer path goes by its hash
 
 # Element names by their meaning.
@@ -231,24 +238,32 @@ class Page:
             if name in INLINE and self.stack[i].name not in INLINE:
                 return
 
-    def main_text(self, importance: Mapping[str, float] = {}, least: float = LEAST_IMPORTANCE) -> str:
-        """Blocks of the articles, doubtful ones if there are no others, of the whole page if there are none; without the unimportant branches.
+    def main_blocks(self) -> list[tuple[str, tuple[Node, ...]]]:
+        """Blocks of the articles, doubtful ones if there are no others, of the whole page if there are none."""
+        article = any(content for _, _, content, _ in self.blocks)
+        sure = any(content and not doubtful for _, _, content, doubtful in self.blocks)
+        return [(text, nodes) for text, nodes, content, doubtful in self.blocks if (content or not article) and not (doubtful and sure)]
 
-        ``importance`` by path; a path that isn't there is important.
+    def main_text(self, importance: Mapping[tuple[str, int | None], float] = {}, least: float = LEAST_IMPORTANCE) -> str:
+        """The main blocks without the unimportant branches, or all of them if hardly anything would be left.
+
+        ``importance`` by path, and by path and hash of a block's text; what isn't there is important.
         """
+        blocks = self.main_blocks()
+        if not importance:
+            return "\n".join(text for text, _ in blocks)
 
-        def unimportant(node: Node) -> bool:
-            found = importance.get(node.path)
-            if found is None or node.path in self.holders:
-                return False
-            return found < (max(LEAST_DOUBTED, least) if node.hints else least / 2 if node.content else least)
+        def too_low(found: float | None, node: Node) -> bool:
+            return found is not None and found < (max(LEAST_DOUBTED, least) if node.hints else least / 2 if node.content else least)
 
-        article = any(content for _, _, content, _ in self.blocks)
-        sure = any(content and not doubtful for _, _, content, doubtful in self.blocks)
-        kept = []
-        for text, nodes, content, doubtful in self.blocks:
-            if (content or not article) and not (doubtful and sure) and not (importance and any(map(unimportant, nodes))):
-                kept.append(text)
+        def unimportant(text: str, nodes: tuple[Node, ...]) -> bool:
+            if any(too_low(importance.get((n.path, None)), n) for n in nodes if n.path not in self.holders):
+                return True
+            return bool(nodes) and too_low(importance.get((nodes[-1].path, _hash([text]))), nodes[-1])
+
+        kept = [text for text, nodes in blocks if not unimportant(text, nodes)]
+        if sum(map(len, kept)) < LEAST_LEFT * sum(len(text) for text, _ in blocks):
+            kept = [text for text, _ in blocks]
         return "\n".join(kept)
 
 
@@ -256,33 +271,42 @@ def _hash(parts: list[str]) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path, pages, presentation, content)``: nodes of all hosts with both entropies, each different page of a host taken once."""
+#: Kinds of rows: what a node shows, what it holds, and the text of one block in it.
+PRESENTATION, CONTENT_OF, BLOCK_OF = range(3)
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """``(host, path, kind, value, page, copy)`` of all pages (url, html, copy: their hash); pages of one main text have one ``page``."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 500):
-            rows = [
-                (host_of(url), path, kind, _hash(parts), page)
-                for url, text in zip(batch.column("url").to_pylist(), texts(batch, "html"))
-                for page in [_hash([text])]
-                for path, own in Page(text).nodes.items()
-                for kind, parts in enumerate(own)
-            ]
-            host, path, kind, value, page = (list(x) for x in zip(*rows)) if rows else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.int32()), pa.array(value, pa.int64()), pa.array(page, pa.int64())],
-                names=["host", "path", "kind", "value", "page"],
-            )
-
-    plain = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    each = plain.mapInArrow(nodes, "host string, path string, kind int, value long, page long").distinct()
+            rows = []
+            for url, text, copy in zip(batch.column("url").to_pylist(), texts(batch, "html"), batch.column("copy").to_pylist()):
+                page, host = Page(text), host_of(url)
+                own = _hash([page.main_text()])
+                rows += [(host, path, kind, _hash(parts), own, copy) for path, two in page.nodes.items() for kind, parts in enumerate(two)]
+                rows += [(host, path, BLOCK_OF, value, own, copy) for path, value in {(n[-1].path, _hash([x])) for x, n in page.main_blocks() if n}]
+            columns = list(zip(*rows)) or [()] * 6
+            types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "kind", "value", "page", "copy"])
+
+    return pages.mapInArrow(nodes, "host string, path string, kind int, value long, page long, copy long")
+
+
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """``(host, path, value, pages, presentation, content)``: nodes of all hosts with both entropies (value null), and single blocks with their importance as ``content``."""
+    each = nodes.select("host", "path", "kind", "value", "page").distinct()
     variants = each.groupBy("host", "path", "kind", "value").agg(F.count("*").cast("double").alias("n"))
-    sums = variants.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    whole = F.col("kind") != BLOCK_OF
+    sums = variants.filter(whole).groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     # entropy to the base of the pages: log m - sum(n log n) / m, over log m
     entropy = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    return sums.groupBy("host", "path").agg(
-        F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, entropy)).alias("presentation"), F.max(F.when(F.col("kind") == 1, entropy)).alias("content")
+    tree = sums.groupBy("host", "path").agg(
+        F.max("m").alias("pages"), F.max(F.when(F.col("kind") == PRESENTATION, entropy)).alias("presentation"), F.max(F.when(F.col("kind") == CONTENT_OF, entropy)).alias("content")
     )
+    blocks = variants.filter(~whole & (F.col("n") > 1)).join(tree.select("host", "path", "pages"), ["host", "path"])
+    single = blocks.select("host", "path", "value", "pages", F.lit(0.0).alias("presentation"), (1 - F.col("n") / F.col("pages")).alias("content"))
+    return tree.select("host", "path", F.lit(None).cast("long").alias("value"), "pages", "presentation", "content").unionByName(single)
 
 
 def extract_text(
@@ -290,17 +314,19 @@ def extract_text(
 ) -> DataFrame:
     """The rows of ``pages`` with ``text`` and ``n_chars``; ``keep`` names the columns to return besides (all but the markup)."""
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars") and (keep is not None or c != html_col)]
-    tree = style_tree(pages, url_col, html_col)
+    plain = pages.select(F.struct(*kept).alias("row"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("copy"))
+    nodes = stored(page_nodes(plain.select("url", "html", "copy")), "page-nodes")
     importance = F.greatest("presentation", "content")
-    low = tree.filter((F.col("pages") >= least_pages) & (importance < max(LEAST_DOUBTED, least_importance))).select("host", "path", importance.alias("importance"))
-    removed = low.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("path", "importance")).alias("removed"))
-    plain = pages.select(F.struct(*kept).alias("row"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    own_host = F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern.replace("^", "^(?i)", 1), 1)), F.lit(""))
-    joined = plain.withColumn("host", own_host).join(broadcast_if_few(removed), F.col("host") == F.col("of"), "left")
+    low = style_tree(nodes).filter((F.col("pages") >= least_pages) & (importance < max(LEAST_DOUBTED, least_importance)))
+    low = broadcast_if_few(stored(low.select("host", "path", "value", importance.alias("importance")), "page-low"))
+    whole = nodes.filter(F.col("kind") == CONTENT_OF).join(low.filter("value IS NULL").drop("value"), ["host", "path"]).select("copy", "path", F.lit(None).cast("long").alias("value"), "importance")
+    single = nodes.filter(F.col("kind") == BLOCK_OF).join(low, ["host", "path", "value"]).select("copy", "path", "value", "importance")
+    removed = whole.unionByName(single).groupBy("copy").agg(F.collect_set(F.struct("path", "value", "importance")).alias("removed"))
+    joined = plain.join(broadcast_if_few(stored(removed, "page-removed")), "copy", "left")
 
     def make():
         def compute(batch: pa.RecordBatch) -> list:
-            known = ({x["path"]: x["importance"] for x in found or ()} for found in batch.column("removed").to_pylist())
+            known = ({(x["path"], x["value"]): x["importance"] for x in found or ()} for found in batch.column("removed").to_pylist())
             out = [Page(text).main_text(low, least_importance) for text, low in zip(texts(batch, "html"), known)]
             return [pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.html import Page, extract_text, host_of, style_tree
+from gaugeflow.llm.html import Page, _hash, extract_text, host_of, page_nodes, style_tree
 
 FULL = (
     '<!DOCTYPE html><html><head><title>Not &lt;this&gt;</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>'
@@ -45,7 +45,8 @@ def test_boilerplate_of_a_host_goes_by_entropy(spark):
     texts = {r["page_id"]: r["text"] for r in found}
     assert texts[3] == "story number 3" and texts[50] == "Always the same words\nstory number 0" and texts[51] == texts[52] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in found)
-    tree = {(r["host"], r["path"]): r for r in style_tree(pages).collect()}
+    nodes = page_nodes(pages.select("url", "html", F.lit(0).cast("long").alias("copy")))
+    tree = {(r["host"], r["path"]): r for r in style_tree(nodes).filter("value IS NULL").collect()}
     assert tree["a.example", ">body>div.box"]["content"] == 0 and tree["a.example", ">body>div.text"]["content"] > 0.9
     assert extract_text(pages.limit(0)).count() == 0
 
@@ -83,3 +84,57 @@ def test_what_a_host_repeats_inside_articles_goes_by_entropy(spark):
     assert found[20] == "story 20\nWritten by the staff\n0\nwork 20\nRead on\ndepth 20"
     assert found[30] == "story 30\nWritten by the staff\n0\nwork 30\nRead on\ndepth 30"
     assert found[51] == "own 1"
+
+
+def texts_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_near_copies_of_a_page_keep_their_text(spark):
+    story = "<h1>One title</h1><p>The same long story, told again and again.</p><p>It has a second paragraph, too.</p>"
+    outside = [(i, f"http://a.example/?s={i}", f"<body data-session='{i}'><article>{story}</article><footer>{i}</footer></body>") for i in range(5)]
+    inside = [(10 + i, f"http://b.example/?s={i}", f"<body><article>{story}<p>Session {i}</p></article></body>") for i in range(5)]
+    bare = [(20 + i, f"http://c.example/?s={i}", f"<body><div>{story}</div><div class='n'>{i}</div></body>") for i in range(5)]
+    found = texts_of(spark, outside + inside + bare)
+    text = "One title\nThe same long story, told again and again.\nIt has a second paragraph, too."
+    assert [found[i] for i in range(5)] == [text] * 5
+    assert [found[10 + i] for i in range(5)] == [f"{text}\nSession {i}" for i in range(5)]
+    assert [found[20 + i] for i in range(5)] == [f"{text}\n{i}" for i in range(5)]
+
+
+def test_a_plain_paragraph_repeated_in_articles_goes(spark):
+    rows = [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><p>Story number {i}, with words of its own.</p><p>Buy now for less.</p></article>") for i in range(8)]
+    rows.append((9, "http://b.example/9", rows[0][2]))
+    found = texts_of(spark, rows)
+    assert [found[i] for i in range(8)] == [f"Title {i}\nStory number {i}, with words of its own." for i in range(8)]
+    assert found[9].endswith("Buy now for less.")
+
+
+def test_tree_against_plain_counting(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<body><div class='a'>x{i % 3}</div><div class='b'><p>y{i // 4}</p><p>same</p></div>{'<hr><div>z</div>' * (i % 2)}</body>") for i in range(24)]
+    rows += rows[:6]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {(r["host"], r["path"], r["value"]): r for r in style_tree(page_nodes(pages.select("url", "html", F.xxhash64("html").alias("copy")))).collect()}
+    values, blocks = defaultdict(dict), defaultdict(set)
+    for _, url, markup in rows:
+        page, host = Page(markup), host_of(url)
+        for path, two in page.nodes.items():
+            for kind, parts in enumerate(two):
+                values[host, path, kind][page.main_text()] = tuple(parts)
+        for text, nodes in page.main_blocks():
+            if nodes:
+                blocks[host, nodes[-1].path, text].add(page.main_text())
+
+    def entropy(kinds):
+        m, counts = len(kinds), Counter(kinds.values()).values()
+        return -sum(n / m * math.log(n / m) for n in counts) / math.log(m) if m > 1 else 1.0
+
+    for (host, path, kind), kinds in values.items():
+        assert found[host, path, None][("presentation", "content")[kind]] == pytest.approx(entropy(kinds)), path
+    repeated = {k: v for k, v in blocks.items() if len(v) > 1}
+    assert len(found) == len({k[:2] for k in values}) + len(repeated)
+    for (host, path, text), own in repeated.items():
+        assert found[host, path, _hash([text])]["content"] == pytest.approx(1 - len(own) / len(values[host, path, 1]))
