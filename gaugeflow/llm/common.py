@@ -63,5 +63,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def reads_files_only(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of files with at most row-wise steps on it, whose rows come in one order however often it runs."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = [plan.apply(i).nodeName() for i in range(_nodes(plan))]
+    return plan.deterministic() and all(n in ("Project", "Filter") or n.startswith("Relation") or n == "LogicalRelation" for n in names)
+
+
+def _nodes(plan) -> int:
+    """Operators of a logical plan."""
+    children = plan.children()
+    return 1 + sum(_nodes(children.apply(i)) for i in range(children.size()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

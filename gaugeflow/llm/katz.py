@@ -33,18 +33,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from gaugeflow.llm.common import sliced, stored, utf8
+from gaugeflow.llm.common import ROWS_PER_BATCH, reads_files_only, sliced, stored, utf8
 from gaugeflow.session import scratch_dir
 
 FOLDS, HELD_OUT = 7, 2
 #: Words sent to every task, the most frequent ones; others are joined.
 SHARED_WORDS = 262_144
 #: Training tokens per bucket of pairs; a first word with more than a quarter of that is dealt to several buckets.
-BUCKET_TOKENS, FEWEST_BUCKETS = 2_000_000, 12
+BUCKET_TOKENS, FEWEST_BUCKETS = 1_000_000, 12
 DISCOUNTED = 5
 #: What a task holds before it passes it on: words, and documents and pairs of a packed block.
-HELD_WORDS, HELD_DOCS, HELD_PAIRS = 400_000, 60_000, 2_000_000
-KNOWN_WORDS = 300_000
+HELD_WORDS, HELD_DOCS, HELD_PAIRS = 300_000, 60_000, 1_000_000
+#: Words whose figures a scoring task remembers.
+KNOWN_WORDS = 250_000
+#: Rows of a bucket that are passed on at once.
+OUTCOME_ROWS = 20_000
 TABLE_PARTS = 16
 
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -127,22 +130,23 @@ def fit_unigrams(of_counts: dict[int, tuple[int, int]]) -> Unigrams:
     return Unigrams(total, types, factors, left, 1.0)
 
 
-class Keys(dict):
-    """Keys of words."""
+class Vocabulary(dict):
+    """Small numbers for the words of a block, and their keys; 0 is the end token."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = word_key(word)
-        return value
+    def __init__(self):
+        super().__init__()
+        self.keys_of = [END]
 
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.keys_of)
+        self.keys_of.append(word_key(word))
+        return number
 
-def token_keys(text: bytes, keys: Keys) -> tuple[list[bytes], np.ndarray]:
-    words = words_of(text)
-    own = np.empty(len(words) + 1, dtype=np.int64)
-    own[:-1] = np.fromiter(map(keys.__getitem__, words), dtype=np.int64, count=len(words))
-    own[-1] = END
-    return words, own
+    def tokens(self, text: bytes) -> np.ndarray:
+        words = words_of(text)
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
 
 
 def places(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,11 +218,10 @@ class Shared:
     spread: np.ndarray
     buckets: int
 
-    def bucket(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def home(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first bucket of each first word, and over how many its pairs are dealt."""
         at, sure = places(self.word, first)
-        spread = np.where(sure, self.spread[at], 1).astype(np.uint64)
-        slot = second.view(np.uint64) % spread
-        return ((first.view(np.uint64) % np.uint64(self.buckets) + slot) % np.uint64(self.buckets)).astype(np.int32)
+        return first.view(np.uint64) % np.uint64(self.buckets), np.where(sure, self.spread[at], 1).astype(np.uint64)
 
 
 def starts(*keys: np.ndarray) -> np.ndarray:
@@ -232,29 +235,38 @@ def starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Bits of a word's number in a block.
+PAIR_BITS = 32
 BLOCK = "bucket int, places binary, learn binary, firsts binary, pairs_of_first binary, seconds binary, docs_of_pair binary, doc binary, times binary"
 
 
-def _packed(shared: Shared, place: np.ndarray, learn: np.ndarray, tokens: list[np.ndarray]) -> pa.RecordBatch:
+def _packed(shared: Shared, words: Vocabulary, place: np.ndarray, learn: np.ndarray, tokens: list[np.ndarray]) -> pa.RecordBatch:
     """The pairs of a block of documents, one row per bucket: each first word once, each pair once, and its documents."""
-    first, second = (np.concatenate([t[s] for t in tokens]) for s in (slice(None, -1), slice(1, None)))
-    doc = np.repeat(np.arange(len(tokens)), [len(t) - 1 for t in tokens])
-    bucket = shared.bucket(first, second)
-    order = np.lexsort((second, first, bucket))  # stable: documents stay in order
-    first, second, doc, bucket = first[order], second[order], doc[order], bucket[order]
-    entry = starts(bucket, first, second, doc)
-    times = np.diff(np.r_[entry, len(first)])
-    first, second, doc, bucket = first[entry], second[entry], doc[entry], bucket[entry]
+    first, second = (np.concatenate([t[s] for t in tokens]).astype(np.uint64) for s in (slice(None, -1), slice(1, None)))
+    doc = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(t) - 1 for t in tokens])
+    keys = np.array(words.keys_of, np.int64)
+    home, spread = shared.home(keys)
+    bucket = home[first]
+    many = np.flatnonzero(spread[first] > 1)
+    bucket[many] = (bucket[many] + keys.view(np.uint64)[second[many]] % spread[first[many]]) % np.uint64(shared.buckets)
+    pair = first << np.uint64(PAIR_BITS) | second
+    order = np.argsort(pair, kind="stable")  # documents stay in order
+    order = order[np.argsort(bucket[order].astype(np.uint32), kind="stable")]
+    pair, doc, bucket = pair[order], doc[order], bucket[order].astype(np.int32)
+    entry = starts(bucket, pair, doc)
+    times = np.diff(np.r_[entry, len(pair)]).astype(np.uint32)
+    pair, doc, bucket = pair[entry], doc[entry], bucket[entry]
     columns: list[list] = [[] for _ in range(9)]
     begins = starts(bucket)
     for b, e in zip(begins, np.r_[begins[1:], len(bucket)]):
-        own = slice(b, e)
-        pair = starts(first[own], second[own])
-        one = starts(first[own][pair])
-        used, local = np.unique(doc[own], return_inverse=True)
+        own = pair[b:e]
+        at = starts(own)
+        first, second = own[at] >> np.uint64(PAIR_BITS), own[at] & np.uint64(2**PAIR_BITS - 1)
+        one = starts(first)
+        used, local = np.unique(doc[b:e], return_inverse=True)
         parts = (
-            place[used], learn[used], first[own][pair][one], np.diff(np.r_[one, len(pair)]).astype(np.uint32), second[own][pair],
-            np.diff(np.r_[pair, e - b]).astype(np.uint32), local.astype(np.uint16), times[own].astype(np.uint32),
+            place[used], learn[used], keys[first[one]], np.diff(np.r_[one, len(at)]).astype(np.uint32), keys[second],
+            np.diff(np.r_[at, e - b]).astype(np.uint32), local.astype(np.uint16), times[b:e],
         )
         for column, part in zip(columns, (int(bucket[b]), *[x.tobytes() for x in parts])):
             column.append(part)
@@ -266,21 +278,27 @@ def packed_pairs(placed: DataFrame, shared: Broadcast) -> DataFrame:
     """The pairs of all documents (place, text, learn), packed by bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, tokens, place, learn, size = Keys(), [], [], [], 0
+        words, tokens, place, learn, size = Vocabulary(), [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            return _packed(shared.value, words, np.array(place), np.array(learn, np.uint8), tokens)
+
         for batch in sliced(batches):
             for text, at, own in zip(utf8(batch, "text"), batch.column("place").to_pylist(), batch.column("learn").to_pylist()):
-                found = token_keys(text, keys)[1]
-                if len(found) < 2:
-                    continue
-                tokens.append(found)
-                place.append(at)
-                learn.append(own)
-                size += len(found)
-                if size >= HELD_PAIRS or len(tokens) >= HELD_DOCS:
-                    yield _packed(shared.value, np.array(place), np.array(learn, np.uint8), tokens)
-                    tokens, place, learn, size = [], [], [], 0
+                found = words.tokens(text)
+                for begin in range(0, len(found) - 1, HELD_PAIRS):  # a very long text has several entries
+                    part = found[begin : begin + HELD_PAIRS + 1]
+                    tokens.append(part)
+                    place.append(at)
+                    learn.append(own)
+                    size += len(part)
+                    if size >= HELD_PAIRS or len(tokens) >= HELD_DOCS:
+                        yield block()
+                        tokens, place, learn, size = [], [], [], 0
+                if not tokens:
+                    words = Vocabulary()
         if tokens:
-            yield _packed(shared.value, np.array(place), np.array(learn, np.uint8), tokens)
+            yield block()
 
     return placed.select("place", "text", "learn").mapInArrow(pack, BLOCK)
 
@@ -312,12 +330,14 @@ def _outcomes(shared: Shared, single: np.ndarray, blocks: list[dict]) -> Iterato
     own = np.repeat(group, per_pair)  # of each entry
     n = np.bincount(own[learn[doc]], weights=times[learn[doc]], minlength=len(first)).astype(np.int64)
 
-    def rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
-        size = len(next(iter(columns.values())))
-        none = np.zeros(size, np.int64)
+    def rows(kind: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         names = ["place", "a", "b", "n", *[f"c{r}" for r in range(1, CLASSES + 1)]]
-        arrays = [pa.array(np.full(size, kind, np.int32)), *[pa.array(columns.get(c, none)) for c in names], pa.array(columns.get("x", none).astype(float))]
-        return pa.RecordBatch.from_arrays(arrays, names=["kind", *names, "x"])
+        for at in range(0, len(next(iter(columns.values()))), OUTCOME_ROWS):
+            some = {c: x[at : at + OUTCOME_ROWS] for c, x in columns.items()}
+            size = len(next(iter(some.values())))
+            none = np.zeros(size, np.int64)
+            arrays = [pa.array(np.full(size, kind, np.int32)), *[pa.array(some.get(c, none)) for c in names], pa.array(some.get("x", none).astype(float))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["kind", *names, "x"])
 
     # histories
     seen = n > 0
@@ -326,8 +346,8 @@ def _outcomes(shared: Shared, single: np.ndarray, blocks: list[dict]) -> Iterato
         at, sure = places(shared.word, w)
         begin = starts(f)
         counted = {f"c{r}": np.add.reduceat((c == r).astype(np.int64), begin) for r in range(1, CLASSES + 1)}
-        yield rows(OF_HISTORY, a=f[begin], n=np.add.reduceat(c, begin), x=np.add.reduceat(np.where(sure, single[at], 0.0), begin), **counted)
-        yield rows(RARE_SECOND, a=f[~sure], b=w[~sure])
+        yield from rows(OF_HISTORY, a=f[begin], n=np.add.reduceat(c, begin), x=np.add.reduceat(np.where(sure, single[at], 0.0), begin), **counted)
+        yield from rows(RARE_SECOND, a=f[~sure], b=w[~sure])
     # documents: pairs seen once need no mention in a training row
     count = n[own]
     told = (count > 1) | ((count == 1) & ~learn[doc])
@@ -338,9 +358,9 @@ def _outcomes(shared: Shared, single: np.ndarray, blocks: list[dict]) -> Iterato
         return np.bincount(local, weights=weights, minlength=len(which))
 
     classes = {f"c{r}": added(often * (count == r)).astype(np.int64) for r in range(1, DISCOUNTED + 1)}
-    yield rows(OF_DOC, place=place[which], n=added(often).astype(np.int64), x=added(often * np.log10(count)), **classes)
-    new = (n[own] == 0)
-    yield rows(UNSEEN, place=place[doc[new]], a=first[own[new]], b=second[own[new]], n=times[new])
+    yield from rows(OF_DOC, place=place[which], n=added(often).astype(np.int64), x=added(often * np.log10(count)), **classes)
+    new = n[own] == 0
+    yield from rows(UNSEEN, place=place[doc[new]], a=first[own[new]], b=second[own[new]], n=times[new])
 
 
 def bucket_outcomes(packed: DataFrame, shared: Broadcast, lower: Unigrams) -> DataFrame:
@@ -429,7 +449,10 @@ def score_text(
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new and (keep is not None or c != text_col)]
     training = fold(id_col) != HELD_OUT if training is None else training
     plain = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    placed = stored(plain.withColumn("place", F.monotonically_increasing_id()), "katz-documents")
+    placed = plain.withColumn("place", F.monotonically_increasing_id())
+    if not reads_files_only(docs):  # the rows must have one place in all scans
+        placed = stored(placed, "katz-documents")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     context = docs.sparkSession.sparkContext
 
     unigrams = _table(unigram_counts(placed.filter("learn")), "word", "katz-unigrams")
@@ -460,25 +483,31 @@ def score_text(
     schema = schema.add("n_tokens", "long").add("n_known", "long").add("base", "double").add("log10", "double").add("rare", rare_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, scale = Keys(), shared.value, scales.value
+        held, scale = shared.value, scales.value
         base, single = lower.base(held.c), np.log10(lower.probability(held.c))
+        words = Vocabulary()
+        own = np.zeros((5, 0))  # of each word: is shared, is known, base, scale, single
         for batch in sliced(batches):
             if not batch.num_rows:
                 continue
-            sizes, known, bases, logs, rare = [], [], [], [], []
-            for text in utf8(batch, "text"):
-                own = token_keys(text, keys)[1]
-                at, sure = places(held.word, own)
-                tokens = at[sure]
-                sizes.append(len(own))
-                known.append(int((held.c[tokens] > 0).sum()))
-                bases.append(math.fsum(base[tokens]))
-                logs.append(math.fsum(scale[tokens]) + (single[at[0]] if sure[0] else 0.0))
-                word, n = np.unique(own[~sure], return_counts=True)
-                rare.append((word, n, (word == own[0]).astype(np.int64)))
-            offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rare])])
-            lists = pa.StructArray.from_arrays([pa.array(np.concatenate([r[i] for r in rare]).astype(np.int64)) for i in range(3)], names=["word", "n", "first"])
-            arrays = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(bases, pa.float64()), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists)]
+            if len(words.keys_of) > KNOWN_WORDS:
+                words, own = Vocabulary(), own[:, :0]
+            tokens = [words.tokens(text) for text in utf8(batch, "text")]
+            sizes = np.array([len(t) for t in tokens])
+            keys = np.array(words.keys_of[own.shape[1] :], np.int64)
+            at, sure = places(held.word, keys)
+            own = np.concatenate([own, np.where(sure, np.stack([sure, held.c[at] > 0, base[at], scale[at], single[at]]), 0.0)], axis=1)
+            number, begin = np.concatenate(tokens), np.r_[0, np.cumsum(sizes)[:-1]]
+            sums = np.add.reduceat(own[1:4, number], begin, axis=1)
+            logs = sums[2] + own[4, number[begin]]
+            far = np.flatnonzero(own[0, number] == 0)
+            doc = np.repeat(np.arange(len(tokens)), sizes)
+            asked, n = np.unique(doc[far] << 32 | number[far], return_counts=True)
+            doc, word = asked >> 32, asked & 0xFFFFFFFF
+            columns = [np.array(words.keys_of, np.int64)[word], n, (word == number[begin][doc]).astype(np.int64)]
+            offsets = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(tokens)))]
+            lists = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["word", "n", "first"])
+            arrays = [pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(logs), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lists)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "learn", "place")], *arrays], names=schema.names)
 
     parts = stored(placed.select("row", "learn", "place", "text").mapInArrow(score, schema), "katz-parts")
