@@ -28,6 +28,8 @@ PRECISION = 0.95
 ROUNDS = 20
 RATE = 0.4
 CONTEXT_CHARS = 24
+#: Matches of a text beyond which its positions are added up by chunks.
+LONG_LIST = 256
 # Words that often come before personal data.
 CONTEXT_WORDS = r"mail|tel|phone|call|fax|mobil|card|visa|ip|host|addr|iban|konto|account|ssn|contact"
 
@@ -103,6 +105,32 @@ def _neighbour(char: Column) -> Column:
     return F.when(char == "", 0).when(char.rlike(r"[\p{L}0-9]"), 1).otherwise(2)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is mentioned."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What ``add`` makes of all earlier values, for each of an array of whole numbers.
+
+    A fold that appends to an array copies it every time. The array is cut into chunks of about the root of its length, so
+    that what is copied stays near the length of the array times its root.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(part: Column) -> Column:
+        state = F.struct(start.alias("at"), none.alias("all"))
+        step = lambda s, x: F.struct(add(s["at"], x).alias("at"), F.array_append(s["all"], s["at"]).alias("all"))
+        return F.aggregate(part, state, step, lambda s: s["all"])
+
+    def by_chunks(given: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(given))).cast("int"), F.lit(1))
+        chunks = F.transform(F.sequence(F.lit(1), F.size(given), size), lambda at: F.slice(given, at, size))
+        return _once(chunks, lambda parts: F.flatten(F.zip_with(fold(F.transform(parts, lambda part: F.aggregate(part, start, add))), parts, lambda before, part: F.transform(fold(part), lambda x: add(before, x)))))
+
+    return _once(values, lambda given: F.when(F.size(given) > LONG_LIST, by_chunks(given)).otherwise(fold(given)))
+
+
 def candidate_spans(text: Column, generator: Generator) -> Column:
     """Array of the generator's spans in their order, with features; failing base matches without a model's use are left out."""
     gaps = F.split(text, generator.pattern, -1)
@@ -111,9 +139,12 @@ def candidate_spans(text: Column, generator: Generator) -> Column:
     pieces = F.zip_with(
         F.zip_with(gaps, found, lambda g, f: F.struct(g.alias("gap"), f.alias("found"))), after, lambda p, n: F.struct(p["gap"].alias("gap"), p["found"].alias("found"), n.alias("next"))
     )
-    def add(state: Column, piece: Column) -> Column:
-        match = F.coalesce(piece["found"], F.lit(""))
-        start = state["at"] + F.length(piece["gap"])
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: F.length(g) + F.length(f))
+    pieces = F.zip_with(pieces, _before(lengths, F.lit(0), lambda total, x: total + x), lambda p, at: F.struct(p["gap"].alias("gap"), p["found"].alias("found"), p["next"].alias("next"), at.alias("at")))
+
+    def span(piece: Column) -> Column:
+        match = piece["found"]
+        start = piece["at"] + F.length(piece["gap"])
         end = start + F.length(match)
         label = generator.label(match)
         before = F.right(piece["gap"], F.lit(CONTEXT_CHARS))
@@ -126,17 +157,17 @@ def candidate_spans(text: Column, generator: Generator) -> Column:
             F.lower(before).rlike(CONTEXT_WORDS).cast("int"),
         )
         base = label if generator.base else F.lit(False)
-        span = F.struct(
+        return F.struct(
             F.lit(generator.kind).alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), base.alias("base"), label.alias("label"), features.alias("features")
         )
-        wanted = piece["found"].isNotNull()
+
+    def wanted(piece: Column) -> Column:
         if generator.kind == "card":  # short runs of digits are no candidates
-            wanted = wanted & (F.length(_digits(match)) >= 12)
-        grown = F.when(wanted, F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct(end.cast("int").alias("at"), grown.cast(SPAN).alias("spans"))
+            return piece["found"].isNotNull() & (F.length(_digits(piece["found"])) >= 12)
+        return piece["found"].isNotNull()
 
     empty = F.array().cast(SPAN)
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda state: state["spans"])
+    spans = F.transform(F.filter(pieces, wanted), span).cast(SPAN)
     possible = text.rlike(generator.holds) if generator.needs is None else F.contains(text, F.lit(generator.needs))
     return F.when(possible, spans).otherwise(empty)
 
@@ -240,10 +271,15 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     base = F.filter("candidates", lambda c: c["base"])
     chosen = base
     if model.threshold < math.inf:
-        inside = lambda c: F.exists("sure", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
-        likely = lambda c: (model.expression(c["features"]) >= F.lit(model.threshold - 1e-9)) & ~inside(c)
-        chosen = F.filter("candidates", lambda c: c["base"] | likely(c))
-    candidates = candidates.withColumn("sure", base)
+        # by start, base spans first: a candidate is inside a base span if an earlier one reaches its end
+        placed = F.array_sort(F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), (~c["base"]).alias("added"), c.alias("span"))))
+        candidates = candidates.withColumn("placed", placed)
+        ends = F.transform("placed", lambda p: F.when(p["added"], 0).otherwise(p["span"]["end"]))
+        reached = F.zip_with("placed", _before(ends, F.lit(0), lambda end, x: F.greatest(end, x)), lambda p, end: F.struct(p["span"].alias("span"), (p["span"]["end"] <= end).alias("inside")))
+        likely = lambda p: (model.expression(p["span"]["features"]) >= F.lit(model.threshold - 1e-9)) & ~p["inside"]
+        kept_spans = F.filter(reached, lambda p: p["span"]["base"] | likely(p))
+        by_kind = F.array_sort(F.transform(kept_spans, lambda p: F.struct(p["span"]["features"][0].alias("generator"), p["span"]["start"].alias("start"), p["span"].alias("span"))))
+        chosen = F.transform(by_kind, lambda x: x["span"])
     spans = F.transform(chosen, lambda c: F.struct(F.when(c["base"] | ~c["kind"].isin(*BASE_KINDS), c["kind"]).otherwise(F.concat(c["kind"], F.lit("_like"))).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     found = candidates.withColumn("pii", spans)
     return found.select(*[F.col("row")[c].alias(c) for c in kept], "pii")

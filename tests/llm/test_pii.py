@@ -106,3 +106,16 @@ def test_spans_without_adjacent_digits_or_lower_case_at(spark):
     assert [s["kind"] for s in found[0]][:1] == ["card"]
     spans = {r["doc_id"]: [(c["kind"], c["start"], c["end"]) for c in r["candidates"]] for r in pii.with_candidates(docs).collect()}
     assert spans[2] == [("mail_words", 0, len(rows[2]))] and spans[3] == [("mail_words", 0, len(rows[3]))]
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    for n in (300, 100_000):
+        text = " ".join(f"u{i}@example.org" for i in range(n)) + " 010.1.2.3 +1 (555) 123 4567"
+        docs = spark.createDataFrame([(1, text), (2, "a@b.c")], "doc_id long, text string")
+        began = time.time()
+        found = {r["doc_id"]: r["pii"] for r in pii.find_pii(docs, keep=["doc_id"]).collect()}
+        assert time.time() - began < 200
+        assert len(found[1]) >= n + 2 and [found[1][i]["start"] for i in (0, n - 1)] == [0, text.index(f"u{n - 1}@")]
+        assert all(text[s["start"] : s["end"]].endswith("@example.org") for s in found[1][:n:97])
