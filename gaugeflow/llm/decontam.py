@@ -3,8 +3,9 @@
 Benchmark texts are cut into windows of ten words (a shorter text is one window). Windows of one
 length form a class with its own tables: block shifts say how far the search may jump, buckets keyed
 by the last block hold the windows that may end there, and a direct comparison of the words confirms.
-The documents pass the tables in one map without a shuffle. The windows are taken in blocks of a
-bounded size, so any number of benchmark texts fits in an executor.
+The documents pass the tables in one map without a shuffle. A larger benchmark is taken in passes of about
+``WINDOWS_PER_PASS`` windows: each reads the documents, stores the hits it found and takes its tables back before the
+next one begins, so an executor holds the tables of one pass; the hits are merged in the end.
 
 Edge cases: a null or wordless document has no words and no hits; a null or wordless benchmark text
 has no window; a benchmark text without id marks words as hit but is in no id list; equal windows of
@@ -16,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
-from gaugeflow.llm.common import append_columns, sliced, utf8
+from gaugeflow.functions.sizes import broadcast_if_few
+from gaugeflow.llm.common import append_columns, reads_files_only, sliced, stored, utf8
 
 WINDOW_WORDS = 10
 #: Words per block of the shift tables.
@@ -122,47 +125,86 @@ def mark_contamination(
     ``keep`` names the columns to return besides (all by default). ``per_pass`` bounds the windows whose
     tables an executor holds at once.
     """
-    windows = benchmark_windows(benchmark, item_id_col, item_text_col, window).withColumn("pass", F.xxhash64("words"))
+    windows = stored(benchmark_windows(benchmark, item_id_col, item_text_col, window), "benchmark-windows")
     passes = max(1, -(-windows.count() // per_pass))
-    context = docs.sparkSession.sparkContext
-    hits, items = "__hit_words", "__hit_items"
-    spans = StructField(hits, ArrayType(LongType()))
-    names = StructField(items, ArrayType(StringType()))
-    wanted = list(dict.fromkeys([*(docs.columns if keep is None else keep), text_col]))
-    marked = docs.select(wanted)
-    for number in range(passes):
-        chosen = windows.filter(F.pmod("pass", F.lit(passes)) == number).select("words", "item")
-        tables = context.broadcast(sorted((r["words"], r["item"] or "", r["item"]) for r in chosen.collect()))
-        first = number == 0
-
-        def make(tables=tables, first=first):
-            built = build_tables([(words, item) for words, _, item in tables.value])
-
-            def compute(batch: pa.RecordBatch) -> list:
-                before = [[]] * batch.num_rows if first else batch.column(hits).to_pylist()
-                known = [[]] * batch.num_rows if first else batch.column(items).to_pylist()
-                out_hits, out_items, out_size = [], [], []
-                for text, old, old_items in zip(utf8(batch, text_col), before, known):
-                    words = fold_words(text)
-                    found, ids = list(zip(old[::2], old[1::2])), set(old_items)
-                    for part in built:
-                        for start, found_items in part.search(words):
-                            found.append((start, start + part.length))
-                            ids.update(found_items)
-                    out_hits.append([x for pair in _union(found) for x in pair])
-                    out_items.append(sorted(ids))
-                    out_size.append(len(words))
-                return [pa.array(out_hits, pa.list_(pa.int64())), pa.array(out_items, pa.list_(pa.string())), pa.array(out_size, pa.int64())]
-
-            return compute
-
-        marked = append_columns(marked, make, [spans, names, StructField("n_words", LongType())])
+    new = ("n_words", "n_hit", "hit_items", "contaminated")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
+
+    if passes == 1:
+        marked = append_columns(rows, _search(_tables(windows, 1, 0)[0]), [SPANS, ITEMS, StructField("n_words", LongType())], ["row"])
+    else:
+        placed = rows.withColumn("place", F.monotonically_increasing_id())
+        if not reads_files_only(docs):  # the rows must have one place in all passes
+            placed = stored(placed, "benchmark-documents")
+        found = None
+        for number in range(passes):
+            tables, release = _tables(windows, passes, number)
+            hits = append_columns(placed.select("place", "text"), _search(tables), [SPANS, ITEMS, StructField("n_words", LongType())], ["place"])
+            hits = stored(hits.filter(F.size(SPANS.name) > 0).select("place", SPANS.name, ITEMS.name), "benchmark-hits")
+            release()
+            found = hits if found is None else found.unionByName(hits)
+        spans, items = F.flatten(F.collect_list(SPANS.name)), F.flatten(F.collect_list(ITEMS.name))  # one entry per pass
+        found = stored(found.groupBy("place").agg(spans.alias(SPANS.name), items.alias(ITEMS.name)), "benchmark-found")
+        joined = placed.join(broadcast_if_few(found), "place", "left").select("row", "text", SPANS.name, ITEMS.name)
+        marked = append_columns(joined, _merged, [SPANS, ITEMS, StructField("n_words", LongType())], ["row"])
 
     # the covered words are the ends minus the starts of the merged spans
-    signed = F.transform(hits, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    signed = F.transform(SPANS.name, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)
-    kept = [c for c in wanted if c in (docs.columns if keep is None else keep) and c not in ("n_words", "n_hit", "hit_items", "contaminated")]
-    return marked.select(*kept, "n_words", n_hit.alias("n_hit"), F.col(items).alias("hit_items"), (F.size(hits) > 0).alias("contaminated"))
+    own = [F.col("row")[c].alias(c) for c in kept]
+    return marked.select(*own, "n_words", n_hit.alias("n_hit"), F.col(ITEMS.name).alias("hit_items"), (F.size(SPANS.name) > 0).alias("contaminated"))
+
+
+SPANS = StructField("__hit_words", ArrayType(LongType()))
+ITEMS = StructField("__hit_items", ArrayType(StringType()))
+
+
+def _tables(windows: DataFrame, passes: int, number: int) -> tuple[Broadcast, Callable[[], None]]:
+    """The windows of one pass, about ``per_pass`` of them, sent to the executors; and what takes them back."""
+    chosen = windows if passes == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
+    tables = windows.sparkSession.sparkContext.broadcast(sorted((r["words"], r["item"] or "", r["item"]) for r in chosen.collect()))
+    return tables, tables.destroy
+
+
+def _columns(spans: list[list[tuple[int, int]]], items: list, sizes: list[int]) -> list[pa.Array]:
+    flat = [[x for pair in _union(found) for x in pair] for found in spans]
+    return [pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(sizes, pa.int64())]
+
+
+def _search(tables: Broadcast) -> Callable[[], Callable]:
+    """Spans, items and words of a batch of texts, by the tables of one pass."""
+
+    def make():
+        built = build_tables([(words, item) for words, _, item in tables.value])
+
+        def compute(batch: pa.RecordBatch) -> list:
+            spans, items, sizes = [], [], []
+            for text in utf8(batch, "text"):
+                words, found, ids = fold_words(text), [], set()
+                for part in built:
+                    for start, found_items in part.search(words):
+                        found.append((start, start + part.length))
+                        ids.update(found_items)
+                spans.append(found)
+                items.append(ids)
+                sizes.append(len(words))
+            return _columns(spans, items, sizes)
+
+        return compute
+
+    return make
+
+
+def _merged() -> Callable:
+    """What all passes found, merged; and the number of words."""
+
+    def compute(batch: pa.RecordBatch) -> list:
+        spans = [list(zip((x or [])[::2], (x or [])[1::2])) for x in batch.column(SPANS.name).to_pylist()]
+        items = [x or [] for x in batch.column(ITEMS.name).to_pylist()]
+        return _columns(spans, items, [len(fold_words(text)) for text in utf8(batch, "text")])
+
+    return compute
 
 
 def items_digest(column: str = "hit_items"):
