@@ -868,6 +868,19 @@ def stream_features(s):
     return _to_files(s, rows, "stream-features")
 
 
+@query
+def stream_trailing_features(s):
+    """Features of the day before each micro-batch's newest reading; three batches, ten days each."""
+    events, day = s.table("events"), F.date_format("ts", "yyyy-MM-dd")
+    part = F.when(day < "2024-01-11", 1).when(day < "2024-01-21", 2).otherwise(3)
+    stream = s.enrich(readings_from(_stream_of_parts(s, [events.filter(part == i) for i in (1, 2, 3)], "days")))
+    root = scratch_dir(s.spark, "trailing")
+    rows = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{root}/features/batch_id={batch_id}")
+    writer = runtime.trailing_feature_writer(f"{root}/readings", rows, PARAMETERS, "24 hours", suffix="24h", tie="reading_id")
+    runtime.start(stream, writer, "trailing", f"{root}/checkpoints", drain=True).awaitTermination()
+    return s.spark.read.parquet(f"{root}/features").drop("batch_id")
+
+
 @query
 def stream_alert_topic(s):
     """Alert messages leave as JSON files and are decoded by the consumer."""

@@ -609,6 +609,17 @@ slots AS (SELECT cluster_id AS location_id, TIMESTAMP '2024-01-20 00:00:00' AS s
   FROM enriched WHERE {_USABLE} AND {_MOMENT.format(24)} GROUP BY cluster_id, parameter)""",
     _features("wide", "slots", "24h", 2),
 )
+_add(
+    "stream_trailing_features",
+    _FEATURE_SELECT + _feature_view("24h") + " FROM wide",
+    f"""
+moments AS (
+  SELECT max(event_time) AS moment FROM enriched
+  GROUP BY CASE WHEN event_time < TIMESTAMP '2024-01-11' THEN 1 WHEN event_time < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END),
+slots AS (SELECT cluster_id AS location_id, moment AS slot, {_MEASURES}
+  FROM enriched, moments WHERE {_USABLE} AND event_time BETWEEN moment - INTERVAL 24 HOUR AND moment GROUP BY cluster_id, moment, parameter)""",
+    _features("wide", "slots", "24h", 2),
+)
 _add("active_locations", f"SELECT DISTINCT cluster_id AS location_id FROM enriched WHERE {_MOMENT.format(1)}")
 _add(
     "trailing_measures",

@@ -9,6 +9,7 @@ the resolved rows to a new table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -54,6 +55,33 @@ def compact_table(spark: SparkSession, root: str, table: str, target_root: str,
     append_batch(read_table(spark, root, table, as_of), target_root, table, 0)
 
 
+def drop_days(spark: SparkSession, root: str, before: date, column: str = "day") -> int:
+    """Delete the folders ``column=<day>`` under the batches of ``root`` whose day is over; how many.
+
+    Only names are looked at, no file is read. A day that comes back in a later batch is a new folder.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch_id=*/{column}=*")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for status in files.globStatus(path) or ():
+        day = status.getPath().getName().removeprefix(f"{column}=")
+        if day[:4].isdigit() and date.fromisoformat(day) < before:
+            gone += bool(files.delete(status.getPath(), True))
+    return gone
+
+
+def expire_table(spark: SparkSession, root: str, table: str, as_of: datetime) -> int:
+    """Drop the day folders of a live table that have outlived its retention; how many.
+
+    For tables partitioned by a day: whole days go, in place, while readers and writers go on.
+    """
+    spec = TABLES[table]
+    days = [c for c in spec.partition_by if isinstance(spec.schema[c].dataType, T.DateType)]
+    if spec.ttl_seconds is None or not days:
+        return 0
+    return drop_days(spark, f"{root}/{table}", (as_of - timedelta(seconds=spec.ttl_seconds)).date(), days[0])
+
+
 def drop_prediction_date(history: DataFrame) -> DataFrame:
     """Rows for the latest-prediction table from history rows."""
     return project(history, "latest_ml_predictions_by_location")

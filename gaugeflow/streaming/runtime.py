@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gaugeflow.constants import FEATURE_WINDOW, PARAMETERS
+from gaugeflow.functions.times import interval, interval_micros
 from gaugeflow.operators.aggregates import pipeline_metrics
 from gaugeflow.operators.alerts import alert_messages, derive_alerts
+from gaugeflow.operators.features import RULE_BOUNDS, features_at
 from gaugeflow.operators.latest import latest_per_key, latest_readings, latest_scores
 from gaugeflow.operators.model import predict_risk
 from gaugeflow.session import ROCKSDB_PROVIDER
 from gaugeflow.sources.readings import alert_file_writer, alert_topic_writer
-from gaugeflow.sources.tables import BatchWriter, append_batch, project, stored_rows
+from gaugeflow.sources.tables import BatchWriter, append_batch, drop_days, project, stored_rows
 from gaugeflow.streaming.aggregates import stream_daily, stream_features, stream_hourly
 from gaugeflow.streaming.stateful import late_rows, on_time_scores, recent_values, stream_alarms, stream_cooldown, stream_rolling
 
@@ -112,6 +116,41 @@ def prediction_writer(root: str, model: PipelineModel, **options) -> BatchWriter
     return write
 
 
+def trailing_feature_writer(
+    state_root: str,
+    writer: BatchWriter,
+    parameters: Sequence[str] = PARAMETERS,
+    window: str = FEATURE_WINDOW,
+    location: str = "cluster_id",
+    tie: str | None = None,
+    **options,
+) -> BatchWriter:
+    """Features over the span that ends at each micro-batch's newest reading, handed to ``writer``.
+
+    The readings are kept as files by batch and day; a batch reads the days that its span touches, of itself and earlier
+    batches, and drops days that no span can reach any more (``keep_days`` late days are left for a replay). A
+    replayed batch overwrites its own files and sees the same earlier ones, so it gives the same features.
+    """
+    keep_days = options.pop("keep_days", 7)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = batch.agg(F.max("event_time").alias("at")).first()["at"]
+        if newest is None:
+            return
+        moment = F.lit(newest)
+        columns = [location, "parameter", "event_time", "value", "rule_enabled", *RULE_BOUNDS, *([tie] if tie else [])]
+        rows = batch.filter("rule_enabled").filter(F.col("parameter").isin(*parameters)).select(*columns)
+        schema = rows.schema.add("day", "date").add("batch_id", "long")
+        rows.withColumn("day", F.to_date("event_time")).write.mode("overwrite").partitionBy("day").parquet(f"{state_root}/batch_id={batch_id}")
+        kept = batch.sparkSession.read.schema(schema).option("basePath", state_root).parquet(state_root)
+        span = (F.col("day") >= F.to_date(moment - interval(window))) & (F.col("day") <= F.to_date(moment)) & (F.col("batch_id") <= batch_id)
+        writer(features_at(kept.filter(span), newest, parameters, window, location=location, tie=tie, **options), batch_id)
+        oldest = newest - timedelta(microseconds=interval_micros(window)) - timedelta(days=keep_days)
+        drop_days(batch.sparkSession, state_root, oldest.date())
+
+    return write
+
+
 def start(
     rows: DataFrame, writer: BatchWriter, name: str, checkpoint_root: str, mode: str = "append", drain: bool = False
 ) -> StreamingQuery:
@@ -138,13 +177,15 @@ def start_pipeline(
     cooldown_seconds: int | None = None,
     quiet: str | None = None,
     history: DataFrame | None = None,
+    trailing: bool = False,
 ) -> list[StreamingQuery]:
     """Every table from one enriched reading stream.
 
     Readings and alerts share one query, so parsing and enrichment run once for them; only the
     stateful outputs need queries of their own. The score query handles empty batches too, as its metrics add up over
     all batches. Scores begin with the last values of ``history``, a batch table of readings, where one is given. Rows that come
-    after the watermark are kept under ``late_readings``; ``dropped_rows`` counts what the aggregates left out.
+    after the watermark are kept under ``late_readings``; ``dropped_rows`` counts what the aggregates left out. Predictions are made
+    for each window as it closes, or with ``trailing`` for the span that ends at each micro-batch's newest reading.
 
     Alerts leave through ``broker`` (servers, topic), or as JSON files under ``alert_messages`` without one. With
     ``cooldown_seconds`` the alerts that may be notified go to ``notified_alerts``, with ``quiet`` the state changes of
@@ -184,8 +225,12 @@ def start_pipeline(
         sink = rows.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{checkpoint_root}/{name}").queryName(name)
         queries.append((sink.trigger(availableNow=True) if drain else sink).start())
     if model is not None:
-        rows = stream_features(enriched, watermark=watermark, **(features or {}))
-        queries.append(start(rows, fan_out(prediction_writer(root, model)), "predictions", **where))
+        if trailing:
+            order = {"tie": tie[0]} if tie else {}
+            rows, writer = enriched, trailing_feature_writer(f"{checkpoint_root}/predictions-readings", prediction_writer(root, model), **order, **(features or {}))
+        else:
+            rows, writer = stream_features(enriched, watermark=watermark, **(features or {})), prediction_writer(root, model)
+        queries.append(start(rows, fan_out(writer), "predictions", **where))
     return queries
 
 

@@ -151,3 +151,20 @@ def test_day_filter_prunes_partitions(spark, tmp_path, enrich):
     text = stored._sc._jvm.PythonSQLUtils.explainString(stored._jdf.queryExecution(), "simple")
     assert "PartitionFilters: [isnotnull(bucket_date" in text
     assert stored.count() == 1
+
+
+def test_expired_days_of_a_live_table_go_in_place(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    table = "readings_by_sensor_day"
+    spec = TABLES[table]
+    start = datetime(2024, 1, 1, 12)
+    for batch in range(4):
+        values = {f.name: F.lit(None).cast(f.dataType) for f in spec.schema}
+        values |= {"sensor_id": F.lit("s"), "event_time": F.lit(start + timedelta(days=batch)), "bucket_date": F.lit((start + timedelta(days=batch)).date())}
+        tables.append_batch(spark.range(1).select(*[values[f.name].alias(f.name) for f in spec.schema]), str(tmp_path), table, batch)
+    moment = start + timedelta(days=2, seconds=spec.ttl_seconds)
+    assert tables.expire_table(spark, str(tmp_path), table, moment) == 2
+    left = sorted(r["event_time"] for r in tables.read_table(spark, str(tmp_path), table).collect())
+    assert left == [start + timedelta(days=2), start + timedelta(days=3)]
+    assert tables.expire_table(spark, str(tmp_path), table, moment) == 0

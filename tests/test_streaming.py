@@ -219,6 +219,31 @@ def test_late_row_is_dropped_one_batch_after_the_watermark_jump(spark, rows, tmp
     assert late_count(spark, rows, tmp_path / "c", [[(10, 5)], [(10, 58)], [(10, 59)], [(10, 10)]])[10] == 4
 
 
+def test_trailing_features_of_each_batch_and_replay(spark, rows, tmp_path):
+    kinds, batches = ("pH", "ORP", "turbidity"), {}
+    ordered = rows.orderBy("event_time").collect()
+    writer = runtime.trailing_feature_writer(f"{tmp_path}/state", lambda out, n: batches.update({n: out.collect()}), kinds, "20 minutes")
+    for number, at in enumerate((0, 150, 300, 450, 450)):
+        batch = spark.createDataFrame(ordered[at : at + 150], rows.schema)
+        writer(batch, min(number, 3))  # the last one twice
+        want = features.features_at(spark.createDataFrame(ordered[: at + 150], rows.schema), batch.agg(F.max("event_time")).first()[0], kinds, "20 minutes")
+        near = [[round(x, 8) if isinstance(x, float) else str(x) for x in r] for r in sorted(batches[min(number, 3)])]
+        assert near == [[round(x, 8) if isinstance(x, float) else str(x) for x in r] for r in sorted(want.collect())] != []
+    writer(rows.limit(0), 4)
+    assert 4 not in batches
+
+
+def test_days_that_no_span_reaches_are_dropped(spark, rows, tmp_path):
+    from datetime import timedelta
+
+    seen = []
+    writer = runtime.trailing_feature_writer(str(tmp_path), lambda out, n: seen.append(out.count()), ("pH", "ORP", "turbidity"), "5 hours", keep_days=1)
+    for day in range(6):
+        writer(rows.withColumn("event_time", F.col("event_time") + F.lit(timedelta(days=day))), day)
+    assert len(seen) == 6 and all(seen)
+    assert len(list(tmp_path.glob("batch_id=*/day=*"))) <= 3
+
+
 def test_whole_pipeline_and_restart(spark, rows, tmp_path):
     root, source = str(tmp_path / "tables"), str(tmp_path / "in")
     kinds = ("pH", "ORP", "turbidity")
