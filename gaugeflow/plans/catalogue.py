@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from gaugeflow.functions import rules as rule_fns
 from gaugeflow.functions.risk import parse_probabilities
 from gaugeflow.functions.times import MICROS_PATTERN, MILLIS_PATTERN, SECONDS_PATTERN, iso_millis, parse_event_time
-from gaugeflow.operators import aggregates, alarms, configs, features, ingest, latest, model, topics, training
+from gaugeflow.operators import aggregates, alarms, configs, features, forest, ingest, latest, model, topics, training
 from gaugeflow.operators.alerts import alert_messages, derive_alerts, wire_view
 from gaugeflow.operators.cooldown import apply_cooldown
 from gaugeflow.operators.enrich import known_sensors, sensor_metadata, unknown_sensors
@@ -644,6 +644,25 @@ def feature_importance(s):
     return model.feature_importances(fitted, RISK_FEATURES)
 
 
+@query
+def forest_check(s):
+    """The fitted forest against its own table of nodes: probabilities and importances that differ."""
+    fitted, test = _fitted(s)
+    nodes, classifier, labels = forest.forest_nodes(s.spark, fitted), fitted.stages[-1], model.model_labels(fitted)
+    keys = ["location_id", "prediction_time"]
+    walked = forest.walk_forest(test, nodes, keys, RISK_FEATURES, len(labels), classifier.getNumTrees, classifier.getMaxDepth())
+    both = model.class_probabilities(fitted, test).select(*keys, "probabilities").join(walked, keys, "full")
+    far = F.exists(F.zip_with("probabilities", "walked", lambda a, b: F.abs(a - b)), lambda x: x > 1e-9)
+    rows = both.agg(F.count_if(F.coalesce(far, F.lit(True))).alias("differing_rows"))
+    weights = [(name, float(w)) for name, w in zip(RISK_FEATURES, classifier.featureImportances.toArray())]
+    known = s.spark.createDataFrame(weights, "feature string, weight double")
+    own = known.join(forest.node_importances(nodes, RISK_FEATURES), "feature", "left")
+    apart = F.abs(F.col("weight") - F.coalesce("importance", F.lit(0.0))) > 1e-9
+    counted = own.agg(F.count_if(apart).alias("differing_importances"))
+    measures = rows.select(F.lit("rows").alias("of"), F.col("differing_rows").alias("differing"))
+    return measures.unionByName(counted.select(F.lit("importances").alias("of"), F.col("differing_importances").alias("differing")))
+
+
 @query
 def overview(s):
     """All parts of the overview page as lines: part, name, text, number."""
@@ -862,6 +881,13 @@ def stream_alarms(s):
     return _to_files(s, stateful.stream_alarms(rows, "2 days", "0 seconds"), "stream-alarms")
 
 
+@query
+def stream_episodes(s):
+    """Alarm episodes of the alert stream that are over."""
+    rows = derive_alerts(_stream(s), F.col("ingestion_time"))
+    return _to_files(s, stream_aggregates.stream_episodes(rows, "2 days", "0 seconds"), "stream-episodes")
+
+
 @query
 def stream_features(s):
     rows = stream_aggregates.stream_features(_stream(s), PARAMETERS, FEATURE_SPAN, watermark="0 seconds", suffix="12h", tie="reading_id")

