@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.functions.ids import global_sensor_id
-from gaugeflow.functions.rules import enabled, quality_status
+from gaugeflow.functions.rules import quality_status
 from gaugeflow.functions.sizes import broadcast_if_few
 from gaugeflow.functions.times import given_or_now, month_bucket
 
@@ -23,6 +23,12 @@ RULE_FIELDS = (
     "rate_change_scale",
 )
 
+#: Columns of an enriched reading, in order.
+ENRICHED = (
+    *("sensor_id", "cluster_id", "local_sensor_id", "sensor_type", "event_time", "parameter", "display_name", "value", "unit"),
+    *("quality_status", "rule_enabled", *RULE_FIELDS, "ingestion_time", "bucket_date", "bucket_month", "bucket_year"),
+)
+
 
 def sensor_metadata(configs: DataFrame) -> DataFrame:
     return configs.select(
@@ -35,14 +41,8 @@ def sensor_metadata(configs: DataFrame) -> DataFrame:
 
 
 def parameter_rules(rules: DataFrame) -> DataFrame:
-    catalogue = rules.select(
-        F.col("parameter").alias("rule_parameter"),
-        "display_name",
-        F.col("unit").alias("rule_unit"),
-        *RULE_FIELDS,
-        "enabled",
-    )
-    return broadcast_if_few(catalogue)
+    """``(parameter, rule)``: the catalogue with each rule as one column."""
+    return broadcast_if_few(rules.select("parameter", F.struct("display_name", "unit", "enabled", *RULE_FIELDS).alias("rule")))
 
 
 def enrich_readings(
@@ -53,28 +53,27 @@ def enrich_readings(
     Unregistered sensors drop out (inner join); a parameter without a rule stays, unconfigured.
     ``keep`` carries further input columns through, for example a reading id used as a tie-break.
     """
-    registered = valid.join(metadata, "sensor_id").withColumn("parameter", F.coalesce("parameter", "sensor_type"))
-    ruled = registered.join(rules, F.col("parameter") == F.col("rule_parameter"), "left")
-    complete = ruled.dropna(subset=["cluster_id", "parameter"]).withColumn("rule_enabled", F.col("enabled"))
-    return complete.select(
-        *keep,
-        "sensor_id",
-        "cluster_id",
-        "local_sensor_id",
-        "sensor_type",
-        "event_time",
-        "parameter",
-        F.coalesce("display_name", "parameter").alias("display_name"),
-        "value",
-        F.coalesce("unit", "rule_unit").alias("unit"),
-        quality_status().alias("quality_status"),
-        enabled().alias("rule_enabled"),
-        *RULE_FIELDS,
-        given_or_now(ingestion_time).alias("ingestion_time"),
-        F.to_date("event_time").alias("bucket_date"),
-        month_bucket(F.col("event_time")).alias("bucket_month"),
-        F.year("event_time").alias("bucket_year"),
+    known = valid.join(metadata, "sensor_id").filter("cluster_id IS NOT NULL")
+    named = known.withColumn("parameter", F.coalesce("parameter", "sensor_type")).filter("parameter IS NOT NULL")
+    rule, moment = F.col("rule"), F.col("event_time")
+    judged = named.join(rules, "parameter", "left").withColumns(
+        {
+            **{bound: rule[bound] for bound in RULE_FIELDS},
+            "rule_enabled": F.coalesce(rule["enabled"], F.lit(False)),
+            "display_name": F.coalesce(rule["display_name"], "parameter"),
+            "unit": F.coalesce("unit", rule["unit"]),
+        }
+    )
+    dated = judged.withColumns(
+        {
+            "quality_status": quality_status(),
+            "ingestion_time": given_or_now(ingestion_time),
+            "bucket_date": F.to_date(moment),
+            "bucket_month": month_bucket(moment),
+            "bucket_year": F.year(moment),
+        }
     )
+    return dated.select(*keep, *ENRICHED)
 
 
 def unknown_sensors(readings: DataFrame, metadata: DataFrame) -> DataFrame:
