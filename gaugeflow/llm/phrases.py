@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from gaugeflow.llm.common import append_columns, sliced, stored, utf8
+from gaugeflow.llm.common import append_columns, reads_files_only, sliced, stored, utf8
 
 WINDOW = 35
 ANCHOR = 12
@@ -274,6 +274,8 @@ def remove_repeats(
     new = ("n_words", "n_removed", "kept_text", "kept_sha256")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new and (keep is not None or c != text_col)]
     plain = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text")).withColumn("place", F.monotonically_increasing_id())
+    if not reads_files_only(docs):  # the rows must have one place in both readings
+        plain = stored(plain, "phrases-documents")
     outlines = stored(_outlines(plain, window, anchor), "phrases-outlines")
 
     copies = outlines.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("copies"))
