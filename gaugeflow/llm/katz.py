@@ -40,12 +40,12 @@ FOLDS, HELD_OUT = 7, 2
 #: Words sent to every task, the most frequent ones; others are joined.
 SHARED_WORDS = 262_144
 #: Training tokens per bucket of pairs; a first word with more than a quarter of that is dealt to several buckets.
-BUCKET_TOKENS, FEWEST_BUCKETS = 1_000_000, 12
+BUCKET_TOKENS, FEWEST_BUCKETS = 600_000, 12
 DISCOUNTED = 5
 #: What a task holds before it passes it on: words, and documents and pairs of a packed block.
-HELD_WORDS, HELD_DOCS, HELD_PAIRS = 300_000, 60_000, 1_000_000
+HELD_WORDS, HELD_DOCS, HELD_PAIRS = 200_000, 60_000, 800_000
 #: Words whose figures a scoring task remembers.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 150_000
 #: Rows of a bucket that are passed on at once.
 OUTCOME_ROWS = 20_000
 TABLE_PARTS = 16
@@ -382,6 +382,7 @@ def bucket_outcomes(packed: DataFrame, shared: Broadcast, lower: Unigrams) -> Da
             yield from _outcomes(words, single, held)
 
     path = scratch_dir(spark, "katz-outcomes")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "8")  # the few kinds are written side by side, not sorted first
     dealt = packed.repartition(shared.value.buckets, "bucket").sortWithinPartitions("bucket")
     dealt.mapInArrow(run, OUTCOME).write.partitionBy("kind").parquet(path)
     return spark.read.schema(OUTCOME).parquet(path)
