@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from gaugeflow.functions import rules as rule_fns
 from gaugeflow.functions.risk import parse_probabilities
@@ -616,14 +616,15 @@ def confusion_matrix(s):
 def _risk_rows(s: Stations) -> DataFrame:
     """Window features labelled with the next window's outcome: critical readings or not."""
     rows = features.window_features(s.enriched(), PARAMETERS, "6 hours", suffix="6h", min_readings=1, tie="reading_id")
-    coming = rows.select(
-        "location_id",
-        (F.col("prediction_time") - F.expr("INTERVAL 6 HOURS")).alias("prediction_time"),
-        F.when(F.col("max_threshold_distance") > 0, "degraded").otherwise("normal").alias("target_class"),
-    )
-    return rows.join(coming, ["location_id", "prediction_time"]).withColumn(
-        "run_id", F.concat_ws("-", "location_id", F.to_date("prediction_time").cast("string"))
-    )
+    coming = F.lead(F.struct("prediction_time", "max_threshold_distance")).over(Window.partitionBy("location_id").orderBy("prediction_time"))
+    follows = F.col("_coming.prediction_time") == F.col("prediction_time") + F.expr("INTERVAL 6 HOURS")
+    labelled = rows.withColumn("_coming", coming).filter(follows)
+    return labelled.withColumns(
+        {
+            "target_class": F.when(F.col("_coming.max_threshold_distance") > 0, "degraded").otherwise("normal"),
+            "run_id": F.concat_ws("-", "location_id", F.to_date("prediction_time").cast("string")),
+        }
+    ).drop("_coming")
 
 
 def _fitted(s: Stations):
@@ -714,6 +715,22 @@ def expired_readings(s):
     return tables.read_table(s.spark, target, "readings_by_cluster_parameter_day")
 
 
+@query
+def merged_readings(s):
+    """Five batches into the keyed table, merged in place twice, the last batch replayed after it: the newer row of a key wins."""
+    root, table, rows, k = scratch_dir(s.spark, "tables"), "readings_by_sensor_day", s.enriched(), F.col("k")
+    again = lambda least, status, hours: rows.filter(F.col("quality_status") == "alert").filter(k >= least).withColumns(
+        {"quality_status": F.lit(status), "ingestion_time": F.col("ingestion_time") + F.make_dt_interval(hours=F.lit(hours))}
+    )
+    batches = [rows.filter(k < 50), rows.filter(k >= 50), again(0, "reviewed", 1), again(40, "confirmed", 2), again(80, "closed", 3)]
+    for number, batch in enumerate(batches):
+        tables.append_batch(batch, root, table, number)
+        if number in (2, 4):
+            tables.merge_table(s.spark, root, table, number - 1, as_of=EXPIRY_AS_OF)
+    tables.append_batch(batches[4], root, table, 4)
+    return tables.read_table(s.spark, root, table, EXPIRY_AS_OF)
+
+
 @query
 def alert_tables(s):
     """Alerts through both of their tables."""

@@ -796,6 +796,14 @@ _add(
   {_r("value")}, unit, quality_status, {_t("ingestion_time")} AS ingestion_time FROM enriched
   WHERE event_time > TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY""",
 )
+_HOURS = "CASE WHEN quality_status <> 'alert' THEN 0 WHEN k >= 80 THEN 3 WHEN k >= 40 THEN 2 ELSE 1 END"
+_add(
+    "merged_readings",
+    f"""SELECT sensor_id, {_d("bucket_date")} AS bucket_date, {_t("event_time")} AS event_time, cluster_id, local_sensor_id, parameter,
+  {_r("value")}, unit, CASE {_HOURS} WHEN 0 THEN quality_status WHEN 1 THEN 'reviewed' WHEN 2 THEN 'confirmed' ELSE 'closed' END AS quality_status,
+  {_t(f"ingestion_time + to_hours({_HOURS})")} AS ingestion_time FROM enriched
+  WHERE event_time > TIMESTAMP '2024-04-15 00:00:00' - INTERVAL 90 DAY""",
+)
 _STORED_PREDICTION = _PREDICTION_VIEW.split(" AS explanation,")[0] + " AS explanation"
 _add(
     "prediction_tables",

@@ -2,12 +2,13 @@
 
 A write to an existing key replaces it, as in a keyed store. Each batch goes to its own
 ``batch_id=<n>`` folder and a replayed batch overwrites exactly that folder, so a failed or repeated
-micro-batch can neither lose nor double rows. ``read_table`` resolves keys; ``compact_table`` writes
-the resolved rows to a new table.
+micro-batch can neither lose nor double rows. ``read_table`` resolves keys; ``merge_table`` keeps the number
+of files of a live table in bounds and ``compact_table`` writes the resolved rows to a new table.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
@@ -55,6 +56,63 @@ def compact_table(spark: SparkSession, root: str, table: str, target_root: str,
     append_batch(read_table(spark, root, table, as_of), target_root, table, 0)
 
 
+def _hadoop_path(spark: SparkSession, uri: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+
+
+def _files_by_partition(spark: SparkSession, root: str, table: str) -> dict[str, dict[int, list[str]]]:
+    """File addresses of a table by partition (its folder below the batch's) and batch; names only, nothing is read."""
+    found: dict[str, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for uri in stored_rows(spark, root, table).inputFiles():
+        batch, _, below = uri.rpartition("/batch_id=")[2].partition("/")
+        found[below.rpartition("/")[0]][int(batch)].append(uri)
+    return found
+
+
+def merge_table(spark: SparkSession, root: str, table: str, upto: int, least: int = 2, as_of=None) -> int:
+    """Merge, in place, the partitions that ``least`` or more of the batches up to ``upto`` wrote to; how many.
+
+    Only those partitions are read. Their current rows (with ``as_of`` without the expired ones) are written aside, moved into
+    batch ``upto`` file by file, and only then the files they came from are deleted. A row that is stored twice
+    meanwhile, or after a crash, is resolved by its key like any other, so the table reads the same at every moment, and the next
+    merge clears what is left. Batches up to ``upto`` must be over: a batch that can be replayed would replace its folder. One
+    merge at a time per table; a query that listed the files before they were merged may have to be run again.
+    """
+    spec = TABLES[table]
+    merged = {}
+    for partition, batches in _files_by_partition(spark, root, table).items():
+        closed = {batch: files for batch, files in batches.items() if batch <= upto}
+        if len(closed) >= least:
+            merged[partition] = closed
+    if not merged:
+        return 0
+    place, aside = f"{root}/{table}", f"{root}/_merging/{table}"
+    folders = [str(_hadoop_path(spark, files[0]).getParent()) for closed in merged.values() for files in closed.values()]
+    schema = T.StructType([*spec.schema.fields, T.StructField("batch_id", T.LongType())])
+    stored = spark.read.schema(schema).option("basePath", place).parquet(*folders)
+    if as_of is not None and spec.ttl_seconds is not None:
+        stored = retain(stored, spec.time_column, spec.ttl_seconds, as_of)
+    rows = latest_per_key(stored.select(*spec.columns, "batch_id"), spec.keys, [*spec.version, "batch_id"]).drop("batch_id")
+    rows = rows.hint("rebalance", *spec.partition_by) if spec.partition_by else rows
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*spec.partition_by).parquet(aside)
+    start = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    files = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    for uri in spark.read.schema(spec.schema).option("basePath", aside).parquet(aside).inputFiles():
+        source = _hadoop_path(spark, uri)
+        below = source.toString().rpartition(f"/_merging/{table}/")[2]
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/batch_id={upto}/{below}")
+        files.mkdirs(target.getParent())
+        if not files.rename(source, target):
+            raise OSError(f"could not move {source} to {target}")
+    for closed in merged.values():
+        for batch, uris in closed.items():
+            gone = [_hadoop_path(spark, uri) for uri in uris]
+            for path in gone if batch == upto else [gone[0].getParent()]:
+                files.delete(path, True)
+    files.delete(start, True)
+    return len(merged)
+
+
 def drop_days(spark: SparkSession, root: str, before: date, column: str = "day") -> int:
     """Delete the folders ``column=<day>`` under the batches of ``root`` whose day is over; how many.
 

@@ -18,7 +18,7 @@ from gaugeflow.operators.latest import latest_per_key, latest_readings, latest_s
 from gaugeflow.operators.model import predict_risk
 from gaugeflow.session import ROCKSDB_PROVIDER
 from gaugeflow.sources.readings import alert_file_writer, alert_topic_writer
-from gaugeflow.sources.tables import BatchWriter, append_batch, drop_days, project, stored_rows
+from gaugeflow.sources.tables import BatchWriter, append_batch, drop_days, merge_table, project, stored_rows
 from gaugeflow.streaming.aggregates import stream_daily, stream_episodes, stream_features, stream_hourly
 from gaugeflow.streaming.stateful import late_rows, on_time_scores, recent_values, stream_alarms, stream_cooldown, stream_rolling
 
@@ -107,6 +107,20 @@ def table_writer(root: str, table: str) -> BatchWriter:
     return lambda batch, batch_id: append_batch(batch, root, table, batch_id)
 
 
+def upkeep_writer(root: str, tables: Sequence[str], every: int) -> BatchWriter:
+    """Merges, after every so many batches, what earlier batches left of ``tables``; put it after their writers.
+
+    The batch just written is left alone, as it may be replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % every == 0:
+            for table in tables:
+                merge_table(batch.sparkSession, root, table, batch_id - 1)
+
+    return write
+
+
 def prediction_writer(root: str, model: PipelineModel, **options) -> BatchWriter:
     def write(batch: DataFrame, batch_id: int) -> None:
         history = predict_risk(model, batch, **options)
@@ -178,6 +192,7 @@ def start_pipeline(
     quiet: str | None = None,
     history: DataFrame | None = None,
     trailing: bool = False,
+    merge_every: int | None = 20,
 ) -> list[StreamingQuery]:
     """Every table from one enriched reading stream.
 
@@ -190,23 +205,32 @@ def start_pipeline(
     Alerts leave through ``broker`` (servers, topic), or as JSON files under ``alert_messages`` without one. With
     ``cooldown_seconds`` the alerts that may be notified go to ``notified_alerts``, with ``quiet`` the state changes of
     alarms to ``alarm_changes`` and their episodes to ``alarm_episodes`` when they are over, all as parquet files.
+
+    Every ``merge_every`` batches of a query the files of its keyed tables are merged (None: never), so that reads do not slow down.
     """
+
+    def kept(*tables: str) -> list[BatchWriter]:
+        return [upkeep_writer(root, tables, merge_every)] if merge_every else []
+
     use_rocksdb(enriched.sparkSession)
-    scores = rolled_writer(root, fan_out(score_writer(root, tie), metrics_writer(root), skip_empty=False))
+    scored_tables = kept("ai_scores_by_sensor_day", "latest_ai_scores_by_cluster", "pipeline_metrics_by_cluster_minute")
+    scores = rolled_writer(root, fan_out(score_writer(root, tie), metrics_writer(root), *scored_tables, skip_empty=False))
+    reading_tables = kept("readings_by_sensor_day", "readings_by_cluster_parameter_day", "latest_readings_by_cluster")
+    alert_tables = kept("alerts_by_sensor_day", "alerts_by_cluster_day")
     order = ("event_time", *tie)
     before = None if history is None else recent_values(history, order=order)
     rolled = stream_rolling(enriched, order=order, watermark=watermark, initial=before)
     alerts = derive_alerts(enriched)
     where = {"checkpoint_root": checkpoint_root, "drain": drain}
     queries = [
-        start(enriched, fan_out(reading_writer(root, tie), alert_writer(root)), "readings_and_alerts", **where),
+        start(enriched, fan_out(reading_writer(root, tie), alert_writer(root), *reading_tables, *alert_tables), "readings_and_alerts", **where),
         start(
             stream_hourly(enriched, watermark, tie=tie),
-            fan_out(table_writer(root, "readings_hourly_by_cluster_parameter")), "hourly", mode="update", **where,
+            fan_out(table_writer(root, "readings_hourly_by_cluster_parameter"), *kept("readings_hourly_by_cluster_parameter")), "hourly", mode="update", **where,
         ),
         start(
             stream_daily(enriched, watermark, tie=tie),
-            fan_out(table_writer(root, "readings_daily_by_cluster_parameter")), "daily", mode="update", **where,
+            fan_out(table_writer(root, "readings_daily_by_cluster_parameter"), *kept("readings_daily_by_cluster_parameter")), "daily", mode="update", **where,
         ),
         start(rolled, fan_out(scores, skip_empty=False), "scores", **where),
     ]
@@ -231,7 +255,8 @@ def start_pipeline(
             rows, writer = enriched, trailing_feature_writer(f"{checkpoint_root}/predictions-readings", prediction_writer(root, model), **order, **(features or {}))
         else:
             rows, writer = stream_features(enriched, watermark=watermark, **(features or {})), prediction_writer(root, model)
-        queries.append(start(rows, fan_out(writer), "predictions", **where))
+        predicted = kept("ml_predictions_by_location_minute", "latest_ml_predictions_by_location")
+        queries.append(start(rows, fan_out(writer, *predicted), "predictions", **where))
     return queries
 
 

@@ -168,3 +168,68 @@ def test_expired_days_of_a_live_table_go_in_place(spark, tmp_path):
     left = sorted(r["event_time"] for r in tables.read_table(spark, str(tmp_path), table).collect())
     assert left == [start + timedelta(days=2), start + timedelta(days=3)]
     assert tables.expire_table(spark, str(tmp_path), table, moment) == 0
+
+
+def _table_files(spark, root, table):
+    return sorted(tables.stored_rows(spark, root, table).inputFiles())
+
+
+def _reading_batches(enrich, count):
+    for number in range(count):
+        rows = [(f"C1S00{i}", "pH", 7.0 + number / 10, f"2026-06-0{1 + (number + i) % 3}T12:00:{number % 4:02d}Z") for i in range(3)]
+        yield enrich(rows).withColumn("ingestion_time", F.timestamp_seconds(F.lit(1_780_000_000 + number)))
+
+
+@pytest.mark.parametrize("table", ["readings_by_sensor_day", "readings_by_cluster_parameter_day", "latest_readings_by_cluster"])
+def test_files_of_a_live_table_stay_few_and_replays_change_nothing(spark, tmp_path, enrich, table):
+    from gaugeflow.streaming.runtime import upkeep_writer
+
+    plain, kept, folders = str(tmp_path / "plain"), str(tmp_path / "kept"), []
+    for number, batch in enumerate(_reading_batches(enrich, 13)):
+        batch = latest.latest_readings(batch) if table.startswith("latest") else batch
+        tables.append_batch(batch, plain, table, number)
+        for _ in range(2 if number % 3 == 0 else 1):  # a batch that merges is replayed
+            tables.append_batch(batch, kept, table, number)
+            upkeep_writer(kept, [table], 3)(batch, number)
+        folders.append(len({f.rpartition("/")[0] for f in _table_files(spark, kept, table)}))
+    expected = sorted(map(repr, tables.read_table(spark, plain, table).collect()))
+    assert sorted(map(repr, tables.read_table(spark, kept, table).collect())) == expected
+    assert max(folders[9:]) <= max(folders[3:6]) and folders[12] < len({f.rpartition("/")[0] for f in _table_files(spark, plain, table)})
+    assert tables.merge_table(spark, kept, table, 12) and not tables.merge_table(spark, kept, table, 12)
+    assert sorted(map(repr, tables.read_table(spark, kept, table).collect())) == expected
+
+
+def test_a_merge_that_breaks_off_leaves_the_same_rows(spark, tmp_path, enrich):
+    import shutil
+
+    table, root = "readings_by_sensor_day", str(tmp_path / "t")
+    for number, batch in enumerate(_reading_batches(enrich, 6)):
+        tables.append_batch(batch, root, table, number)
+    before, old = sorted(map(repr, tables.read_table(spark, root, table).collect())), _table_files(spark, root, table)
+    shutil.copytree(f"{root}/{table}", tmp_path / "copy")
+    assert tables.merge_table(spark, root, table, 4) == 3
+    new = [f for f in _table_files(spark, root, table) if f not in old]
+    for path in new[1:]:  # only the first merged file had arrived when the driver was lost, nothing was deleted
+        part = path.rpartition("/batch_id=")[2]
+        assert (tmp_path / "t" / table / f"batch_id={part}").exists()
+    first = new[0].rpartition("/batch_id=")[2]
+    target = tmp_path / "copy" / f"batch_id={first}"
+    target.parent.mkdir(parents=True, exist_ok=True)
+    shutil.copy(tmp_path / "t" / table / f"batch_id={first}", target)
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    shutil.copytree(tmp_path / "copy", broken / table)
+    assert sorted(map(repr, tables.read_table(spark, str(broken), table).collect())) == before
+    assert tables.merge_table(spark, str(broken), table, 4)
+    assert sorted(map(repr, tables.read_table(spark, str(broken), table).collect())) == before
+
+
+def test_merging_drops_expired_rows_and_leaves_open_batches(spark, tmp_path, enrich):
+    table, root = "readings_by_sensor_day", str(tmp_path)
+    for number, batch in enumerate(_reading_batches(enrich, 4)):
+        tables.append_batch(batch, root, table, number)
+    rows = tables.read_table(spark, root, table).count()
+    assert tables.merge_table(spark, root, table, 0) == 0
+    assert tables.merge_table(spark, root, table, 2, as_of="2027-06-07T00:00:00Z") == 3
+    stored = tables.stored_rows(spark, root, table)
+    assert {r.batch_id for r in stored.select("batch_id").distinct().collect()} == {3} and 0 < stored.count() < rows
