@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugeflow.constants import COOLDOWN_SECONDS
 from gaugeflow.functions.times import interval_micros
@@ -77,6 +77,20 @@ def emitted_moments(pointers: DataFrame, keys: Sequence[str]) -> DataFrame:
     raise RuntimeError("walks longer than 2 ** 64 steps")
 
 
+def key_slots(keys: Sequence[str]) -> dict[str, Column]:
+    """The keys as columns of their own in which a missing key has a name."""
+    unnamed = {"sensor_id": "unknown-sensor", "alert_type": "unknown-alert"}
+    return {f"_key{i}": F.coalesce(k, F.lit(unnamed.get(k, ""))) for i, k in enumerate(keys)}
+
+
+def not_held(alerts: DataFrame, sent: DataFrame, seconds: int, keys: Sequence[str], time_col: str = "event_time") -> DataFrame:
+    """Alerts at least a cooldown after the newest of their key in ``sent``, the alerts that were let through before."""
+    slots = key_slots(keys)
+    newest = sent.groupBy(*[c.alias(n) for n, c in slots.items()]).agg(F.max(time_col).alias("_last"))
+    free = F.col("_last").isNull() | (F.col(time_col) >= F.col("_last") + F.make_dt_interval(secs=F.lit(seconds)))
+    return alerts.withColumns(slots).join(newest, [*slots], "left").filter(free).select(*alerts.columns)
+
+
 def apply_cooldown(
     alerts: DataFrame,
     seconds: int = COOLDOWN_SECONDS,
@@ -93,8 +107,7 @@ def apply_cooldown(
     """
     if seconds <= 0:
         return alerts
-    unnamed = {"sensor_id": "unknown-sensor", "alert_type": "unknown-alert"}
-    slots = {f"_key{i}": F.coalesce(k, F.lit(unnamed.get(k, ""))) for i, k in enumerate(keys)}
+    slots = key_slots(keys)
     given = _kept(alerts.withColumns({**slots, "_at": F.unix_micros(time_col)}), "cooldown-alerts")
     chunk = chunk or suggest_chunk(given, [*slots], time_col)
     nodes = given.filter("_at IS NOT NULL").groupBy(*slots, F.col("_at").alias("at")).agg(F.min(tie).alias("_tie"))

@@ -885,11 +885,22 @@ def stream_metrics(s):
     return tables.read_table(s.spark, root, "pipeline_metrics_by_cluster_minute")
 
 
+def _ten_days_each(s: Stations, name: str) -> DataFrame:
+    """The enriched events of the month as three micro-batches of ten days."""
+    events, day = s.table("events"), F.date_format("ts", "yyyy-MM-dd")
+    part = F.when(day < "2024-01-11", 1).when(day < "2024-01-21", 2).otherwise(3)
+    return s.enrich(readings_from(_stream_of_parts(s, [events.filter(part == i) for i in (1, 2, 3)], name)))
+
+
 @query
 def stream_cooldown(s):
-    rows = derive_alerts(_stream(s), F.col("ingestion_time"))
+    """Alerts let through over three micro-batches; what a batch let through holds back the next one's."""
+    rows = derive_alerts(_ten_days_each(s, "days"), F.col("ingestion_time"))
     narrow = rows.select("sensor_id", "alert_type", "event_time", "alert_id", "value")
-    return _to_files(s, stateful.stream_cooldown(narrow, LONG_COOLDOWN), "stream-cooldown")
+    root = scratch_dir(s.spark, "stream-cooldown")
+    writer = runtime.fan_out(runtime.cooldown_writer(f"{root}/sent", LONG_COOLDOWN))
+    runtime.start(narrow, writer, "cooldown", f"{root}/checkpoints", drain=True).awaitTermination()
+    return runtime.sent_alerts(s.spark, f"{root}/sent", narrow.schema).select(*narrow.columns)
 
 
 @query
@@ -914,9 +925,7 @@ def stream_features(s):
 @query
 def stream_trailing_features(s):
     """Features of the day before each micro-batch's newest reading; three batches, ten days each."""
-    events, day = s.table("events"), F.date_format("ts", "yyyy-MM-dd")
-    part = F.when(day < "2024-01-11", 1).when(day < "2024-01-21", 2).otherwise(3)
-    stream = s.enrich(readings_from(_stream_of_parts(s, [events.filter(part == i) for i in (1, 2, 3)], "days")))
+    stream = _ten_days_each(s, "days")
     root = scratch_dir(s.spark, "trailing")
     rows = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{root}/features/batch_id={batch_id}")
     writer = runtime.trailing_feature_writer(f"{root}/readings", rows, PARAMETERS, "24 hours", suffix="24h", tie="reading_id")

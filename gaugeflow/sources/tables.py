@@ -60,6 +60,11 @@ def _hadoop_path(spark: SparkSession, uri: str):
     return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def _files_by_partition(spark: SparkSession, root: str, table: str) -> dict[str, dict[int, list[str]]]:
     """File addresses of a table by partition (its folder below the batch's) and batch; names only, nothing is read."""
     found: dict[str, dict[int, list[str]]] = defaultdict(lambda: defaultdict(list))

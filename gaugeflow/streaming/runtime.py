@@ -6,21 +6,22 @@ from collections.abc import Sequence
 from datetime import timedelta
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeflow.constants import FEATURE_WINDOW, PARAMETERS
+from gaugeflow.constants import COOLDOWN_SECONDS, FEATURE_WINDOW, PARAMETERS
 from gaugeflow.functions.times import interval, interval_micros
 from gaugeflow.operators.aggregates import pipeline_metrics
 from gaugeflow.operators.alerts import alert_messages, derive_alerts
+from gaugeflow.operators.cooldown import apply_cooldown, not_held
 from gaugeflow.operators.features import RULE_BOUNDS, features_at
 from gaugeflow.operators.latest import latest_per_key, latest_readings, latest_scores
 from gaugeflow.operators.model import predict_risk
 from gaugeflow.session import ROCKSDB_PROVIDER
 from gaugeflow.sources.readings import alert_file_writer, alert_topic_writer
-from gaugeflow.sources.tables import BatchWriter, append_batch, drop_days, merge_table, project, stored_rows
+from gaugeflow.sources.tables import BatchWriter, append_batch, drop_days, folder_exists, merge_table, project, stored_rows
 from gaugeflow.streaming.aggregates import stream_daily, stream_episodes, stream_features, stream_hourly
-from gaugeflow.streaming.stateful import late_rows, on_time_scores, recent_values, stream_alarms, stream_cooldown, stream_rolling
+from gaugeflow.streaming.stateful import late_rows, on_time_scores, recent_values, stream_alarms, stream_rolling
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -107,6 +108,34 @@ def table_writer(root: str, table: str) -> BatchWriter:
     return lambda batch, batch_id: append_batch(batch, root, table, batch_id)
 
 
+def sent_alerts(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """What ``cooldown_writer`` let through, with the ``day`` and ``batch_id`` of its folder; ``schema`` is that of the alerts."""
+    stored = T.StructType([*schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(stored).option("basePath", root).parquet(root) if folder_exists(spark, root) else spark.createDataFrame([], stored)
+
+
+def cooldown_writer(
+    root: str, seconds: int = COOLDOWN_SECONDS, keys: Sequence[str] = ("sensor_id", "alert_type"), tie: str = "alert_id"
+) -> BatchWriter:
+    """Alerts that the cooldown lets through, as files under ``root`` by batch and day; equal to the batch form if alerts come in event order.
+
+    The files are all the state there is: a batch reads, of earlier batches, the days that a cooldown before its first alert
+    reaches, and leaves out what these hold back. The rest is the batch operator's, which spreads a crowded key over tasks.
+    A replayed batch overwrites its own files and sees the same earlier ones. Alerts without a time are not let through.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, first, alerts = batch.sparkSession, batch.agg(F.min("event_time")).first()[0], batch
+        if first is not None and seconds > 0:
+            since = F.lit(first) - F.make_dt_interval(secs=F.lit(seconds))
+            sent = sent_alerts(spark, root, batch.schema).filter(F.col("batch_id") < batch_id)
+            alerts = not_held(batch, sent.filter((F.col("day") >= F.to_date(since)) & (F.col("event_time") > since)), seconds, keys)
+        passed = apply_cooldown(alerts, seconds, keys, tie=tie)
+        passed.withColumn("day", F.to_date("event_time")).write.mode("overwrite").partitionBy("day").parquet(f"{root}/batch_id={batch_id}")
+
+    return write
+
+
 def upkeep_writer(root: str, tables: Sequence[str], every: int) -> BatchWriter:
     """Merges, after every so many batches, what earlier batches left of ``tables``; put it after their writers.
 
@@ -242,7 +271,7 @@ def start_pipeline(
     queries.append((sink.trigger(availableNow=True) if drain else sink).start())
     changes = {}
     if cooldown_seconds is not None:
-        changes["notified_alerts"] = stream_cooldown(alerts, cooldown_seconds)
+        queries.append(start(alerts, fan_out(cooldown_writer(f"{root}/notified_alerts", cooldown_seconds)), "notified_alerts", **where))
     if quiet is not None:
         changes["alarm_changes"] = stream_alarms(alerts, quiet, watermark)
         changes["alarm_episodes"] = stream_episodes(alerts, quiet, watermark)

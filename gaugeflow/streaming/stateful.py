@@ -14,12 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from gaugeflow.constants import COOLDOWN_SECONDS, RECENT_INTERVAL, WATERMARK
+from gaugeflow.constants import RECENT_INTERVAL, WATERMARK
 from gaugeflow.functions.times import interval_micros
 from gaugeflow.operators.scoring import score_components
 
-MICROS = 1_000_000
-
 
 def _micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy().astype("datetime64[us]").astype("int64")
@@ -157,48 +155,6 @@ def stream_scores(
     return on_time_scores(stream_rolling(enriched, window_rows, order, watermark, initial), computed_at)
 
 
-class Cooldown(StatefulProcessor):
-    """Remembers, per key, until when alerts are held back."""
-
-    def __init__(self, seconds: int, order: list[str]):
-        self.cooldown, self.order = seconds * MICROS, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.free_at = handle.getValueState("free_at", "at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, ignore_index=True)
-        times = _micros(batch["event_time"])
-        at = int(np.searchsorted(times, self.free_at.get()[0], side="left")) if self.free_at.exists() else 0
-        kept = []
-        while at < len(times):
-            kept.append(at)
-            at = int(np.searchsorted(times, times[at] + self.cooldown, side="left"))
-        if kept:
-            self.free_at.update((int(times[kept[-1]]) + self.cooldown,))
-            yield batch.iloc[kept]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_cooldown(
-    alerts: DataFrame,
-    seconds: int = COOLDOWN_SECONDS,
-    keys: tuple[str, ...] = ("sensor_id", "alert_type"),
-    tie: str = "alert_id",
-) -> DataFrame:
-    """Alerts the cooldown lets through; equal to the batch form when alerts arrive in event order.
-
-    Without a cooldown (0 or less) every alert passes.
-    """
-    if seconds <= 0:
-        return alerts
-    return alerts.groupBy(*keys).transformWithStateInPandas(
-        Cooldown(seconds, ["event_time", tie]), alerts.schema, "Append", "None"
-    )
-
-
 class AlarmEpisodes(StatefulProcessor):
     """Opens an alarm on the first alert and resolves it when none followed for a while."""
 

@@ -7,7 +7,7 @@ from gaugeflow.operators.cooldown import apply_cooldown
 from gaugeflow.plans.catalogue import registered
 from gaugeflow.plans.stations import Stations
 from gaugeflow.sources import tables
-from gaugeflow.streaming import runtime, stateful
+from gaugeflow.streaming import runtime
 
 SF_DIR = "/root/testdata/sf0.001"
 BATCH_TWIN = {
@@ -76,8 +76,7 @@ def test_without_a_cooldown_every_alert_passes(spark, tmp_path, seconds):
     alerts = alerts.withColumn("event_time", F.timestamp_seconds("at")).drop("at")
     assert apply_cooldown(alerts, seconds).count() == 6
     alerts.write.parquet(str(tmp_path / "in"))
-    stream = stateful.stream_cooldown(spark.readStream.schema(alerts.schema).parquet(str(tmp_path / "in")), seconds)
-    runtime.use_rocksdb(spark)
-    sink = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
-    sink.trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+    stream = spark.readStream.schema(alerts.schema).parquet(str(tmp_path / "in"))
+    writer = runtime.cooldown_writer(str(tmp_path / "out"), seconds)
+    runtime.start(stream, writer, "all", str(tmp_path / "c"), drain=True).awaitTermination()
+    assert runtime.sent_alerts(spark, str(tmp_path / "out"), alerts.schema).count() == 6

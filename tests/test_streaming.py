@@ -150,9 +150,31 @@ def test_repeats_over_batches_come_once(spark, rows, tmp_path):
 
 def test_cooldown_carries_over(spark, rows, stream, tmp_path):
     columns = ("sensor_id", "alert_type", "event_time", "alert_id")
-    out = stateful.stream_cooldown(derive_alerts(stream, F.col("ingestion_time")).select(*columns), 600)
+    alerts, seen = derive_alerts(stream, F.col("ingestion_time")).select(*columns), []
+    writer = runtime.cooldown_writer(f"{tmp_path}/sent", 600)
+
+    def twice(batch, batch_id):  # a replayed batch changes nothing
+        writer(batch, batch_id)
+        writer(batch, batch_id)
+        seen.append(batch_id)
+
+    runtime.start(alerts, runtime.fan_out(twice), "cooldown", f"{tmp_path}/cp", drain=True).awaitTermination()
     want = apply_cooldown(derive_alerts(rows, F.col("ingestion_time")).select(*columns), 600)
-    assert as_set(drained(spark, out, tmp_path), *columns) == as_set(want, *columns)
+    assert len(seen) == 4
+    assert as_set(runtime.sent_alerts(spark, f"{tmp_path}/sent", alerts.schema), *columns) == as_set(want, *columns)
+
+
+def test_cooldown_of_batches_with_missing_keys_and_times(spark, tmp_path):
+    schema = "sensor_id string, alert_type string, event_time timestamp, alert_id string"
+    at = lambda minute: F.timestamp_seconds(F.lit(START // 1_000_000 + 60 * minute))
+    frame = lambda *rows: spark.createDataFrame(rows, "sensor_id string, alert_type string, m int, alert_id string").withColumn("event_time", at(0) + F.make_dt_interval(mins="m")).select("sensor_id", "alert_type", "event_time", "alert_id")
+    write = runtime.cooldown_writer(str(tmp_path / "sent"), 600)
+    write(frame(("a", "LOW", None, "untimed")), 0)
+    write(frame((None, "LOW", 0, "1"), ("a", "LOW", 0, "2"), ("a", None, 5, "3")), 1)
+    write(frame((None, "LOW", 9, "held"), ("a", "LOW", 10, "4"), ("a", "LOW", 10, "5"), ("a", None, 14, "held"), ("b", "LOW", 1, "6")), 2)
+    write(frame((None, "LOW", 10, "7"), ("a", "LOW", 19, "held")), 3)
+    sent = runtime.sent_alerts(spark, str(tmp_path / "sent"), spark.createDataFrame([], schema).schema)
+    assert sorted(r.alert_id for r in sent.collect()) == ["1", "2", "3", "4", "6", "7"]
 
 
 HOURLY = ("cluster_id", "parameter", "unit", "window_start", "reading_count", "avg_value", "min_value", "max_value", "last_value")
