@@ -1,6 +1,6 @@
-"""State kept per key across micro-batches: rolling rows, cooldown and alarm episodes.
+"""State kept per key across micro-batches: rolling rows and alarm episodes.
 
-These three depend on the order of single events, which no built-in streaming aggregate expresses.
+Both depend on the order of single events, which no built-in streaming aggregate expresses.
 State is bounded: a few rows or numbers per key, plus the rows the watermark still holds back. It lives in Spark's state
 store; timers release what the watermark has passed.
 """
