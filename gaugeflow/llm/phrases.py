@@ -39,7 +39,7 @@ ANCHOR = 12
 CHUNK = (WINDOW + 1) // 2
 SHARD_PASSAGES = 4_000
 #: Documents that share an anchor, from which on its windows are dealt out one by one.
-CROWDED = 20_000
+CROWDED = SHARD_PASSAGES // 2
 KNOWN_WORDS = 300_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
