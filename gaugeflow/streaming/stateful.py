@@ -1,8 +1,9 @@
-"""State kept per key across micro-batches: rolling rows and alarm episodes.
+"""State kept across micro-batches: rolling rows and alarm episodes.
 
-Both depend on the order of single events, which no built-in streaming aggregate expresses.
+Both depend on the order of single events, which no built-in streaming aggregate expresses. Keys share their state by
+``BUCKETS`` hash buckets, so that a call of the state store and of pandas serves all keys of a bucket, not one.
 State is bounded: a few rows or numbers per key, plus the rows the watermark still holds back. It lives in Spark's state
-store; timers release what the watermark has passed.
+store, rows as Arrow batches; one timer per bucket releases what the watermark has passed.
 """
 
 from __future__ import annotations
@@ -11,93 +12,158 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gaugeflow.constants import RECENT_INTERVAL, WATERMARK
 from gaugeflow.functions.times import interval_micros
 from gaugeflow.operators.scoring import score_components
 
+#: Buckets of keys; a checkpoint is bound to their number. The rows of a bucket that the watermark holds back go to one task.
+BUCKETS = 1_024
+#: Rows of one entry of a state list.
+ROWS_PER_ENTRY = 10_000
+
+
+def _bucket(buckets: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
 
 def _micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy().astype("datetime64[us]").astype("int64")
 
 
-class RollingRows(StatefulProcessor):
-    """Holds rows until the watermark passes them, then emits them in event order with statistics.
+def _packed(frame: pd.DataFrame) -> list[tuple[bytes]]:
+    """Entries of a state list that hold the rows as Arrow batches."""
+    table, entries = pa.Table.from_pandas(frame, preserve_index=False).replace_schema_metadata(None), []
+    for at in range(0, table.num_rows, ROWS_PER_ENTRY):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+            writer.write_table(table.slice(at, ROWS_PER_ENTRY))
+        entries.append((sink.getvalue().to_pybytes(),))
+    return entries
+
+
+def _unpacked(entries: Iterator[tuple[bytes]], columns: Sequence[str]) -> pd.DataFrame:
+    held = [pa.ipc.open_stream(entry[0]).read_all() for entry in entries]
+    return pa.concat_tables(held, promote_options="permissive").to_pandas() if held else pd.DataFrame(columns=[*columns])
+
+
+class _Bucketed(StatefulProcessor):
+    """A bucket has at most one timer, at the moment kept as ``due``."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at long")
+
+    def _wake(self, at: int, later: bool = False) -> None:
+        """Moves the timer to ``at`` if there is none or a later one; with ``later`` in any case."""
+        held = self.due.get()
+        if held is None or at < held[0] or (later and at != held[0]):
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.due.update((at,))
+            self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def _recent_statistics(values: np.ndarray, place: np.ndarray, window_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each value and up to ``window_rows - 1`` before it; ``place`` counts the values of the same series before it."""
+    values = np.where(np.isfinite(values), values, np.nan)
+    shifted = []
+    for back in range(min(window_rows, int(place.max()) + 1)):
+        own = np.full(len(values), np.nan)
+        own[back:] = values[: len(values) - back]
+        own[place < back] = np.nan
+        shifted.append(own)
+    least = shifted[0]
+    for own in shifted[1:]:
+        least = np.fmin(least, own)
+    count, total, squares = np.zeros(len(values)), np.zeros(len(values)), np.zeros(len(values))
+    for own in shifted:
+        there = ~np.isnan(own)
+        count += there
+        total += np.where(there, own - least, 0.0)  # from the smallest on: equal values deviate by nothing
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = total / count
+        for own in shifted:
+            squares += np.where(np.isnan(own), 0.0, (own - least - mean) ** 2)
+        return least + mean, np.where(count > 1, np.sqrt(squares / (count - 1)), 0.0)
+
+
+class RollingRows(_Bucketed):
+    """Holds rows until the watermark passes them, then emits them with statistics, a sensor's in event order.
 
     A row that comes when the watermark is past it is late: it is emitted at once, marked, without statistics, and has no part
     in those of other rows.
     """
 
     def __init__(self, schema: T.StructType, window_rows: int, order: list[str]):
-        self.schema, self.window_rows, self.order = schema, window_rows, order
+        self.names, self.window_rows, self.order = schema.names, window_rows, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.recent = handle.getListState("recent", "value double")
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.recent = handle.getListState("recent", "rows binary")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Values that came before the stream, oldest first."""
-        values = [float(v) for v in initialState["recent"].iloc[0]]
-        self.recent.put([(v,) for v in values[len(values) - min(len(values), self.window_rows - 1):]])
+        values = [np.asarray(v, dtype="float64") for v in initialState["recent"]]
+        values = [v[len(v) - min(len(v), self.window_rows - 1):] for v in values]
+        sensors = initialState["sensor_id"].repeat([len(v) for v in values])
+        if len(sensors):
+            self.recent.appendList(_packed(pd.DataFrame({"sensor_id": sensors.to_numpy(), "value": np.concatenate(values)})))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed, earliest = timerValues.getCurrentWatermarkInMs(), None
         for batch in rows:
+            batch = batch[self.names]
             stamp = _micros(batch["event_time"]) // 1000
             late = (stamp <= passed) & (passed > 0)
             if late.any():
                 yield batch[late].assign(rolling_average=np.nan, rolling_stddev=np.nan, previous_value=np.nan, late=True)
             if not late.all():
-                self.waiting.appendList(_plain(batch[~late], self.schema))
+                self.waiting.appendList(_packed(batch[~late]))
                 first = int(stamp[~late].min())
                 earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
-            self.handle.registerTimer(max(earliest, passed + 1))
+            self._wake(max(earliest, passed + 1))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.schema.names)
+        self.due.clear()
+        held = _unpacked(self.waiting.get(), self.names)
         if held.empty:
             return
         stamp = _micros(held["event_time"]) // 1000
         ready = stamp <= timerValues.getCurrentWatermarkInMs()
-        later = held[~ready]
-        if later.empty:
+        if ready.all():
             self.waiting.clear()
         else:
-            self.waiting.put(_plain(later, self.schema))
-            self.handle.registerTimer(int(stamp[~ready].min()))
-        due = held[ready].sort_values(self.order, ignore_index=True)
-        if due.empty:
-            return
-        past = [row[0] for row in self.recent.get()]
-        values = pd.Series([*past, *due["value"]], dtype="float64")
-        rolling = values.rolling(self.window_rows, min_periods=1)
-        start = len(past)
-        yield due.assign(
-            rolling_average=rolling.mean().iloc[start:].to_numpy(),
-            rolling_stddev=rolling.std().fillna(0.0).iloc[start:].to_numpy(),
-            previous_value=values.shift(1).iloc[start:].to_numpy(),
-            late=False,
-        )
-        self.recent.put([(float(v),) for v in values.iloc[-(self.window_rows - 1):]])
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(frame: pd.DataFrame, schema: T.StructType) -> list[tuple]:
-    """Rows as Python values the state encoder accepts, column by column: no numpy scalars, nulls as None."""
-    columns = []
-    for field in schema:
-        series = frame[field.name]
-        timed = isinstance(field.dataType, T.TimestampType)
-        values = pd.DatetimeIndex(series).to_pydatetime().tolist() if timed else series.tolist()
-        missing = series.isna().to_numpy()
-        columns.append([None if gone else v for gone, v in zip(missing, values)] if missing.any() else values)
-    return list(zip(*columns))
+            self.waiting.put(_packed(held[~ready]))
+            self._wake(int(stamp[~ready].min()))
+        if ready.any():
+            yield self._rolled(held[ready])
+
+    def _rolled(self, due: pd.DataFrame) -> pd.DataFrame:
+        past = _unpacked(self.recent.get(), ("sensor_id", "value"))
+        sensors = np.concatenate([past["sensor_id"].to_numpy(dtype=object), due["sensor_id"].to_numpy(dtype=object)])
+        code, known = pd.factorize(sensors, use_na_sentinel=False)
+        due = due.assign(_sensor=code[len(past):]).sort_values(["_sensor", *self.order], ignore_index=True)
+        code = np.r_[code[: len(past)], due.pop("_sensor")]
+        values = np.r_[past["value"].to_numpy(dtype="float64"), due["value"].to_numpy(dtype="float64")]
+        at = np.argsort(code, kind="stable")  # a sensor's past values, then its rows in order
+        code, values, own = code[at], values[at], at >= len(past)
+        size = np.bincount(code)
+        start = np.cumsum(size) - size
+        place = np.arange(len(code)) - start[code]
+        average, deviation = _recent_statistics(values, place, self.window_rows)
+        previous = np.where(place > 0, np.r_[np.nan, values[:-1]], np.nan)
+        last = size[code] - place <= max(self.window_rows - 1, 1)
+        self.recent.put(_packed(pd.DataFrame({"sensor_id": known[code[last]], "value": values[last]})))
+        return due.assign(rolling_average=average[own], rolling_stddev=deviation[own], previous_value=previous[own], late=False)
 
 
 def recent_values(readings: DataFrame, window_rows: int = 5, order: Sequence[str] = ("event_time",)) -> DataFrame:
@@ -114,22 +180,25 @@ def stream_rolling(
     order: Sequence[str] = ("event_time",),
     watermark: str = WATERMARK,
     initial: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Every row of the stream once: with its rolling statistics, or marked ``late``.
 
     Rows leave once the watermark passes them, in event-time order, so the statistics of on-time rows
     equal the batch operator's however the input was split. ``initial`` (see ``recent_values``) is handed over to the state
-    when the stream first starts. The state holds a sensor's last values and the rows that the watermark has not passed.
+    when the stream first starts. The state holds a sensor's last values and the rows that the watermark has not passed, by
+    ``buckets`` of sensors.
     """
+    place = _bucket(buckets, "sensor_id")
     # The watermark goes by a copy of the time that the operator doesn't get: Spark would drop late rows before it.
-    timed = enriched.withColumn("_seen", F.col("event_time")).withWatermark("_seen", watermark).drop("_seen")
+    timed = enriched.withColumn("_seen", F.col("event_time")).withWatermark("_seen", watermark).drop("_seen").withColumn("_bucket", place)
     added = [T.StructField(c, T.DoubleType()) for c in ("rolling_average", "rolling_stddev", "previous_value")]
-    rolled = timed.groupBy("sensor_id").transformWithStateInPandas(
+    rolled = timed.groupBy("_bucket").transformWithStateInPandas(
         RollingRows(enriched.schema, window_rows, list(order)),
         T.StructType([*enriched.schema.fields, *added, T.StructField("late", T.BooleanType())]),
         "Append",
         "EventTime",
-        initialState=None if initial is None else initial.groupBy("sensor_id"),
+        initialState=None if initial is None else initial.withColumn("_bucket", place).groupBy("_bucket"),
     )
     # A pandas column carries "no value" as NaN.
     return rolled.withColumns({f.name: F.nanvl(f.name, F.lit(None).cast("double")) for f in added})

@@ -1,5 +1,6 @@
 """Streams drained over several micro-batches equal their batch forms."""
 
+import json
 import random
 import time
 
@@ -137,6 +138,26 @@ def test_state_begins_with_the_values_of_a_table(spark, rows, tmp_path):
     assert as_set(drained(spark, out, tmp_path), *SCORE) == as_set(want, *SCORE)
 
 
+def state_rows(query):
+    return max(sum(op["numRowsTotal"] for op in json.loads(p.json)["stateOperators"]) for p in query.recentProgress)
+
+
+def test_many_sensors_share_their_state(spark, rows, tmp_path):
+    """5,394 sensors and one without an id, over two batches: the scores of the batch form, and fewer entries of state than sensors."""
+    sensor = F.when(F.col("copy") > 0, F.concat_ws("-", "sensor_id", "copy"))
+    many = rows.orderBy("event_time").limit(12).crossJoin(spark.range(900).withColumnRenamed("id", "copy")).withColumn("sensor_id", sensor).drop("copy")
+    runtime.use_rocksdb(spark)
+    out = stateful.stream_scores(in_files(many.select(*rows.columns), f"{tmp_path}/in", 2), watermark="0 seconds")
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/cp")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    found, want = spark.read.schema(out.schema).parquet(f"{tmp_path}/rows"), score_anomalies(many)
+    columns = [F.round(c, 8).alias(c) if dict(found.dtypes)[c] == "double" else F.col(c) for c in SCORE]
+    listed = lambda frame: sorted(map(str, frame.select(*columns).collect()))
+    assert listed(found) == listed(want)
+    assert 0 < state_rows(query) < many.select("sensor_id").distinct().count()
+
+
 def test_repeats_over_batches_come_once(spark, rows, tmp_path):
     ordered = rows.orderBy("event_time").collect()
     for part in (ordered[:300], ordered[200:] + ordered[:50]):
