@@ -224,64 +224,79 @@ def stream_scores(
     return on_time_scores(stream_rolling(enriched, window_rows, order, watermark, initial), computed_at)
 
 
-class AlarmEpisodes(StatefulProcessor):
+class AlarmEpisodes(_Bucketed):
     """Opens an alarm on the first alert and resolves it when none followed for a while."""
 
+    KEYS, COLUMNS = ["sensor_id", "alert_type"], ["sensor_id", "alert_type", "first", "last", "alerts", "critical"]
+
     def __init__(self, quiet_micros: int):
         self.quiet = quiet_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.episode = handle.getValueState("episode", "first long, last long, alerts long, critical boolean")
+        super().init(handle)
+        self.episodes = handle.getListState("episodes", "rows binary")
 
-    def _changes(self, key, changes: list[tuple]) -> pd.DataFrame:
-        """One frame of all ``(state, first, last, alerts, critical)`` changes."""
-        states, first, last, alerts, critical = zip(*changes)
+    def _changes(self, state: str, episodes: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "sensor_id": key[0],
-                "alert_type": key[1],
-                "state": states,
-                "severity": ["CRITICAL" if c else "WARNING" for c in critical],
-                "first_seen": pd.to_datetime(list(first), unit="us"),
-                "last_seen": pd.to_datetime(list(last), unit="us"),
-                "alert_count": alerts,
+                "sensor_id": episodes["sensor_id"],
+                "alert_type": episodes["alert_type"],
+                "state": state,
+                "severity": np.where(episodes["critical"].to_numpy(dtype=bool), "CRITICAL", "WARNING"),
+                "first_seen": pd.to_datetime(episodes["first"], unit="us"),
+                "last_seen": pd.to_datetime(episodes["last"], unit="us"),
+                "alert_count": episodes["alerts"],
             }
         )
 
+    def _ends(self, episodes: pd.DataFrame) -> np.ndarray:
+        return (episodes["last"].to_numpy(dtype="int64") + self.quiet) // 1000 + 1
+
+    def _keep(self, episodes: pd.DataFrame) -> None:
+        self.episodes.put(_packed(episodes))
+        self._wake(int(self._ends(episodes).min()), later=True)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        """Gaps longer than the quiet span cut the batch, the open episode before it, into episodes."""
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("event_time", ignore_index=True)
-        times, critical = _micros(batch["event_time"]), (batch["severity"] == "CRITICAL").to_numpy()
-        held = tuple(self.episode.get()) if self.episode.exists() else None
-        latest = np.maximum.accumulate(np.r_[held[1], times] if held else times)
-        steps = times - latest[: len(times)] if held else np.r_[np.iinfo(np.int64).max, times[1:] - latest[:-1]]
-        starts = np.flatnonzero(steps > self.quiet)
-        changes, bounds = [], [*starts.tolist(), len(times)]
-        if held:  # what comes before the first gap belongs to the open episode
-            upto = bounds[0]
-            if upto:
-                held = (min(held[0], int(times[0])), max(held[1], int(times[upto - 1])), held[2] + upto, held[3] or bool(critical[:upto].any()))
-        for at, end in zip(bounds, bounds[1:]):
-            if held:
-                changes.append(("RESOLVED", *held))
-            changes.append(("ACTIVE", int(times[at]), int(times[at]), 1, bool(critical[at])))
-            held = (int(times[at]), int(times[end - 1]), end - at, bool(critical[at:end].any()))
-        self.episode.update(held)
-        self.handle.registerTimer((held[1] + self.quiet) // 1000 + 1)
-        if changes:
-            yield self._changes(key, changes)
+        """Gaps longer than the quiet span cut a key's batch, the open episode before it, into episodes."""
+        batch = pd.concat(list(rows), ignore_index=True)
+        times = _micros(batch["event_time"])
+        alerts = batch[self.KEYS].assign(first=times, last=times, alerts=1, critical=batch["severity"] == "CRITICAL", held=False)
+        held = _unpacked(self.episodes.get(), self.COLUMNS)
+        found = alerts if held.empty else pd.concat([held.assign(held=True), alerts], ignore_index=True)
+        found["key"] = found.groupby(self.KEYS, dropna=False, sort=False).ngroup()
+        missing = found["first"] == np.iinfo(np.int64).min  # no event time: last of its key, and an episode of its own
+        found = found.assign(missing=missing).sort_values(["key", "held", "missing", "first"], ascending=[True, False, True, True], ignore_index=True)
+        of, first, is_held = found["key"].to_numpy(), found["first"].to_numpy(dtype="int64"), found["held"].to_numpy(dtype=bool)
+        latest = found.groupby("key")["last"].cummax().to_numpy(dtype="int64")
+        begins = np.r_[True, of[1:] != of[:-1]] | np.r_[True, first[1:] - latest[:-1] > self.quiet]
+        starts = np.flatnonzero(begins)
+        ends = np.r_[starts[1:], len(found)] - 1
+        episodes = found.loc[starts, self.KEYS].assign(
+            first=np.minimum.reduceat(first, starts),
+            last=np.where(is_held[starts], latest[ends], first[ends]),
+            alerts=np.add.reduceat(found["alerts"].to_numpy(dtype="int64"), starts),
+            critical=np.logical_or.reduceat(found["critical"].to_numpy(dtype=bool), starts),
+        )
+        opened = found.loc[starts[~is_held[starts]]]
+        newest = np.r_[of[starts][1:] != of[starts][:-1], True]
+        self._keep(episodes[newest])
+        if len(opened):
+            yield self._changes("ACTIVE", opened)
+        if not newest.all():
+            yield self._changes("RESOLVED", episodes[~newest])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.episode.exists():
+        self.due.clear()
+        held = _unpacked(self.episodes.get(), self.COLUMNS)
+        if held.empty:
             return
-        episode = tuple(self.episode.get())
-        if (episode[1] + self.quiet) // 1000 + 1 <= timerValues.getCurrentWatermarkInMs():
-            self.episode.clear()
-            yield self._changes(key, [("RESOLVED", *episode)])
-
-    def close(self) -> None:
-        pass
+        over = self._ends(held) <= timerValues.getCurrentWatermarkInMs()
+        if over.all():
+            self.episodes.clear()
+        else:
+            self._keep(held[~over])
+        if over.any():
+            yield self._changes("RESOLVED", held[over])
 
 
 ALARM_CHANGES = (
@@ -290,9 +305,9 @@ ALARM_CHANGES = (
 )
 
 
-def stream_alarms(alerts: DataFrame, quiet: str = RECENT_INTERVAL, watermark: str = WATERMARK) -> DataFrame:
+def stream_alarms(alerts: DataFrame, quiet: str = RECENT_INTERVAL, watermark: str = WATERMARK, buckets: int = BUCKETS) -> DataFrame:
     """State changes of alarms: ACTIVE when one opens, RESOLVED after ``quiet`` without alerts."""
     narrow = alerts.select("sensor_id", "alert_type", "severity", "event_time").withWatermark("event_time", watermark)
-    return narrow.groupBy("sensor_id", "alert_type").transformWithStateInPandas(
+    return narrow.withColumn("_bucket", _bucket(buckets, "sensor_id", "alert_type")).groupBy("_bucket").transformWithStateInPandas(
         AlarmEpisodes(interval_micros(quiet)), ALARM_CHANGES, "Append", "EventTime"
     )

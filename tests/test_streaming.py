@@ -158,6 +158,30 @@ def test_many_sensors_share_their_state(spark, rows, tmp_path):
     assert 0 < state_rows(query) < many.select("sensor_id").distinct().count()
 
 
+def test_many_alarms_share_their_state(spark, tmp_path):
+    """3,000 keys with a gap inside a batch, one between batches, and an open episode that the watermark closes."""
+    kind = "sensor_id string, alert_type string, severity string, event_time timestamp"
+    at = lambda minute: F.timestamp_seconds(F.lit(START // 1_000_000) + 60 * minute)
+    steps = spark.createDataFrame([(0, "WARNING"), (3, "CRITICAL"), (20, "WARNING"), (26, "WARNING"), (90, "CRITICAL")], "minute int, severity string")
+    keys = spark.range(3_000).select(F.when(F.col("id") > 0, F.format_string("s%d", "id")).alias("sensor_id"), F.lit("LOW").alias("alert_type"))
+    alerts = keys.crossJoin(steps).select("sensor_id", "alert_type", "severity", at(F.col("minute")).alias("event_time"))
+    alerts = spark.createDataFrame(alerts.collect(), kind)
+    runtime.use_rocksdb(spark)
+    out = stateful.stream_alarms(in_files(alerts, f"{tmp_path}/in", 2), "10 minutes", watermark="0 seconds")
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/cp")
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{tmp_path}/rows")
+    minute = lambda c: ((F.unix_seconds(c) - START // 1_000_000) / 60).cast("int").alias(c)
+    counted = found.groupBy("state", "severity", minute("first_seen"), minute("last_seen"), "alert_count").agg(F.count_distinct(F.coalesce("sensor_id", F.lit(""))).alias("n"), F.count("*").alias("rows"))
+    assert {tuple(r) for r in counted.collect()} == {
+        ("ACTIVE", "WARNING", 0, 0, 1, 3_000, 3_000), ("RESOLVED", "CRITICAL", 0, 3, 2, 3_000, 3_000),
+        ("ACTIVE", "WARNING", 20, 20, 1, 3_000, 3_000), ("RESOLVED", "WARNING", 20, 26, 2, 3_000, 3_000),
+        ("ACTIVE", "CRITICAL", 90, 90, 1, 3_000, 3_000),
+    }
+    assert 0 < state_rows(query) < 4 * stateful.BUCKETS
+
+
 def test_repeats_over_batches_come_once(spark, rows, tmp_path):
     ordered = rows.orderBy("event_time").collect()
     for part in (ordered[:300], ordered[200:] + ordered[:50]):
