@@ -1,9 +1,11 @@
 """Near copies by exact similarity of word shingles.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at least ``SIMILARITY``.
-Texts of equal sets are one class. Of every class, bands of smallest hashes propose candidates: two sets of similarity s
-meet with probability ``1 - (1 - s ** BAND_ROWS) ** BANDS``, 0.9998 at 0.8 and more above. Candidates are verified by their
-sets; a bucket passes on a spanning forest of its links, never its pairs, and the rows of a bucket of more than
+Texts of equal sets are one class. Of every class the set's SimHash goes through the parts, thresholds and probes of
+``simhash``: the groups of fingerprints that ``MOST_BITS`` bits link are candidates. Similarity 0.8 alone leaves about ten bits of
+64 different, more than parts can tell apart, so bands of smallest hashes propose the rest: two sets of similarity s
+meet with probability ``1 - (1 - s ** BAND_ROWS) ** BANDS``, 0.9998 at 0.8 and more above. Candidates of both are verified by
+their sets; a bucket passes on a spanning forest of its links, never its pairs, and the rows of a bucket of more than
 ``CROWDED`` texts are dealt to slots, every pair of which is a bucket of its own. Components follow.
 
 Edge cases: texts without words are copies of one another; fewer words than a shingle make one shingle; an empty table
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from gaugeflow.llm.common import ROWS_PER_BATCH, sliced, stored, utf8
 from gaugeflow.llm.components import connected_components, contracted
-from gaugeflow.llm.simhash import SEED, shingle_hashes
+from gaugeflow.llm.simhash import SEED, fingerprint, near_links, shingle_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bits in which the fingerprints of candidates may differ.
+MOST_BITS = 6
 BANDS, BAND_ROWS = 16, 4
 #: Texts of a bucket, from which on it is split.
 CROWDED = 500
@@ -53,8 +57,9 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         sets = [shingle_set(t) for t in utf8(batch, "text")]
         same = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+        fps = pa.array([fingerprint(s) for s in sets], pa.int64())
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(same, pa.int64()), keys], names=["place", "same", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(same, pa.int64()), fps, keys], names=["place", "same", "fp", "keys"])
 
 
 def similar_links(places: np.ndarray, sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +93,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links()
 
 
+def fingerprint_groups(classes: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+    """``(place, key)``: the classes whose fingerprints (``fp``) chains of at most ``bits`` bits a step link have one key."""
+    fps = stored(classes.select("fp").distinct(), "copies-fingerprints")
+    roots = connected_components(near_links(fps, bits)).withColumnsRenamed({"id": "fp", "component": "root"})
+    return classes.join(roots, "fp", "left").select("place", F.xxhash64(F.coalesce("root", "fp")).alias("key"))
+
+
 def first_copies(texts: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``place`` of the first text of each group; ``texts`` has place (long, unique) and text."""
     texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    marked = stored(texts.select("place", "text").mapInArrow(_marks, "place long, same long, keys array<long>"), "copies-marks")
-    first = stored(marked.groupBy("same").agg(F.min_by("keys", "place").alias("keys"), F.min("place").alias("place")), "copies-classes")
-    bands = first.select("place", F.explode("keys").alias("key"))
+    marked = stored(texts.select("place", "text").mapInArrow(_marks, "place long, same long, fp long, keys array<long>"), "copies-marks")
+    first = stored(marked.groupBy("same").agg(F.min_by("keys", "place").alias("keys"), F.min("fp").alias("fp"), F.min("place").alias("place")), "copies-classes")
+    bands = stored(fingerprint_groups(first).unionByName(first.select("place", F.explode("keys").alias("key"))), "copies-candidates")
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("place").alias("low"), F.bit_xor(F.xxhash64("place")).alias("members")).filter("n > 1")
     different = buckets.groupBy("n", "low", "members").agg(F.min("key").alias("key"))  # one bucket of those with the same texts
     slots = F.ceil(F.col("n") / F.lit(crowded)).cast("long")

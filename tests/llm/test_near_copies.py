@@ -48,3 +48,16 @@ def test_the_stage_keeps_the_first_of_edited_copies(spark):
     texts = edited_texts()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()} == expected(texts)
+
+
+def test_fingerprints_alone_propose_what_the_bands_miss(spark, monkeypatch):
+    """Without a band key, texts within the bits are still found, and none that aren't similar."""
+    texts = edited_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "band_keys", lambda shingles: [])
+    kept = {r["place"] for r in near_copies.first_copies(docs).collect()}
+    fps = [near_copies.fingerprint(near_copies.shingle_set((t or "").encode())) for t in texts]
+    sets = [shingles(t) for t in texts]
+    near = {j for i, j in combinations(range(len(texts)), 2) if sets[i] != sets[j] and similar(sets[i], sets[j]) and ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= near_copies.MOST_BITS}
+    assert len(near) > 10 and not near & kept
+    assert expected(texts) <= kept
